@@ -1,0 +1,51 @@
+"""Copies hidden by formatting: exact canonical keys, grouped in two levels where a key is hot.
+
+Hot keys are found exactly by partial counts: rows are counted by hash bucket (a few thousand counters per task), keys
+are counted only inside the buckets that reach the threshold, and a key that reaches it is hot. There are at most
+``parts`` hot keys, since each has a ``parts``-th of the rows, so their table may be broadcast. Rows of hot keys are
+spread over salts and reduced salt by salt, then key by key; the others go through one shuffle by key.
+"""
+
+from __future__ import annotations
+
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import Window as W
+
+PARTS, BUCKETS, SALTS = 1000, 8192, 64
+
+
+def hot_keys(keyed: DataFrame, parts: int = PARTS, floor: int = 10_000) -> DataFrame:
+    """``key`` of ``keyed(key, id)`` that holds at least max(``floor``, a ``parts``-th) of the rows; at most ``parts`` rows."""
+    by = keyed.groupBy(F.pmod(F.xxhash64("key"), F.lit(BUCKETS)).alias("b")).count()
+    total = by.agg(F.sum("count")).first()[0] or 0
+    least = max(floor, -(-total // parts))
+    big = [r.b for r in by.where(F.col("count") >= least).select("b").collect()]  # at most `parts` integers
+    if not big:
+        return keyed.sparkSession.createDataFrame([], keyed.select("key").schema)
+    return keyed.where(F.pmod(F.xxhash64("key"), F.lit(BUCKETS)).isin(big)).groupBy("key").count().where(F.col("count") >= least).select("key")
+
+
+def copies(keyed: DataFrame, parts: int = PARTS, floor: int = 10_000, salts: int = SALTS) -> DataFrame:
+    """Of ``keyed(key, id)``: (first_id, id) for every distinct id, first_id the smallest id of the same key.
+
+    A null key is a key of its own rows' value like any other only if the caller made it so: rows with a null key are
+    each their own first. Ids that are null are left out. Repeated (key, id) rows count once.
+    """
+    keyed = keyed.where("id IS NOT NULL").persist(StorageLevel.DISK_ONLY)
+    hot = hot_keys(keyed.where("key IS NOT NULL"), parts, floor).collect()  # at most `parts` keys
+    hot = keyed.sparkSession.createDataFrame(hot, keyed.select("key").schema)
+    lone = keyed.where("key IS NULL").select(F.col("id").alias("first_id"), "id").distinct()
+    cold = keyed.where("key IS NOT NULL").join(F.broadcast(hot), "key", "left_anti").repartition("key").groupBy("key", "id").agg(F.lit(1).alias("one"))
+    cold = cold.select(F.min("id").over(W.partitionBy("key")).alias("first_id"), "id")
+    warm = keyed.join(F.broadcast(hot), "key", "left_semi").withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)))
+    least = warm.groupBy("key", "salt").agg(F.min("id").alias("m")).groupBy("key").agg(F.min("m").alias("first_id"))
+    each = warm.groupBy("key", "salt", "id").agg(F.lit(1).alias("one")).join(F.broadcast(least), "key").select("first_id", "id")
+    return cold.unionAll(each).unionAll(lone)
+
+
+def counts(keyed: DataFrame, parts: int = PARTS, floor: int = 10_000, salts: int = SALTS) -> DataFrame:
+    """Of ``keyed(key, id)``: (first_id, copies), one row per key, by the same two ways."""
+    pairs = copies(keyed, parts, floor, salts)
+    return pairs.groupBy("first_id").agg(F.count("*").alias("copies"))
