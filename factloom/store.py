@@ -45,6 +45,10 @@ class Scratch:
         self._paths[id(out)] = path
         return out
 
+    def union(self, frames: list[DataFrame]) -> DataFrame:
+        """One scan over several written tables of the same schema."""
+        return self.spark.read.schema(frames[0].schema).parquet(*[self._paths[id(f)] for f in frames])
+
     def drop(self, *frames: DataFrame | None) -> None:
         for df in frames:
             path = self._paths.pop(id(df), None)
@@ -52,3 +56,14 @@ class Scratch:
                 jvm = self.spark.sparkContext._jvm
                 p = jvm.org.apache.hadoop.fs.Path(path)
                 p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def spread(df: DataFrame, key: str, per_core: int = 3) -> DataFrame:
+    """``df`` in at least ``per_core`` partitions a core, for work that costs far more than a shuffle of its rows.
+
+    A large input already has them and is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= per_core * cores:
+        return df
+    return df.repartition(per_core * cores, key)
