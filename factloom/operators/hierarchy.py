@@ -48,9 +48,7 @@ def _double(store: Scratch, first: DataFrame, through) -> DataFrame:
             store.drop(fresh)
             return known
         parts.append(fresh)
-        known = parts[0]
-        for p in parts[1:]:
-            known = known.unionAll(p)
+        known = store.union(parts)
 
 
 @dataclass
