@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,3 +68,24 @@ def spread(df: DataFrame, key: str, per_core: int = 3) -> DataFrame:
     if df.rdd.getNumPartitions() >= per_core * cores:
         return df
     return df.repartition(per_core * cores, key)
+
+
+def once(df: DataFrame, key: str, few: int = 100_000) -> DataFrame:
+    """One row per ``key``; of several the smallest, field by field. Null keys stay as they are.
+
+    Only keys are shuffled to find the repeated ones. If those are at most ``few`` (counted first), their rows alone are
+    reduced and the wide rows of all others stay where they are; else all rows are reduced by key.
+    """
+    rest = [c for c in df.columns if c != key]
+    again = df.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").select(key)
+    n = again.limit(few + 1).count()
+    if not n:
+        return df
+
+    def least(d: DataFrame) -> DataFrame:
+        return d.groupBy(key).agg(F.min(F.struct(*rest)).alias("v")).select(*[F.col(f"v.{c}") if c != key else F.col(key) for c in df.columns])
+
+    if n > few:
+        return least(df.where(F.col(key).isNotNull())).unionByName(df.where(F.col(key).isNull()))
+    again = F.broadcast(again)
+    return df.join(again, key, "left_anti").select(df.columns).unionByName(least(df.join(again, key, "left_semi").select(df.columns)))
