@@ -1,0 +1,215 @@
+"""From facts of files to flows, call graph, chains, rule matches and findings, as joins and fixpoints.
+
+Everything stays inside a repository: names are resolved by (repo_id, name). Names that are ambiguous stay unresolved, and
+what is unknown stays in as uncertain.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import Window as W
+
+from factloom.functions import paths, pattern
+from factloom.operators import graph
+from factloom.store import Scratch
+
+#: Entry points that run when a serialized object is restored or dropped (fixed values).
+ENTRIES = ("__destruct", "__wakeup", "__unserialize")
+MAGIC = (*ENTRIES, "__tostring", "__call", "__get", "__set", "__invoke")
+DESERIALIZERS = ("unserialize", "igbinary_unserialize", "wddx_deserialize", "yaml_parse", "session_decode")
+CONFIDENCE = {"direct": 1.0, "static": 1.0, "magic_call": 0.9, "typed_one": 0.9, "typed_many": 0.7, "override": 0.55, "property": 0.4, "sink": 1.0}
+
+
+class Code:
+    """The fact tables of a set of files, parsed once and written to the shared folder."""
+
+    def __init__(self, facts: DataFrame, label: str = "code"):
+        self.store = Scratch(facts.sparkSession, label)
+        self.facts = self.store.cut(facts)
+
+    def rows(self, name: str) -> DataFrame:
+        return self.facts.select("file_id", "repo_id", "path", F.explode(name).alias("x")).select("file_id", "repo_id", "path", "x.*")
+
+    @property
+    def calls(self) -> DataFrame:
+        return self.rows("calls")
+
+    def errors(self) -> DataFrame:
+        return self.rows("errors").select("file_id", "path", F.lit("parse").alias("phase"), "message", "line")
+
+    def functions(self) -> DataFrame:
+        """Functions and methods with the class they belong to."""
+        c = self.rows("classes").select(F.col("id").alias("class_id"), F.lower("name").alias("class"), "namespace" if "namespace" in self.facts.columns and False else F.regexp_extract("name", r"^(.*)\\", 1).alias("namespace"), "traits", "abstract", F.col("kind").alias("class_kind"))
+        return self.rows("functions").drop("abstract").join(c, "class_id", "left").withColumn("low", F.lower("name"))
+
+    def parents(self) -> DataFrame:
+        """(repo_id, class, up, step): traits that are not adapted before the parent; a name with several definitions has the first."""
+        c = self.rows("classes").withColumn("class", F.lower("name"))
+        one = c.groupBy("repo_id", "class").agg(F.min_by(F.struct("parent", "traits", "adapted"), "id").alias("v")).select("repo_id", "class", "v.*")
+        up = F.concat(F.when(~F.col("adapted"), F.col("traits")).otherwise(F.array().cast("array<string>")), F.array("parent"))
+        return one.select("repo_id", "class", F.posexplode(up).alias("step", "u")).where("u IS NOT NULL").select("repo_id", "class", F.lower("u").alias("up"), "step")
+
+    # -- resolution ---------------------------------------------------------------------------------------------------
+    def owners(self, wanted: DataFrame, most: int = 32) -> DataFrame:
+        """(repo_id, class, low, fn_id, distance): the nearest method of a class, its own before its traits' and its parent's."""
+        m = self.store.cut(self.functions().where("kind = 'method'").groupBy("repo_id", F.col("class").alias("at"), "low").agg(F.min("id").alias("fn_id")))
+        ups = self.store.cut(self.parents())
+        live = wanted.select("repo_id", "class", "low").distinct().select("*", F.col("class").alias("at"), F.lit(0).alias("order"))
+        out, k = None, 0
+        while k <= most:
+            hit = self.store.cut(live.join(m, ["repo_id", "at", "low"], "left"))
+            got = hit.where("fn_id IS NOT NULL").groupBy("repo_id", "class", "low").agg(F.min_by("fn_id", F.struct("order", "fn_id")).alias("fn_id")).withColumn("distance", F.lit(k))
+            out = got if out is None else out.unionAll(got)
+            rest = hit.where("fn_id IS NULL").join(got.select("repo_id", "class", "low"), ["repo_id", "class", "low"], "left_anti")
+            live = rest.drop("fn_id", "order").join(ups.withColumnRenamed("class", "at").withColumnRenamed("step", "order"), ["repo_id", "at"]).drop("at").withColumnRenamed("up", "at").select("repo_id", "class", "low", "at", "order").distinct()
+            live = self.store.cut(live)
+            if live.isEmpty():
+                break
+            k += 1
+        return out
+
+    def targets(self) -> DataFrame:
+        """(call_id, fn_id, how): each call with the function it must mean; ambiguous ones are left out."""
+        calls = self.calls.select("file_id", "repo_id", F.col("id").alias("call_id"), "how", "callee", "qualified", "receiver", "class_name")
+        fns = self.functions().where("kind = 'function'").select("repo_id", "file_id", "low", F.col("id").alias("fn_id"))
+        unique = fns.groupBy("repo_id", "low").agg(F.min("fn_id").alias("fn_id"), F.count("*").alias("n"))
+        local = fns.groupBy("file_id", "low").agg(F.min("fn_id").alias("local_id"), F.count("*").alias("m")).where("m = 1").drop("m")
+        f = calls.where("how = 'function' AND callee IS NOT NULL").select("call_id", "repo_id", "file_id", F.explode(F.array_distinct(F.array("qualified", "callee"))).alias("low"), "qualified")
+        f = f.join(unique, ["repo_id", "low"]).join(local, ["file_id", "low"], "left")
+        f = f.select("call_id", F.when(F.col("n") == 1, F.col("fn_id")).otherwise(F.col("local_id")).alias("fn_id"), (F.col("low") != F.col("qualified")).alias("later")).where("fn_id IS NOT NULL")
+        f = f.groupBy("call_id").agg(F.min_by("fn_id", F.struct("later", "fn_id")).alias("fn_id")).withColumn("how", F.lit("function"))
+        recv, own = F.lower("receiver"), F.lower("class_name")
+        up = self.parents().where("step >= 0").groupBy("repo_id", "class").agg(F.max_by("up", "step").alias("up"))
+        m = calls.where("callee IS NOT NULL AND how IN ('method', 'static', 'new')").withColumn("own", own)
+        m = m.join(up.withColumnRenamed("class", "own"), ["repo_id", "own"], "left")
+        at = F.when(F.col("receiver") == "$this", F.col("own")).when(recv.isin("self", "static"), F.col("own")).when(recv == "parent", F.col("up")).when(F.col("how").isin("static", "new"), recv)
+        m = self.store.cut(m.select("repo_id", "call_id", "how", F.col("callee").alias("low"), at.alias("class")).where("class IS NOT NULL"))
+        got = m.join(self.owners(m).drop("distance"), ["repo_id", "class", "low"]).select("call_id", "fn_id", "how")
+        return self.store.cut(f.unionByName(got))
+
+    # -- values -------------------------------------------------------------------------------------------------------
+    def value_edges(self, targets: DataFrame) -> DataFrame:
+        """(src, dst, tag) of all values: inside scopes, through calls and through shared storage."""
+        e = self.rows("edges")
+        # what an unknown call may pass on is dropped where the call is known
+        loose = e.where("tag = 'unresolved'").join(targets.select(F.col("call_id").alias("dst")), "dst", "left_anti").select("src", "dst", "tag")
+        sure = e.where("tag <> 'unresolved'").select("src", "dst", "tag")
+        args = self.calls.select(F.col("id").alias("call_id"), F.explode("args").alias("a")).select("call_id", "a.at", "a.name", F.col("a.value_id").alias("src"))
+        params = self.rows("functions").select(F.col("id").alias("fn_id"), F.explode("params").alias("p")).select("fn_id", F.col("p.name").alias("pname"), F.col("p.at").alias("pat"), F.col("p.value_id").alias("dst"))
+        bound = args.join(targets, "call_id").join(params, "fn_id").where(F.when(F.col("name").isNotNull(), F.lower("name") == F.lower("pname")).otherwise(F.col("at") == F.col("pat")))
+        bound = bound.select("src", "dst", F.lit("argument").alias("tag"))
+        back = self.rows("returns").select("fn_id", F.col("value_id").alias("src")).join(targets, "fn_id").select("src", F.col("call_id").alias("dst"), F.lit("return").alias("tag"))
+        cells = self.rows("cells").select("repo_id", "kind", "name", "value_id", "written")
+        w = cells.where("written").select("repo_id", "kind", "name", F.col("value_id").alias("src"))
+        r = cells.where("NOT written").select("repo_id", "kind", "name", F.col("value_id").alias("dst"))
+        shared = w.join(r, ["repo_id", "kind", "name"]).select("src", "dst", F.col("kind").alias("tag"))
+        return self.store.cut(sure.unionAll(loose).unionAll(bound).unionAll(back).unionAll(shared).distinct())
+
+    def taint(self, edges: DataFrame) -> DataFrame:
+        """(node, origin_id, hops, certain): request values that reach each value; certain if no unknown call is on some way."""
+        start = self.rows("sources").select(F.col("id").alias("node"), F.col("id").alias("origin_id")).distinct()
+        every = graph.propagate(start, edges.select("src", "dst"), ["origin_id"])
+        sure = graph.propagate(start, edges.where("tag <> 'unresolved'").select("src", "dst"), ["origin_id"])
+        return self.store.cut(every.join(sure.select("node", "origin_id", F.lit(True).alias("s")), ["node", "origin_id"], "left").select("node", "origin_id", "hops", F.coalesce("s", F.lit(False)).alias("certain")))
+
+    def inventory(self, category) -> DataFrame:
+        """Every sink call with its argument, whether request values reach it, and the first disposition that applies."""
+        c = self.calls.where("how IN ('function', 'include')").withColumn("category", F.when(F.col("callee").isin(*DESERIALIZERS), "DESERIALIZATION").otherwise(category(F.col("callee")))).where("category IS NOT NULL")
+        t = self.taint(self.value_edges(self.targets()))
+        arg = c.select("file_id", "repo_id", "path", F.col("id").alias("call_id"), "fn_id", "class_name", F.col("callee").alias("sink_name"), "category", "restricted", F.col("start_line").alias("line"), F.col("start_col").alias("col"), "text", F.explode("args").alias("a")).where(F.col("a.at") == F.when(F.col("sink_name").isin("hash_file", "hash_hmac_file"), 1).otherwise(0))
+        arg = arg.withColumn("node", F.col("a.value_id")).drop("a")
+        got = t.groupBy("node").agg(F.min("hops").alias("hops"), F.max("certain").alias("certain"), F.min_by("origin_id", F.struct("hops", "origin_id")).alias("origin_id"), F.count("*").alias("origins"))
+        src = self.rows("sources").select(F.col("id").alias("origin_id"), "origin", F.col("line").alias("origin_line"))
+        out = arg.join(got, "node", "left").join(src, "origin_id", "left")
+        what = F.when(F.col("origins").isNull(), "no_modeled_source").when(F.col("restricted"), "restricted_options").when(F.col("certain"), "proven_route").otherwise("conditional_route")
+        return out.withColumn("scope", paths.scope(F.col("path"))).withColumn("disposition", what).drop("node")
+
+    # -- call graph ---------------------------------------------------------------------------------------------------
+    def call_graph(self, category) -> DataFrame:
+        """(repo_id, src, dst, edge_type, confidence, call_id) between methods, functions and sinks; one row per call and target."""
+        fn = self.functions()
+        name = F.concat(F.col("repo_id").cast("string"), F.lit(":"), F.when(F.col("class").isNotNull(), F.concat("class", F.lit("::"), "low")).otherwise(F.col("low")))
+        node = self.store.cut(fn.where("kind <> 'closure'").select("repo_id", F.col("id").alias("fn_id"), name.alias("node"), "class", "low", "namespace", "kind"))
+        src = node.select("fn_id", F.col("node").alias("src"), "namespace", F.col("class").alias("own"))
+        calls = self.calls.select("repo_id", F.col("id").alias("call_id"), "fn_id", "how", "callee", "receiver").join(src, "fn_id")
+        targets = self.targets()
+        row = lambda kind: [F.lit(kind).alias("edge_type"), F.lit(CONFIDENCE[kind]).alias("confidence")]
+        direct = calls.join(targets.select("call_id", F.col("fn_id").alias("to")), "call_id").join(node.select(F.col("fn_id").alias("to"), F.col("node").alias("dst")), "to")
+        direct = direct.select("repo_id", "src", "dst", F.when(F.col("how") == "static", "static").otherwise("direct").alias("edge_type"), F.lit(1.0).alias("confidence"), "call_id")
+        open_ = calls.where("how = 'method'").join(targets.select("call_id"), "call_id", "left_anti")
+        magic = open_.where("receiver = '$this'").join(node.where("low = '__call'").select("repo_id", F.col("class").alias("own"), F.col("node").alias("dst")), ["repo_id", "own"]).select("repo_id", "src", "dst", *row("magic_call"), "call_id")
+        owned = node.where("kind = 'method'").select("repo_id", "namespace", F.col("low").alias("callee"), F.col("node").alias("dst")).distinct()
+        prop = open_.where("receiver LIKE '$this->%'").join(owned, ["repo_id", "namespace", "callee"]).select("repo_id", "src", "dst", *row("property"), "call_id")
+        sinks = calls.where("how IN ('function', 'include')").withColumn("c", F.when(F.col("callee").isin(*DESERIALIZERS), "DESERIALIZATION").otherwise(category(F.col("callee")))).where("c IS NOT NULL")
+        sinks = sinks.select("repo_id", "src", F.concat(F.col("repo_id").cast("string"), F.lit(":SINK::"), "callee").alias("dst"), *row("sink"), "call_id")
+        return direct.unionByName(magic).unionByName(prop).unionByName(sinks)
+
+    def chains(self, edges: DataFrame, most: int = 5) -> DataFrame:
+        """Paths from restored objects' entry methods to sinks, with a level of confidence by the weakest link."""
+        e = self.store.cut(edges)
+        entry = e.select(F.col("src").alias("node")).where(F.regexp_extract("node", r"::(\w+)$", 1).isin(*ENTRIES)).distinct()
+        sink = e.where("edge_type = 'sink'").select(F.col("dst").alias("node")).distinct()
+        p = graph.simple_paths(e, entry, sink, most)
+        level = F.when(F.col("confidence") >= 0.9, "HIGH").when(F.col("confidence") >= 0.7, "MEDIUM").otherwise("LOW")
+        return p.select(F.substring(F.sha2(F.array_join("path", ">"), 256), 1, 12).alias("chain_id"), F.element_at("path", 1).alias("entry"), F.element_at("path", -1).alias("sink"), F.size("path").alias("length"), level.alias("level"), "path", "complete")
+
+    # -- rules --------------------------------------------------------------------------------------------------------
+    def matches(self, rules: list[dict]) -> DataFrame:
+        """(rule_id, severity, file_id, path, line, message) of calls; of matches of one rule that hold another the inner one."""
+        fn = self.rows("functions").select(F.col("id").alias("fn_id"), F.lower("name").alias("inside"))
+        c = self.calls.where("callee IS NOT NULL").join(fn, "fn_id", "left")
+        hits = []
+        for r in rules:
+            text = F.col("text")
+            either = [pattern.matches(text, p) for p in r["patterns"]]
+            cond = either[0]
+            for e in either[1:]:
+                cond = cond | e
+            for p in r.get("not", ()):
+                cond = cond & ~pattern.matches(text, p)
+            if r.get("inside"):
+                cond = cond & F.col("inside").isin(*r["inside"])
+            bound = F.coalesce(*[pattern.bindings(text, p) for p in r["patterns"]])
+            hits.append(F.when(F.col("callee").isin(*r["callees"]) & cond, F.struct(F.lit(r["id"]).alias("rule_id"), F.lit(r["severity"]).alias("severity"), pattern.message(F.lit(r["message"]), bound).alias("message"))))
+        m = c.select("file_id", "path", "start_line", "start_col", "end_line", "end_col", F.explode(F.array_compact(F.array(*hits))).alias("m")).select("*", "m.*").drop("m")
+        begin, end = F.struct("start_line", "start_col"), F.struct("end_line", "end_col")
+        m = m.withColumn("b", begin).withColumn("e", end)
+        w = W.partitionBy("file_id", "rule_id").orderBy("b", F.col("e").desc()).rowsBetween(1, W.unboundedFollowing)
+        return m.withColumn("n", F.min("e").over(w)).where(F.col("n").isNull() | (F.col("n") > F.col("e"))).select("rule_id", "severity", "file_id", "path", F.col("start_line").alias("line"), F.col("start_col").alias("col"), "message")
+
+
+#: Rules for review, in our own words.
+RULES = [
+    {"id": "loom.unserialize.open", "severity": "HIGH", "callees": ["unserialize"], "patterns": ["unserialize($DATA)"], "message": "unserialize of $DATA allows every class"},
+    {"id": "loom.unserialize.options", "severity": "LOW", "callees": ["unserialize"], "patterns": ["unserialize($DATA, ...)"], "not": ["unserialize($DATA)"], "message": "unserialize of $DATA has options"},
+    {"id": "loom.other.decoder", "severity": "MEDIUM", "callees": ["igbinary_unserialize", "wddx_deserialize", "yaml_parse", "session_decode"], "patterns": ["$F($DATA)"], "message": "$F restores $DATA"},
+    {"id": "loom.magic.sink", "severity": "MEDIUM", "callees": ["unlink", "file_put_contents", "eval", "call_user_func", "unserialize"], "patterns": ["$F(...)"], "inside": list(MAGIC), "message": "$F runs inside a magic method"},
+]
+
+
+def check_rules(rules: list[dict]) -> tuple[list[dict], list[tuple[str, str]]]:
+    """(rules that can be used, (id, reason) of the others); a rule that is wrong does not stop the others."""
+    good, bad, seen = [], [], set()
+    known = {"id", "severity", "callees", "patterns", "not", "inside", "message"}
+    for r in rules:
+        rid = str(r.get("id", "?"))
+        try:
+            if extra := set(r) - known:
+                raise ValueError(f"unknown key {sorted(extra)[0]!r}")
+            if missing := {"id", "severity", "callees", "patterns", "message"} - set(r):
+                raise ValueError(f"missing key {sorted(missing)[0]!r}")
+            if rid in seen:
+                raise ValueError("duplicate id")
+            if r["severity"] not in ("CRITICAL", "HIGH", "MEDIUM", "LOW", "INFO"):
+                raise ValueError("unknown severity")
+            for p in (*r["patterns"], *r.get("not", ())):
+                if not isinstance(p, str) or not p.strip():
+                    raise ValueError("empty pattern")
+                pattern.compile_pattern(p)
+        except ValueError as x:
+            bad.append((rid, str(x)))
+            continue
+        seen.add(rid)
+        good.append(r)
+    return good, bad
