@@ -36,18 +36,18 @@ NAMES = {
 DOCS_PER_LANGUAGE, SENTENCES_PER_DOC, DICTIONARY_BYTES = 1000, 24, 96_000
 LEAST_WORDS, MARGIN, GAIN, LEVEL, REMEMBERED = 4, 0.12, 0.85, 9, 100_000
 
-_BLANKED = re.compile(
-    r"""```.*?(?:```|\Z)|~~~.*?(?:~~~|\Z)|`[^`\n]*`                     # code
-|«[^»\n]*»|“[^”\n]*”|„[^“”\n]*[“”]|\(?"[^"\n]*"\)?|\[[^\]\n]*\]          # quoted or bracketed phrases
-|<[^<>\n]{1,80}>|&\w+;|\x1b\[[\d;]*m|https?://\S+                       # markup, links
-|[\w.\-]*[/\\][\w./\\\-]*\w(?:\([^()\n]*\))?(?::\d+)*(?:\ (?:HIGH|LOW|MEDIUM|CRITICAL|INFO|CWE-\d+)\b)?   # paths, namespaced names
-|\$\w+(?:\[[^\]\n]*\]|->\w+)*|\w+(?:::|->)\w+(?:\([^()\n]*\))?|\w+\([^()\n]*\)|\b_\w+|\b\w+_\w+\b|\w*\d\w*""",
-    re.S | re.X | re.I,
+#: Code, quoted or bracketed phrases, markup and links; the first look-ahead rules out most places at once.
+_QUOTED = re.compile(
+    r"""(?=[`~«“„("\[<&\x1bh])(?:```.*?(?:```|\Z)|~~~.*?(?:~~~|\Z)|`[^`\n]*`|«[^»\n]*»|“[^”\n]*”|„[^“”\n]*[“”]|\(?"[^"\n]*"\)?|\[[^\]\n]*\]|<[^<>\n]{1,80}>|&\w+;|\x1b\[[\d;]*m|https?://\S+)""",
+    re.S | re.I,
 )
+#: Pieces between white space that are paths, names of code or numbers; punctuation at their end stays.
+_CODE = re.compile(r"(?<!\S)[^\s\\/$_\d(:>]*(?:[\\/$_\d]|(?<=\w)\(|::|->)\S*?(?=[.,;:!?…]*(?:\s|\Z))")
 _LINE = re.compile(r"[^\n\r\x85\u2028\u2029]+")
 _SENTENCE = re.compile(r"[^.!?…。]*[.!?…。]+(?=[\s\"'»”)\]]|\Z)|[^.!?…。]+[.!?…。]?")
 _BULLET = re.compile(r"\s*(?:[-*•>#]+|\d*[.)])\s")
 _WORD = re.compile(r"[^\W\d_]+")
+_MARKS = re.compile("[\u0300-\u036f]+")
 
 
 def _same_length(m: re.Match) -> str:
@@ -56,15 +56,17 @@ def _same_length(m: re.Match) -> str:
 
 def plain(sentence: str) -> str:
     """Lower-case words without accents."""
-    s = unicodedata.normalize("NFD", sentence.replace("đ", "d").replace("Đ", "D").lower())
-    return " ".join(_WORD.findall("".join(c for c in s if not unicodedata.combining(c))))
+    s = sentence.lower()
+    if not s.isascii():
+        s = _MARKS.sub("", unicodedata.normalize("NFD", s.replace("đ", "d")))
+    return " ".join(_WORD.findall(s))
 
 
 def sentences(text: str | None) -> list[tuple[int, int, str]]:
     """(start, end, plain words) of each whole sentence; positions are code points of the text."""
     if not text:
         return []
-    blanked = _BLANKED.sub(_same_length, text)
+    blanked = _CODE.sub(_same_length, _QUOTED.sub(_same_length, text))
     out = []
     for line in _LINE.finditer(blanked):
         b = _BULLET.match(line[0])
