@@ -630,6 +630,7 @@ class Parser:
                     break
             self.want("}")
             return Node("match", t.start, self.last(), None, [subject, *arms])
+        self.i -= 1
         raise Unexpected(t, t.start)
 
     def items(self, start: int, end: str) -> Node:
