@@ -37,7 +37,7 @@ _CODE = re.compile(
     re.S | re.X,
 )
 _OPEN = re.compile(r"<\?(?:php(?:[ \t]|\r\n|\n|\r|\Z)|=)", re.I)
-_VAR_IN_TEXT = re.compile(rf"\$(?={_NAME[:-2]})(?:{_NAME})(?:\[(?:(?:{_NAME}|-?\d+|\${_NAME})\])?|->{_NAME}|\?->{_NAME})?")
+_VAR_IN_TEXT = re.compile(rf"\${_NAME}(?:\[(?:(?:{_NAME}|-?\d+|\${_NAME})\])?|->{_NAME}|\?->{_NAME})?")
 _HALT = re.compile(r"\s*\(\s*\)\s*(?:;|\?>)", re.S)
 BINARY = {"*", "/", "%", "+", "<<", ">>", ".", "<", "<=", ">", ">=", "==", "!=", "<>", "===", "!==", "<=>", "^", "|", "&&", "||", "??", "**"}
 ASSIGN = {"+=", "-=", "*=", "/=", ".=", "%=", "&=", "|=", "^=", "<<=", ">>=", "**=", "??="}
