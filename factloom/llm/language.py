@@ -154,7 +154,7 @@ def clean(labelled: list[tuple[str, str]], rounds: int = 3) -> list[tuple[str, s
 def build(labelled: list[tuple[str, str]], languages: tuple[str, ...] = LANGUAGES) -> Model:
     """A model from sampled (language, words)."""
     by: dict[str, dict[str, None]] = {k: {} for k in languages}
-    for lang, w in clean(sorted(set(labelled))):
+    for lang, w in clean(sorted(labelled)):
         if lang in by:
             by[lang][w] = None
     return Model({k: _packed(by[k]) for k in languages if by[k]})

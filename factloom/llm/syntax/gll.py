@@ -13,7 +13,7 @@ from __future__ import annotations
 import re
 
 TERM, CALL, TAIL, END = range(4)
-_LEX = re.compile(r"\s+|#[^\n]*|'([^']+)'|\{([\d. ]+)\}|([A-Za-z_]\w*)|([:|;()*+?])")
+_LEX = re.compile(r"\s+|#[^\n]*|'([^']+)'|\{([\w. ]+)\}|([A-Za-z_]\w*)|([:|;()*+?])")
 
 
 class Grammar:

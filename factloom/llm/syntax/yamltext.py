@@ -35,7 +35,7 @@ _SINGLE = re.compile(r"'(?:[^']|'')*'")
 _DOUBLE = re.compile(r'"(?:[^"\\]|\\(?:[0abt\tnvfre "/\\N_LP\n\r]|x[0-9A-Fa-f]{2}|u[0-9A-Fa-f]{4}|U[0-9A-Fa-f]{8}))*"')
 _DOC = re.compile(r"(?:---|\.\.\.)(?=[\s\x85\u2028\u2029]|\Z)")
 _NAME = re.compile(r"[&*][^\s,\[\]{}]+")
-_TAG = re.compile(r"!(?:<[^\s<>]+>|[^\s,\[\]{}]*)(?=[\s,\]}]|\Z)")
+_TAG = re.compile(r"!(?:<[^\s<>]+>|[\w\-#;/?:@&=+$.~*'()%!]*)(?=[\s,\]}]|\Z)", re.A)
 _HEADER = re.compile(r"[|>](?:[+-][1-9]?|[1-9][+-]?)?(?=[ \t\r\n\x85]|\Z)[ \t]*(?:(?<=[ \t])#[^\r\n]*)?(?:\r\n|[\n\r\x85]|\Z)")
 
 
