@@ -191,7 +191,7 @@ class _Scanner:
                 if not m:
                     raise ScanError("tab in indentation", self.pos)
                 self.pos = m.end()
-            if self.peek() == "#" and (self.pos == self.line_start or begin != self.pos or self.text[self.pos - 1] in " \t\n\r"):
+            if self.peek() == "#" and (self.pos == self.line_start or begin != self.pos or self.text[self.pos - 1] in " \t\n\r'\""):
                 self._to_eol()
             if not self._newline():
                 return
@@ -263,7 +263,7 @@ class _Scanner:
         self.out.append(("SCALAR", self.pos))
         self.pos = m.end()
         tail = self.peek()
-        if tail not in _BLANK and tail not in ":" and not (self.flow and tail in ",]}"):
+        if tail not in _BLANK and tail not in ":#" and not (self.flow and tail in ",]}"):
             raise ScanError("text after a quoted scalar", self.pos)
 
     def _plain(self) -> None:
