@@ -55,14 +55,18 @@ def q_php_inventory(spark, sf_dir):
     return i.select("file_id", "path", "line", "col", "sink_name", "category", "restricted", "disposition", "origin", "origin_line", "hops", "scope")
 
 
-def q_php_findings(spark, sf_dir):
-    """Routes from the request to a sink: the shortest of each site, with severity and confidence."""
-    i = code(spark, sf_dir).inventory(category).where("disposition IN ('proven_route', 'conditional_route')")
+def findings_of(c: analysis.Code) -> DataFrame:
+    i = c.inventory(category).where("disposition IN ('proven_route', 'conditional_route')")
     severe = F.when(F.col("scope") != "production", "MEDIUM").when(F.col("category") == "DESERIALIZATION", "CRITICAL").when(F.col("category") == "RCE", "HIGH").otherwise("MEDIUM")
     sure = F.when(F.col("certain"), "HIGH").otherwise("MEDIUM")
     return i.select(paths.identity(F.col("path"), F.col("line"), F.col("col"), F.col("sink_name"), length=12).alias("finding_id"), "file_id", "path", "line", "col", "sink_name", "category", severe.alias("severity"), sure.alias("confidence"), "origin", "hops", "origins")
 
 
+def q_php_findings(spark, sf_dir):
+    """Routes from the request to a sink: the shortest of each site, with severity and confidence."""
+    return findings_of(code(spark, sf_dir))
+
+
 def q_php_call_graph(spark, sf_dir):
     return code(spark, sf_dir).call_graph(category)
 
