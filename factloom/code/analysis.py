@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from factloom.functions import paths, pattern
-from factloom.operators import graph
+from factloom.operators import graph, hierarchy
 from factloom.store import Scratch
 
 #: Entry points that run when a serialized object is restored or dropped (fixed values).
@@ -40,8 +40,8 @@ class Code:
 
     def functions(self) -> DataFrame:
         """Functions and methods with the class they belong to."""
-        c = self.rows("classes").select(F.col("id").alias("class_id"), F.lower("name").alias("class"), "namespace" if "namespace" in self.facts.columns and False else F.regexp_extract("name", r"^(.*)\\", 1).alias("namespace"), "traits", "abstract", F.col("kind").alias("class_kind"))
-        return self.rows("functions").drop("abstract").join(c, "class_id", "left").withColumn("low", F.lower("name"))
+        c = self.rows("classes").select(F.col("id").alias("class_id"), F.lower("name").alias("class"), F.regexp_extract("name", r"^(.*)\\", 1).alias("class_ns"), "traits", "abstract", F.col("kind").alias("class_kind"))
+        return self.rows("functions").drop("abstract").join(c, "class_id", "left").withColumn("low", F.lower("name")).withColumn("namespace", F.lower(F.coalesce("class_ns", F.regexp_extract("name", r"^(.*)\\", 1))))
 
     def parents(self) -> DataFrame:
         """(repo_id, class, up, step): traits that are not adapted before the parent; a name with several definitions has the first."""
@@ -50,6 +50,16 @@ class Code:
         up = F.concat(F.when(~F.col("adapted"), F.col("traits")).otherwise(F.array().cast("array<string>")), F.array("parent"))
         return one.select("repo_id", "class", F.posexplode(up).alias("step", "u")).where("u IS NOT NULL").select("repo_id", "class", F.lower("u").alias("up"), "step")
 
+    def descendants(self) -> DataFrame:
+        """(repo_id, up, class): every class below another in its repository, over parents, interfaces and traits."""
+        c = self.rows("classes").withColumn("class", F.lower("name"))
+        ids = self.store.cut(c.groupBy("repo_id", "class").agg(F.min("id").alias("id")))
+        ups = c.select("repo_id", "class", F.explode(F.array_compact(F.concat(F.array("parent"), "interfaces", "traits"))).alias("u")).select("repo_id", "class", F.lower("u").alias("up"))
+        edges = ups.join(ids, ["repo_id", "class"]).join(ids.select("repo_id", F.col("class").alias("up"), F.col("id").alias("dst")), ["repo_id", "up"]).select(F.col("id").alias("src"), "dst")
+        pairs = hierarchy.reach(edges).pairs().where("src <> dst")
+        low = ids.select(F.col("id").alias("src"), "repo_id", "class")
+        return self.store.cut(pairs.join(low, "src").join(ids.select(F.col("id").alias("dst"), F.col("class").alias("up")), "dst").select("repo_id", "up", "class"))
+
     # -- resolution ---------------------------------------------------------------------------------------------------
     def owners(self, wanted: DataFrame, most: int = 32) -> DataFrame:
         """(repo_id, class, low, fn_id, distance): the nearest method of a class, its own before its traits' and its parent's."""
@@ -141,9 +151,22 @@ class Code:
         magic = open_.where("receiver = '$this'").join(node.where("low = '__call'").select("repo_id", F.col("class").alias("own"), F.col("node").alias("dst")), ["repo_id", "own"]).select("repo_id", "src", "dst", *row("magic_call"), "call_id")
         owned = node.where("kind = 'method'").select("repo_id", "namespace", F.col("low").alias("callee"), F.col("node").alias("dst")).distinct()
         prop = open_.where("receiver LIKE '$this->%'").join(owned, ["repo_id", "namespace", "callee"]).select("repo_id", "src", "dst", *row("property"), "call_id")
+        # a declared parameter type: the class itself and everything below it that has the method
+        below = self.descendants()
+        methods = node.where("kind = 'method'").select("repo_id", "class", F.col("low").alias("callee"), F.col("node").alias("dst"))
+        hint = self.rows("functions").select(F.col("id").alias("fn_id"), F.explode("params").alias("p")).select("fn_id", F.concat(F.lit("$"), "p.name").alias("receiver"), F.lower(F.regexp_replace("p.type", r"^[?\\\\]+", "")).alias("hint")).where("hint <> ''")
+        wide = below.select("repo_id", F.col("up").alias("hint"), "class").unionAll(node.where("class IS NOT NULL").select("repo_id", F.col("class").alias("hint"), "class")).distinct()
+        # hints are short or full names; a short one stands for a class of the caller's namespace
+        typed = open_.join(hint, ["fn_id", "receiver"]).withColumn("hint", F.when(F.contains("hint", F.lit("\\")) | (F.col("namespace") == "") | F.col("namespace").isNull(), F.col("hint")).otherwise(F.concat("namespace", F.lit("\\"), "hint")))
+        typed = typed.join(wide, ["repo_id", "hint"]).join(methods, ["repo_id", "class", "callee"]).select("repo_id", "src", "dst", "call_id").distinct()
+        many = typed.groupBy("call_id").agg(F.count("*").alias("n"))
+        one = F.col("n") == 1
+        typed = typed.join(many, "call_id").select("repo_id", "src", "dst", F.when(one, "typed_one").otherwise("typed_many").alias("edge_type"), F.when(one, CONFIDENCE["typed_one"]).otherwise(CONFIDENCE["typed_many"]).alias("confidence"), "call_id")
+        # $this->m() may run the method of a class below
+        virtual = calls.where("how = 'method' AND receiver = '$this'").join(below.select("repo_id", F.col("up").alias("own"), "class"), ["repo_id", "own"]).join(methods, ["repo_id", "class", "callee"]).select("repo_id", "src", "dst", *row("override"), "call_id")
         sinks = calls.where("how IN ('function', 'include')").withColumn("c", F.when(F.col("callee").isin(*DESERIALIZERS), "DESERIALIZATION").otherwise(category(F.col("callee")))).where("c IS NOT NULL")
         sinks = sinks.select("repo_id", "src", F.concat(F.col("repo_id").cast("string"), F.lit(":SINK::"), "callee").alias("dst"), *row("sink"), "call_id")
-        return direct.unionByName(magic).unionByName(prop).unionByName(sinks)
+        return direct.unionByName(magic).unionByName(prop).unionByName(typed).unionByName(virtual).unionByName(sinks)
 
     def chains(self, edges: DataFrame, most: int = 5) -> DataFrame:
         """Paths from restored objects' entry methods to sinks, with a level of confidence by the weakest link."""
@@ -154,6 +177,62 @@ class Code:
         level = F.when(F.col("confidence") >= 0.9, "HIGH").when(F.col("confidence") >= 0.7, "MEDIUM").otherwise("LOW")
         return p.select(F.substring(F.sha2(F.array_join("path", ">"), 256), 1, 12).alias("chain_id"), F.element_at("path", 1).alias("entry"), F.element_at("path", -1).alias("sink"), F.size("path").alias("length"), level.alias("level"), "path", "complete")
 
+    def sites(self) -> DataFrame:
+        """Deserialization calls with the classes that their options let through: deny, allow, allowlist or unknown."""
+        c = self.calls.where(F.col("callee").isin(*DESERIALIZERS) & (F.col("how") == "function"))
+        opts = F.filter("args", lambda a: (a["name"] == "options") | (a["name"].isNull() & (a["at"] == 1)))
+        text = F.try_element_at(F.transform(opts, lambda a: a["text"]), F.lit(1))
+        names = F.transform(F.regexp_extract_all(text, F.lit(r"[\"']?([\w\\\\]+?)(?:[\"']|::class)"), F.lit(1)), lambda x: F.lower(F.regexp_replace(F.regexp_replace(x, r"^\\+", ""), r"\\{2,}", r"\\")))
+        names = F.filter(names, lambda x: x != "allowed_classes")
+        policy = F.when(F.col("restricted"), "deny").when(text.isNull() | text.rlike(r"allowed_classes[\"']\s*=>\s*true"), "allow").when(text.rlike(r"allowed_classes[\"']\s*=>\s*(\[|array\()"), "allowlist").otherwise("unknown")
+        return c.select("file_id", "repo_id", "path", F.col("id").alias("call_id"), "callee", F.col("start_line").alias("line"), policy.alias("policy"), F.when(policy == "allowlist", names).alias("classes"))
+
+    def chain_sites(self, chains: DataFrame) -> DataFrame:
+        """Chains with the sites of their repository whose options let the entry class through, counted by policy."""
+        c = chains.withColumn("repo_id", F.substring_index("entry", ":", 1).cast("int")).withColumn("class", F.regexp_extract("entry", r"^\d+:(.*)::", 1))
+        s = self.sites().groupBy("repo_id", "policy", "classes").agg(F.count("*").alias("n"), F.min(F.struct("path", "line")).alias("first"))
+        fits = F.when(F.col("policy") == "deny", False).when(F.col("policy") == "allowlist", F.array_contains("classes", F.col("class"))).otherwise(True)
+        j = c.join(s, "repo_id", "left").withColumn("fits", F.coalesce(fits, F.lit(False)))
+        return j.groupBy("chain_id").agg(F.coalesce(F.sum(F.when(F.col("fits"), F.col("n"))), F.lit(0)).alias("compatible"), F.coalesce(F.sum(F.when(~F.col("fits"), F.col("n"))), F.lit(0)).alias("excluded"), F.min(F.when(F.col("fits"), F.col("first"))).alias("first"))
+
+    def includes(self) -> DataFrame:
+        """Includes with the path they name, constants of the directory folded, and the file there if it is in the set."""
+        c = self.calls.where("how = 'include'").select("file_id", "repo_id", "path", F.col("id").alias("call_id"), F.col("callee").alias("kind"), "start_line", F.element_at("args", 1)["text"].alias("text"))
+        body = F.regexp_replace("text", r"^(?:include|require)(?:_once)?\s*\(?\s*|\s*\)?\s*$", "")
+        folder = F.regexp_extract("path", r"^(.*)/[^/]*$", 1)
+        here = F.regexp_extract(body, r"^(?:__DIR__|dirname\(__FILE__\))\s*\.\s*['\"]([^'\"$]*)['\"]$", 1)
+        plain = F.regexp_extract(body, r"^['\"]([^'\"$]*)['\"]$", 1)
+        target = F.when(here != "", F.concat(folder, here)).when(plain != "", plain)
+        # one step up at a time, as often as a path of this length can need
+        norm = F.aggregate(F.split(target, "/"), F.array().cast("array<string>"), lambda acc, x: F.when(x.isin("", "."), acc).when((x == "..") & (F.size(acc) > 0), F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.concat(acc, F.array(x))))
+        c = c.withColumn("target", F.when(target.isNotNull(), F.array_join(norm, "/"))).withColumn("anchored", here != "")
+        f = self.facts.select("repo_id", F.col("path").alias("target"), F.col("file_id").alias("target_id"))
+        return c.join(f, ["repo_id", "target"], "left").select("file_id", "call_id", "kind", "start_line", "target", "anchored", "target_id")
+
+    def session_dispatch(self, most: int = 24) -> DataFrame:
+        """Method calls on a session value that a deserialization filled, with the classes of the repository that have the method."""
+        key = r"^\$_SESSION\[['\"](\w+)['\"]\]"
+        cells = self.calls.select("repo_id", "file_id", F.col("id").alias("call_id"), "callee", "receiver", "start_line", "text")
+        stores = self.rows("sessions").select("repo_id", F.col("file_id").alias("store_file"), "key", F.col("line").alias("store_line"))
+        use = cells.where(F.col("receiver").rlike(key)).withColumn("key", F.regexp_extract("receiver", key, 1))
+        m = self.functions().where("kind = 'method' AND visibility = 'public'").groupBy("repo_id", F.col("low").alias("callee")).agg(F.slice(F.array_sort(F.collect_set("class")), 1, most).alias("classes"), F.count_distinct("class").alias("total"))
+        n = stores.groupBy("repo_id", "key").agg(F.count("*").alias("stores"), F.min(F.struct("store_file", "store_line")).alias("first"))
+        return use.join(n, ["repo_id", "key"]).join(m, ["repo_id", "callee"], "left").select("repo_id", "file_id", "start_line", "key", "callee", "stores", "first", "classes", F.coalesce("total", F.lit(0)).alias("total"), (F.coalesce("total", F.lit(0)) > most).alias("truncated"))
+
+    def stored_columns(self) -> DataFrame:
+        """Columns read and written by SQL in string arguments: (table, column, access, call_id)."""
+        a = self.calls.select("repo_id", "file_id", F.col("id").alias("call_id"), "start_line", F.explode("args").alias("a")).select("repo_id", "file_id", "call_id", "start_line", F.lower("a.text").alias("t"))
+        read = a.where(F.col("t").rlike(r"^[\"']\s*select\s")).select("*", F.regexp_extract("t", r"\sfrom\s+[`{]?(\w+)", 1).alias("table"), F.explode(F.split(F.regexp_extract("t", r"select\s+(.*?)\s+from\s", 1), r"\s*,\s*")).alias("column"), F.lit("read").alias("access"))
+        put = a.where(F.col("t").rlike(r"^[\"']\s*insert\s+into\s")).select("*", F.regexp_extract("t", r"insert\s+into\s+[`{]?(\w+)", 1).alias("table"), F.explode(F.split(F.regexp_extract("t", r"\(([^()]*)\)\s*values", 1), r"\s*,\s*")).alias("column"), F.lit("write").alias("access"))
+        both = read.unionByName(put).withColumn("column", F.regexp_replace("column", r"[`\s]|^\w+\.", ""))
+        return both.where("table <> '' AND column <> ''").select("repo_id", "file_id", "call_id", "start_line", "table", "column", "access")
+
+    def coverage(self) -> DataFrame:
+        """Calls per file that have a known target, a category of their own, or neither."""
+        t = self.targets().select("call_id", F.lit(1).alias("known"))
+        c = self.calls.select("file_id", "path", F.col("id").alias("call_id"), "how").join(t, "call_id", "left")
+        return c.groupBy("file_id", "path").agg(F.count("*").alias("calls"), F.count("known").alias("resolved"), F.count_if(F.col("known").isNull() & (F.col("how") == "method")).alias("unresolved_methods"))
+
     # -- rules --------------------------------------------------------------------------------------------------------
     def matches(self, rules: list[dict]) -> DataFrame:
         """(rule_id, severity, file_id, path, line, message) of calls; of matches of one rule that hold another the inner one."""

@@ -28,6 +28,7 @@ SCALAR = set(
 TRANSFORMS = set(
     "base64_decode urldecode rawurldecode gzuncompress gzinflate gzdecode stripslashes trim rtrim ltrim substr str_replace preg_replace sprintf vsprintf strtolower strtoupper dirname basename file_get_contents fread fgets stream_get_contents".split()
 )
+DESERIALIZERS = {"unserialize", "igbinary_unserialize", "wddx_deserialize", "yaml_parse", "session_decode"}
 GUARDS = {"is_numeric", "ctype_digit", "is_int", "is_integer", "is_float", "is_bool"}
 _SCALAR_OPS = {"+", "-", "*", "/", "%", "**", "<<", ">>", "&", "|", "^", "==", "!=", "<>", "===", "!==", "<", "<=", ">", ">=", "<=>", "&&", "||", "and", "or", "xor", "instanceof"}
 IDS = 1 << 20
@@ -50,6 +51,7 @@ class File:
         self.sources: dict[int, dict] = {}
         self.returns: dict[tuple[int, int], None] = {}
         self.props: dict[tuple, None] = {}
+        self.sessions: dict[tuple, None] = {}
         self.namespace, self.first_namespace = "", None
         self.fn, self.cls = self.new_id(("top",)), None
         self.loops: list[list] = []
@@ -562,6 +564,10 @@ class File:
             self.flow(v, d)
             ids = {d}
         var, path = c
+        if var == "_SESSION" and path and path[0]:
+            call = n.kids[1] if n.kind == "assign" else None
+            if call is not None and call.kind == "call" and call.kids[0].kind == "name" and call.kids[0].value.lstrip("\\").lower() in DESERIALIZERS:
+                self.sessions[(self.string(path[0]), n.start)] = None
         if var == "GLOBALS" and path and path[0]:
             for i in ids:
                 self.props[("global", self.string(path[0]), i, True)] = None
@@ -680,6 +686,7 @@ class File:
         return {
             "namespace": self.first_namespace or "", "errors": self.errors, "imports": self.imports, "classes": list(self.classes.values()), "properties": list(self.properties.values()), "functions": list(self.functions.values()), "calls": list(self.calls.values()),
             "edges": [{"src": a, "dst": b, "tag": t} for a, b, t in self.edges], "sources": list(self.sources.values()), "returns": [{"fn_id": f, "value_id": v} for f, v in self.returns],
+            "sessions": [{"key": k, "line": self.lines.at(at)[0]} for k, at in self.sessions],
             "cells": [{"kind": k, "name": n, "value_id": i, "written": w} for k, n, i, w in self.props],
         }
 
@@ -689,7 +696,7 @@ classes array<struct<id bigint, name string, kind string, parent string, interfa
 properties array<struct<class_id bigint, name string, type string, visibility string, static boolean>>,
 functions array<struct<id bigint, class_id bigint, name string, kind string, visibility string, static boolean, abstract boolean, params array<struct<name string, type string, value_id bigint, at int>>, return_type string, start_line int, end_line int>>,
 calls array<struct<id bigint, fn_id bigint, class_name string, how string, callee string, qualified string, receiver string, args array<struct<at int, name string, text string, value_id bigint>>, restricted boolean, start_line int, start_col int, end_line int, end_col int, text string>>,
-edges array<struct<src bigint, dst bigint, tag string>>, sources array<struct<id bigint, fn_id bigint, origin string, line int>>, returns array<struct<fn_id bigint, value_id bigint>>, cells array<struct<kind string, name string, value_id bigint, written boolean>>"""
+edges array<struct<src bigint, dst bigint, tag string>>, sources array<struct<id bigint, fn_id bigint, origin string, line int>>, returns array<struct<fn_id bigint, value_id bigint>>, sessions array<struct<key string, line int>>, cells array<struct<kind string, name string, value_id bigint, written boolean>>"""
 
 
 def _arrow_schema() -> pa.Schema:

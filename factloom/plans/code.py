@@ -76,6 +76,44 @@ def q_php_chains(spark, sf_dir):
     return c.chains(c.call_graph(category))
 
 
+def q_php_sites(spark, sf_dir):
+    """Deserialization sites with the classes their options let through."""
+    return code(spark, sf_dir).sites()
+
+
+def q_php_chain_sites(spark, sf_dir):
+    c = code(spark, sf_dir)
+    return c.chain_sites(c.store.cut(c.chains(c.call_graph(category))))
+
+
+def q_php_includes(spark, sf_dir):
+    return code(spark, sf_dir).includes()
+
+
+def q_php_session_dispatch(spark, sf_dir):
+    return code(spark, sf_dir).session_dispatch()
+
+
+def q_php_stored_columns(spark, sf_dir):
+    return code(spark, sf_dir).stored_columns()
+
+
+def q_php_coverage(spark, sf_dir):
+    return code(spark, sf_dir).coverage()
+
+
+def q_php_routes(spark, sf_dir):
+    """Route evidence of two kinds (request to sink, chain with a compatible site) with status and what is missing."""
+    c = code(spark, sf_dir)
+    i = c.inventory(category)
+    flow = i.where("origins IS NOT NULL").select(paths.identity(F.lit("flow"), F.col("path"), F.col("line"), F.col("col")).alias("route_id"), F.lit("source_to_sink").alias("kind"), F.when(F.col("restricted"), "conditional").when(F.col("certain"), "proven").otherwise("conditional").alias("status"), F.when(F.col("certain"), F.array().cast("array<string>")).otherwise(F.array(F.lit("call_resolution"))).alias("missing"), "path", "line")
+    chains = c.store.cut(c.chains(c.call_graph(category)))
+    s = chains.select("chain_id", "level").join(c.chain_sites(chains), "chain_id")
+    gone = F.array_compact(F.array(F.when(F.col("compatible") == 0, F.lit("deserialization_site")), F.when(F.col("level") != "HIGH", F.lit("receiver_type"))))
+    gadget = s.select(paths.identity(F.lit("chain"), F.col("chain_id")).alias("route_id"), F.lit("candidate_gadget").alias("kind"), F.when(F.col("compatible") > 0, "conditional").otherwise("unknown").alias("status"), gone.alias("missing"), F.col("first.path").alias("path"), F.col("first.line").alias("line"))
+    return flow.unionByName(gadget).dropDuplicates(["route_id"])
+
+
 def q_php_rules(spark, sf_dir):
     """Matches of the review rules."""
     rules, _ = analysis.check_rules(analysis.RULES)

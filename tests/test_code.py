@@ -62,3 +62,24 @@ def test_chains_and_rules(spark):
     good, bad = analysis.check_rules([*analysis.RULES, {"id": "loom.magic.sink", "severity": "LOW", "callees": [], "patterns": ["x"], "message": ""}, {"id": "z", "regex": "a"}])
     assert len(good) == len(analysis.RULES) and [b[0] for b in bad] == ["loom.magic.sink", "z"]
     assert {r.rule_id for r in c.matches(good).collect()} == {"loom.unserialize.options", "loom.magic.sink"}
+
+
+def test_dispatch_edges_sites_includes_sessions_and_stores(spark):
+    texts = [
+        "<?php namespace N; class A { function run() { $this->go(); } function go() {} } class B extends A { function go() { eval($this->x); } } function f(A $a) { $a->go(); }",
+        "<?php unserialize($a, ['allowed_classes' => ['N\\\\A', \\B::class]]); unserialize($b, ['allowed_classes' => false]); unserialize($c); unserialize($d, $e);",
+        "<?php include __DIR__ . '/../src/./f0.php'; require 'src/f1.php'; include $x;",
+        "<?php $_SESSION['cart'] = unserialize($x); function g() { $_SESSION['cart']->go(); $db->query('SELECT a, t.b FROM items WHERE 1'); $db->exec(\"INSERT INTO items (a, c) VALUES (1, 2)\"); }",
+    ]
+    c = analysis.Code(extract(files(spark, texts)))
+    edges = {(r.src[2:], r.dst[2:], r.edge_type) for r in c.call_graph(category).collect()}
+    assert {("n\\a::run", "n\\a::go", "direct"), ("n\\a::run", "n\\b::go", "override"), ("n\\f", "n\\a::go", "typed_many"), ("n\\f", "n\\b::go", "typed_many"), ("n\\b::go", "SINK::eval", "sink")} <= edges
+    assert [r.policy for r in c.sites().where("file_id = 2").orderBy("call_id").collect()] == ["allowlist", "deny", "allow", "unknown"]
+    assert c.sites().where("policy = 'allowlist'").first().classes == ["n\\a", "b"]
+    inc = {r.target: r.target_id for r in c.includes().collect()}
+    assert inc == {"src/f0.php": 1, "src/f1.php": 2, None: None}
+    (d,) = c.session_dispatch().collect()
+    assert (d.key, d.callee, d.stores, d.classes, d.truncated) == ("cart", "go", 1, ["n\\a", "n\\b"], False)
+    assert {(r.table, r.column, r.access) for r in c.stored_columns().collect()} == {("items", "a", "read"), ("items", "b", "read"), ("items", "a", "write"), ("items", "c", "write")}
+    cov = {r.file_id: (r.calls, r.resolved) for r in c.coverage().collect()}
+    assert cov[1] == (3, 1)
