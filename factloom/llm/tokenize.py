@@ -27,6 +27,8 @@ DEFAULT_DIR = "/opt/tokenizers"
 REMEMBERED = 200_000
 #: Words longer than this many bytes are merged in Python by a heap; the row-wise query is quadratic in a word's length.
 LONG = 256
+#: Token-position rows of one query; the recursion holds all its rounds, so this bounds its memory.
+ROWS = 100_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -88,13 +90,19 @@ class Encoder:
                 ws += [w] * len(raw)
                 ps += range(len(raw))
                 ts += [single[x] for x in raw]
+                if len(ws) >= ROWS:
+                    self._fixpoint(words, ws, ps, ts)
+                    ws, ps, ts = [], [], []
         if ws:
-            start = pa.table({"w": pa.array(ws, pa.int32()), "p": pa.array(ps, pa.int32()), "t": pa.array(ts, pa.int32())})
-            self.db.register("start", start)
-            got = self.db.execute(self._FIXPOINT).fetchall()
-            self.db.unregister("start")
-            for w, ids in got:
-                self.words[words[w]] = ids
+            self._fixpoint(words, ws, ps, ts)
+
+    def _fixpoint(self, words: list[str], ws: list[int], ps: list[int], ts: list[int]) -> None:
+        start = pa.table({"w": pa.array(ws, pa.int32()), "p": pa.array(ps, pa.int32()), "t": pa.array(ts, pa.int32())})
+        self.db.register("start", start)
+        got = self.db.execute(self._FIXPOINT).fetchall()
+        self.db.unregister("start")
+        for w, ids in got:
+            self.words[words[w]] = ids
 
     def _long(self, raw: bytes) -> list[int]:
         """The same contraction for one very long word, with a heap of pairs and linked neighbours."""

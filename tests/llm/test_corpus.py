@@ -35,6 +35,7 @@ def test_memory_limit_changes_nothing(vocabulary, monkeypatch):
     e = tokenize.Encoder(vocabulary)
     want = e.encode(TEXTS)
     monkeypatch.setattr(tokenize, "REMEMBERED", 5)
+    monkeypatch.setattr(tokenize, "ROWS", 7)
     small = tokenize.Encoder(vocabulary)
     assert [small.encode([t])[0] for t in TEXTS] == want
 
