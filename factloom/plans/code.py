@@ -76,6 +76,28 @@ def q_php_chains(spark, sf_dir):
     return c.chains(c.call_graph(category))
 
 
+def q_php_structural(spark, sf_dir):
+    """Calls that decode request data with open options, matched by structure."""
+    from factloom.code import structural
+
+    c = structural.calls_matching(code(spark, sf_dir).calls, "unserialize($DATA, ...)", ("unserialize($X, ['allowed_classes' => false])",))
+    return c.select("file_id", "start_line", "start_col", F.col("bindings")["$DATA"].alias("data"))
+
+
+def q_php_review(spark, sf_dir, budget: int = 120):
+    """Per finding the code around it (at most ``budget`` lines, centred on the sink, inside the file) and the question for a reviewer."""
+    files = php_files(spark, sf_dir)
+    c = analysis.Code(extract(files))
+    f = findings_of(c).select("finding_id", "file_id", "path", "line", "sink_name", "origin")
+    text = files.select("file_id", F.split(F.decode("content", "ISO-8859-1"), "\r\n|\n|\r").alias("ls"))
+    j = f.join(text, "file_id")
+    first = F.greatest(F.lit(1), F.least(F.col("line") - budget // 2, F.size("ls") - budget + 1))
+    j = j.withColumn("first", first).withColumn("lines", F.slice("ls", F.col("first"), F.lit(budget)))
+    shown = F.transform("lines", lambda x, i: F.concat(F.when(F.col("first") + i == F.col("line"), "> ").otherwise("  "), (F.col("first") + i).cast("string"), F.lit(": "), x))
+    ask = F.format_string("Does %s reach %s in %s:%d with a class of the sender's choice? Answer with one JSON object.", "origin", "sink_name", "path", "line")
+    return j.select("finding_id", "path", "line", F.col("first").alias("first_line"), F.array_join(shown, "\n").alias("code"), ask.alias("question"), (F.size("ls") > budget).alias("cut"))
+
+
 def q_php_sites(spark, sf_dir):
     """Deserialization sites with the classes their options let through."""
     return code(spark, sf_dir).sites()
