@@ -118,10 +118,12 @@ class Code:
 
     def taint(self, edges: DataFrame) -> DataFrame:
         """(node, origin_id, hops, certain): request values that reach each value; certain if no unknown call is on some way."""
-        start = self.rows("sources").select(F.col("id").alias("node"), F.col("id").alias("origin_id")).distinct()
-        every = graph.propagate(start, edges.select("src", "dst"), ["origin_id"])
-        sure = graph.propagate(start, edges.where("tag <> 'unresolved'").select("src", "dst"), ["origin_id"])
-        return self.store.cut(every.join(sure.select("node", "origin_id", F.lit(True).alias("s")), ["node", "origin_id"], "left").select("node", "origin_id", "hops", F.coalesce("s", F.lit(False)).alias("certain")))
+        # One fixpoint for both: a value is two nodes, reached surely (odd) or over an unknown call (even).
+        start = self.rows("sources").select((F.col("id") * 2 + 1).alias("node"), F.col("id").alias("origin_id")).distinct()
+        a, b, sure = F.col("src") * 2, F.col("dst") * 2, F.col("tag") != "unresolved"
+        both = edges.where(sure).select((a + 1).alias("src"), (b + 1).alias("dst")).unionAll(edges.select(a.alias("src"), b.alias("dst"))).unionAll(edges.where(~sure).select((a + 1).alias("src"), b.alias("dst")))
+        t = graph.propagate(start, both, ["origin_id"]).groupBy(F.shiftright("node", 1).alias("node"), "origin_id")
+        return self.store.cut(t.agg(F.min("hops").alias("hops"), F.max(F.col("node") % 2 == 1).alias("certain")))
 
     def inventory(self, category) -> DataFrame:
         """Every sink call with its argument, whether request values reach it, and the first disposition that applies."""

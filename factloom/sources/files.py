@@ -31,7 +31,7 @@ def discover(spark: SparkSession, root: str, extensions=paths.EXTENSIONS, exclud
     own = F.when(rel == "", F.substring_index("path", "/", -1)).otherwise(rel)
     t = raw.withColumn("file_path", own).where(paths.has_extension(F.col("file_path"), extensions) & paths.outside(F.col("file_path"), excluded))
     small = t.where(F.col("length") <= most_bytes)
-    files = small.select(F.xxhash64("file_path").bitwiseAND(F.lit((1 << 42) - 1)).alias("file_id"), F.lit(1).alias("repo_id"), "file_path", "content", F.col("length").alias("n_bytes"))
+    files = small.select(F.xxhash64("file_path").bitwiseAND(F.lit((1 << 41) - 1)).alias("file_id"), F.lit(1).alias("repo_id"), "file_path", "content", F.col("length").alias("n_bytes"))
     large = t.where(F.col("length") > most_bytes).select("file_path", F.lit("resource_limit").alias("phase"), F.concat(F.lit("larger than "), F.lit(str(most_bytes)), F.lit(" bytes")).alias("message"))
     return files, large
 
