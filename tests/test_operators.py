@@ -91,3 +91,15 @@ def test_ranking_and_spans(spark):
     assert {(r.k, r.at) for r in asof.suppress(p, s, ["k"], "at", "s", "e", 1).collect()} == {(1, 14), (1, 200), (2, 100)}
     got = asof.interval_owner(p, s.select("k", "s", F.concat_ws("-", "s", "e").alias("id")), ["k"], "at", "s", "id")
     assert {(r.k, r.at, r.id) for r in got.collect()} == {(1, 3, "2-5"), (1, 14, "6-12"), (1, 200, "6-12"), (2, 100, "0-1")}
+
+
+def test_scope_lookup_against_brute_force(spark, tmp_path):
+    from factloom.plans.relational import q_scope_lookup
+
+    rng = random.Random(3)
+    classes = [(i, rng.choice([1, 2, None]), rng.choice([None, *range(1, 400)])) for i in range(60)] + [(100, 3, 10)]
+    sinks = [(i, rng.choice([1, 2, 3]), "a.php", rng.randrange(1, 400)) for i in range(120)] + [(200, 3, "a.php", 9), (201, 3, "a.php", 11)]
+    spark.createDataFrame(classes, "class_id bigint, repo_id int, start_line int").write.parquet(f"{tmp_path}/class_symbol.parquet")
+    spark.createDataFrame(sinks, "sink_id bigint, repo_id int, file_path string, start_line int").write.parquet(f"{tmp_path}/sink_inventory.parquet")
+    want = {s: max(((at, c) for c, r, at in classes if r == repo and at is not None and at <= line), default=(0, None))[1] for s, repo, _, line in sinks}
+    assert {r.sink_id: r.class_id for r in q_scope_lookup(spark, str(tmp_path)).collect()} == want
