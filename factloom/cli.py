@@ -22,7 +22,7 @@ def options(argv: list[str] | None = None) -> argparse.Namespace:
         s.add_argument("--max-bytes", type=int, default=5_000_000)
         s.add_argument("--exclude", action="append", default=[])
         s.add_argument("--min-severity", choices=["CRITICAL", "HIGH", "MEDIUM", "LOW", "INFO"], default="INFO")
-        s.add_argument("--max-depth", type=int, default=5)
+        s.add_argument("--max-depth", type=int, default=6)
         s.add_argument("--php-version", type=_version, default="8.1")
     sub.add_parser("verify-rules")
     return p.parse_args(argv)

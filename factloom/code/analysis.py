@@ -170,12 +170,16 @@ class Code:
         sinks = sinks.select("repo_id", "src", F.concat(F.col("repo_id").cast("string"), F.lit(":SINK::"), "callee").alias("dst"), *row("sink"), "call_id")
         return direct.unionByName(magic).unionByName(prop).unionByName(typed).unionByName(virtual).unionByName(sinks)
 
-    def chains(self, edges: DataFrame, most: int = 5) -> DataFrame:
-        """Paths from restored objects' entry methods to sinks, with a level of confidence by the weakest link."""
+    def chains(self, edges: DataFrame, depth: int = 6) -> DataFrame:
+        """Paths from restored objects' entry methods to sinks, with a level of confidence by the weakest link.
+
+        A chain has at most ``depth`` calls and the link to its sink; ``complete`` is false on the chains of an entry method
+        from which a longer one was left.
+        """
         e = self.store.cut(edges)
         entry = e.select(F.col("src").alias("node")).where(F.regexp_extract("node", r"::(\w+)$", 1).isin(*ENTRIES)).distinct()
         sink = e.where("edge_type = 'sink'").select(F.col("dst").alias("node")).distinct()
-        p = graph.simple_paths(e, entry, sink, most)
+        p = graph.simple_paths(e, entry, sink, depth + 1, mark_depth=True)
         level = F.when(F.col("confidence") >= 0.9, "HIGH").when(F.col("confidence") >= 0.7, "MEDIUM").otherwise("LOW")
         return p.select(F.substring(F.sha2(F.array_join("path", ">"), 256), 1, 12).alias("chain_id"), F.element_at("path", 1).alias("entry"), F.element_at("path", -1).alias("sink"), F.size("path").alias("length"), level.alias("level"), "path", "complete")
 

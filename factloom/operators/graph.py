@@ -24,22 +24,28 @@ def distances(edges: DataFrame, targets: DataFrame, most: int | None = None) ->
     return known
 
 
-def simple_paths(edges: DataFrame, starts: DataFrame, ends: DataFrame, most: int, budget: int | None = None) -> DataFrame:
+def simple_paths(edges: DataFrame, starts: DataFrame, ends: DataFrame, most: int, budget: int | None = None, mark_depth: bool = False) -> DataFrame:
     """(path, confidence, complete): simple paths of at most ``most`` links from a start to an end.
 
     Nodes farther from every end than the links that are left are not entered. ``confidence`` is the least of the links.
-    With a ``budget`` the walk stops entering a level of more paths; ``complete`` is then false on every row.
+    With a ``budget`` the walk stops entering a level of more paths; ``complete`` is then false on every row. With
+    ``mark_depth`` it is also false on the rows of a start from which a way to an end was left for its length.
     """
     store = Scratch(edges.sparkSession, "paths")
     e = store.cut(edges.groupBy("src", "dst").agg(F.max("confidence").alias("confidence")))
-    far = store.cut(distances(e, ends.select("node"), most))
+    far = store.cut(distances(e, ends.select("node"), None if mark_depth else most))
     stop = far.where("distance = 0").select(F.col("node").alias("dst"), F.lit(True).alias("end"))
-    walk = starts.select("node").distinct().join(far, "node", "left_semi").select(F.col("node").alias("src"), F.array("node").alias("path"), F.lit(1.0).alias("confidence"))
-    done, complete = [], True
+    walk = starts.select("node").distinct().join(far.where(F.col("distance") <= most), "node", "left_semi").select(F.col("node").alias("src"), F.array("node").alias("path"), F.lit(1.0).alias("confidence"))
+    done, left, complete = [], [], True
     for k in range(1, most + 1):
         step = walk.join(e.withColumnRenamed("confidence", "c"), "src").where(~F.array_contains("path", F.col("dst")))
-        step = step.join(far.select(F.col("node").alias("dst"), "distance"), "dst").where(F.col("distance") <= most - k)
-        step = store.cut(step.join(stop, "dst", "left").select(F.col("dst").alias("src"), F.concat("path", F.array("dst")).alias("path"), F.least("confidence", "c").alias("confidence"), F.coalesce("end", F.lit(False)).alias("end")))
+        step = step.join(far.select(F.col("node").alias("dst"), "distance"), "dst").withColumn("late", F.col("distance") > most - k)
+        if not mark_depth:
+            step = step.where("NOT late")
+        path = F.when(F.col("late"), F.slice("path", 1, 1)).otherwise(F.concat("path", F.array("dst")))
+        step = store.cut(step.join(stop, "dst", "left").select(F.col("dst").alias("src"), path.alias("path"), F.least("confidence", "c").alias("confidence"), F.coalesce("end", F.lit(False)).alias("end"), "late"))
+        left.append(step.where("late").select(F.element_at("path", 1).alias("start")))
+        step = step.where("NOT late")
         if step.isEmpty():
             break
         done.append(step.where("end").select("path", "confidence"))
@@ -50,7 +56,13 @@ def simple_paths(edges: DataFrame, starts: DataFrame, ends: DataFrame, most: int
     out = done[0] if done else walk.select("path", "confidence").limit(0)
     for d in done[1:]:
         out = out.unionAll(d)
-    return out.withColumn("complete", F.lit(complete))
+    if not mark_depth or not left:
+        return out.withColumn("complete", F.lit(complete))
+    cut = left[0]
+    for d in left[1:]:
+        cut = cut.unionAll(d)
+    out = out.withColumn("start", F.element_at("path", 1)).join(cut.distinct().withColumn("cut", F.lit(True)), "start", "left")
+    return out.select("path", "confidence", (F.lit(complete) & F.col("cut").isNull()).alias("complete"))
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -83,3 +83,12 @@ def test_dispatch_edges_sites_includes_sessions_and_stores(spark):
     assert {(r.table, r.column, r.access) for r in c.stored_columns().collect()} == {("items", "a", "read"), ("items", "b", "read"), ("items", "a", "write"), ("items", "c", "write")}
     cov = {r.file_id: (r.calls, r.resolved) for r in c.coverage().collect()}
     assert cov[1] == (3, 1)
+
+
+def test_chains_of_seven_links_and_a_mark_where_depth_stops_one(spark):
+    steps = lambda name, n: f"class {name} {{ function __destruct() {{ $this->m1(); }} " + "".join(f"function m{k}() {{ {f'$this->m{k + 1}()' if k < n else 'unlink($x)'}; }} " for k in range(1, n + 1)) + "}"
+    both = "class C { function __destruct() { unlink($x); $this->m1(); } " + "".join(f"function m{k}() {{ {f'$this->m{k + 1}()' if k < 7 else 'unlink($x)'}; }} " for k in range(1, 8)) + "}"
+    c = analysis.Code(extract(files(spark, ["<?php " + steps("A", 6) + steps("B", 7) + both])))
+    edges = c.call_graph(category)
+    assert {(r.entry, r.length, r.complete) for r in c.chains(edges).collect()} == {("1:a::__destruct", 8, True), ("1:c::__destruct", 2, False)}
+    assert {(r.entry, r.length, r.complete) for r in c.chains(edges, 7).collect()} == {("1:a::__destruct", 8, True), ("1:b::__destruct", 9, True), ("1:c::__destruct", 2, True), ("1:c::__destruct", 9, True)}
