@@ -139,7 +139,10 @@ class Code:
 
     # -- call graph ---------------------------------------------------------------------------------------------------
     def call_graph(self, category) -> DataFrame:
-        """(repo_id, src, dst, edge_type, confidence, call_id) between methods, functions and sinks; one row per call and target."""
+        """(repo_id, src, dst, edge_type, confidence, call_id) between methods, functions and sinks; one row per call and target.
+
+        Conversions to text and reads of typed members lead to __toString and __get without a call, so without call_id.
+        """
         fn = self.functions()
         name = F.concat(F.col("repo_id").cast("string"), F.lit(":"), F.when(F.col("class").isNotNull(), F.concat("class", F.lit("::"), "low")).otherwise(F.col("low")))
         node = self.store.cut(fn.where("kind <> 'closure'").select("repo_id", F.col("id").alias("fn_id"), name.alias("node"), "class", "low", "namespace", "kind"))
@@ -168,7 +171,17 @@ class Code:
         virtual = calls.where("how = 'method' AND receiver = '$this'").join(below.select("repo_id", F.col("up").alias("own"), "class"), ["repo_id", "own"]).join(methods, ["repo_id", "class", "callee"]).select("repo_id", "src", "dst", *row("override"), "call_id")
         sinks = calls.where("how IN ('function', 'include')").withColumn("c", F.when(F.col("callee").isin(*DESERIALIZERS), "DESERIALIZATION").otherwise(category(F.col("callee")))).where("c IS NOT NULL")
         sinks = sinks.select("repo_id", "src", F.concat(F.col("repo_id").cast("string"), F.lit(":SINK::"), "callee").alias("dst"), *row("sink"), "call_id")
-        return direct.unionByName(magic).unionByName(prop).unionByName(typed).unionByName(virtual).unionByName(sinks)
+        # the declared class and everything below it, with the method that each has or inherits
+        known = self.rows("classes").select("repo_id", F.lower("name").alias("class")).distinct()
+        under = self.store.cut(below.select("repo_id", F.col("up").alias("hint"), "class").unionAll(known.select("repo_id", F.col("class").alias("hint"), "class")).distinct())
+        touch = self.rows("implicit").where("type IS NOT NULL").select("repo_id", "fn_id", F.col("method").alias("low"), F.col("type").alias("hint")).distinct()
+        touch = self.store.cut(touch.join(src.select("fn_id", "src"), "fn_id").join(under, ["repo_id", "hint"]))
+        owner = self.owners(touch).select("repo_id", "class", "low", F.col("fn_id").alias("to")).join(node.select(F.col("fn_id").alias("to"), F.col("node").alias("dst")), "to")
+        touch = touch.join(owner, ["repo_id", "class", "low"]).select("repo_id", "src", "fn_id", "hint", "low", "dst").distinct()
+        few = touch.groupBy("fn_id", "hint", "low").agg((F.count("*") == 1).alias("one"))
+        sure = F.when(F.col("one"), CONFIDENCE["typed_one"]).otherwise(CONFIDENCE["typed_many"])
+        touch = touch.join(few, ["fn_id", "hint", "low"]).groupBy("repo_id", "src", "dst", F.when(F.col("low") == "__get", "magic_get").otherwise("magic_tostring").alias("edge_type")).agg(F.max(sure).alias("confidence")).withColumn("call_id", F.lit(None).cast("bigint"))
+        return direct.unionByName(magic).unionByName(touch).unionByName(prop).unionByName(typed).unionByName(virtual).unionByName(sinks)
 
     def chains(self, edges: DataFrame, depth: int = 6) -> DataFrame:
         """Paths from restored objects' entry methods to sinks, with a level of confidence by the weakest link.

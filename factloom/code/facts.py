@@ -9,6 +9,8 @@ ids are the reaching definitions of the file, and flows through calls are joins
 
 from __future__ import annotations
 
+import re
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,6 +36,8 @@ _SCALAR_OPS = {"+", "-", "*", "/", "%", "**", "<<", ">>", "&", "|", "^", "==", "
 IDS = 1 << 20
 ROUNDS = 8
 PATH_DEPTH = 4
+#: A text that begins with a member of $this.
+_MEMBER = re.compile(r"\$this->[A-Za-z_\x80-\xff][\w\x80-\xff]*(?=->|\[|\Z)")
 
 
 class File:
@@ -52,6 +56,7 @@ class File:
         self.returns: dict[tuple[int, int], None] = {}
         self.props: dict[tuple, None] = {}
         self.sessions: dict[tuple, None] = {}
+        self.implicit: dict[tuple, str | None] = {}
         self.namespace, self.first_namespace = "", None
         self.fn, self.cls = self.new_id(("top",)), None
         self.loops: list[list] = []
@@ -354,6 +359,8 @@ class File:
         name = self.string(s.value["name"])
         if kind == "function":
             name = f"{self.namespace}\\{name}" if self.namespace else name
+        if i not in self.functions and body is not None and kind != "closure":
+            self.touches(i, body, {x.value["name"]: self.string(x.value["type"]) for x in s.kids if x is not None and x.kind == "param"})
         self.functions.setdefault(i, {
             "id": i, "class_id": self.cls["id"] if kind == "method" else None, "name": name, "kind": kind, "visibility": next((m for m in mods if m in ("public", "protected", "private")), "public"),
             "static": "static" in mods, "abstract": body is None, "params": params, "return_type": self.string(s.value["type"]), "start_line": self.lines.at(s.start)[0], "end_line": self.lines.at(max(s.end - 1, 0))[0],
@@ -362,6 +369,38 @@ class File:
         self.fn, self.loops = outer
         return i
 
+    def touches(self, fn: int, body: Node, hints: dict) -> None:
+        """Conversions to text and reads of members of $this, which may run __toString and __get; not those of inner functions and classes."""
+        cls, called, stack = self.cls["id"] if self.cls else None, set(), [body]
+        while stack:
+            n = stack.pop()
+            if n.kind in ("function", "method", "closure", "class"):
+                continue
+            stack.extend(k for k in n.kids if k is not None)
+            if n.kind == "call":
+                called.add(id(n.kids[0]))
+            elif n.kind == "member":
+                if id(n) not in called and n.kids[1].kind == "ident" and self.text.find("$this", n.kids[0].start, n.kids[0].end) >= 0:
+                    self.implicit.setdefault((fn, cls, "__get", "$this->" + n.kids[1].value), None)
+            elif n.kind == "cast" and "string" in n.value or n.kind == "binary" and n.value == ".":
+                for k in n.kids:
+                    while k.kind == "paren":
+                        k = k.kids[0]
+                    if m := _MEMBER.match(self.text, k.start, k.end):
+                        self.implicit.setdefault((fn, cls, "__tostring", m[0]), None)
+                    elif n.kind == "cast" and k.kind == "var" and k.value in hints:
+                        self.implicit[(fn, cls, "__tostring", self.string("$" + k.value))] = self.hint(hints[k.value])
+
+    def hint(self, declared: str | None) -> str | None:
+        """The class that a declared type names, in small letters; None for none or several."""
+        t = (declared or "").strip().lstrip("?")
+        if not t or any(c in t for c in "|&[") or "callable" in t.lower():
+            return None
+        t = self.qualify(t)
+        if self.cls and t in ("self", "static", "parent"):
+            t = self.cls["parent"] if t == "parent" else self.cls["name"]
+        return t.lower() if t else None
+
     def s_class(self, s, env):
         v, outer = s.value, self.cls
         name = self.string(v["name"])
@@ -382,6 +421,9 @@ class File:
         for k in s.kids:
             if k.kind == "method":
                 self.function(k, "method")
+        for fn, cls, method, receiver in list(self.implicit):
+            if cls == self.cls["id"] and receiver.startswith("$this->"):
+                self.implicit[(fn, cls, method, receiver)] = self.hint(self.properties.get((cls, receiver[7:]), {}).get("type"))
         self.cls = outer
         return env
 
@@ -686,6 +728,7 @@ class File:
         return {
             "namespace": self.first_namespace or "", "errors": self.errors, "imports": self.imports, "classes": list(self.classes.values()), "properties": list(self.properties.values()), "functions": list(self.functions.values()), "calls": list(self.calls.values()),
             "edges": [{"src": a, "dst": b, "tag": t} for a, b, t in self.edges], "sources": list(self.sources.values()), "returns": [{"fn_id": f, "value_id": v} for f, v in self.returns],
+            "implicit": [{"fn_id": f, "method": m, "receiver": self.string(r), "type": t} for (f, _, m, r), t in self.implicit.items()],
             "sessions": [{"key": k, "line": self.lines.at(at)[0]} for k, at in self.sessions],
             "cells": [{"kind": k, "name": n, "value_id": i, "written": w} for k, n, i, w in self.props],
         }
@@ -696,7 +739,7 @@ classes array<struct<id bigint, name string, kind string, parent string, interfa
 properties array<struct<class_id bigint, name string, type string, visibility string, static boolean>>,
 functions array<struct<id bigint, class_id bigint, name string, kind string, visibility string, static boolean, abstract boolean, params array<struct<name string, type string, value_id bigint, at int>>, return_type string, start_line int, end_line int>>,
 calls array<struct<id bigint, fn_id bigint, class_name string, how string, callee string, qualified string, receiver string, args array<struct<at int, name string, text string, value_id bigint>>, restricted boolean, start_line int, start_col int, end_line int, end_col int, text string>>,
-edges array<struct<src bigint, dst bigint, tag string>>, sources array<struct<id bigint, fn_id bigint, origin string, line int>>, returns array<struct<fn_id bigint, value_id bigint>>, sessions array<struct<key string, line int>>, cells array<struct<kind string, name string, value_id bigint, written boolean>>"""
+edges array<struct<src bigint, dst bigint, tag string>>, sources array<struct<id bigint, fn_id bigint, origin string, line int>>, returns array<struct<fn_id bigint, value_id bigint>>, implicit array<struct<fn_id bigint, method string, receiver string, type string>>, sessions array<struct<key string, line int>>, cells array<struct<kind string, name string, value_id bigint, written boolean>>"""
 
 
 def _arrow_schema() -> pa.Schema:

@@ -92,3 +92,17 @@ def test_chains_of_seven_links_and_a_mark_where_depth_stops_one(spark):
     edges = c.call_graph(category)
     assert {(r.entry, r.length, r.complete) for r in c.chains(edges).collect()} == {("1:a::__destruct", 8, True), ("1:c::__destruct", 2, False)}
     assert {(r.entry, r.length, r.complete) for r in c.chains(edges, 7).collect()} == {("1:a::__destruct", 8, True), ("1:b::__destruct", 9, True), ("1:c::__destruct", 2, True), ("1:c::__destruct", 9, True)}
+
+
+def test_edges_of_text_conversions_and_member_reads(spark):
+    texts = [
+        "<?php namespace N; use M\\T as Text; class A { private Text $t; private ?P $p; private int $i; function __destruct() { $x = 'a' . $this->t . $this->i; } function __wakeup() { return $this->p->name; } function f() { $this->p->go(); $g = function () { return 'a' . $this->t; }; } }"
+        " class P { function __get($n) { unlink($n); } } class Q extends P { function __get($n) { eval($n); } } function show(\\M\\T $v, $w) { return (string) $v . (string) $w; }",
+        "<?php namespace M; class Base { function __toString() { unlink($this->f); return ''; } } class T extends Base { }",
+    ]
+    c = analysis.Code(extract(files(spark, texts)))
+    edges = c.call_graph(category)
+    got = {(r.src[2:], r.dst[2:], r.edge_type, r.confidence) for r in edges.where("edge_type IN ('magic_get', 'magic_tostring')").collect()}
+    to, get = ("m\\base::__tostring", "magic_tostring", 0.9), [(f"n\\{c}::__get", "magic_get", 0.7) for c in "pq"]
+    assert got == {("n\\a::__destruct", *to), ("n\\show", *to), *(("n\\a::" + m, *g) for m in ("__wakeup", "f") for g in get)}
+    assert {(r.entry[2:], r.sink[2:], r.level) for r in c.chains(edges).collect()} == {("n\\a::__destruct", "SINK::unlink", "HIGH"), ("n\\a::__wakeup", "SINK::unlink", "MEDIUM"), ("n\\a::__wakeup", "SINK::eval", "MEDIUM")}
