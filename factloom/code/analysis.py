@@ -241,7 +241,7 @@ class Code:
     def stored_columns(self) -> DataFrame:
         """Columns read and written by SQL in string arguments: (table, column, access, call_id)."""
         a = self.calls.select("repo_id", "file_id", F.col("id").alias("call_id"), "start_line", F.explode("args").alias("a")).select("repo_id", "file_id", "call_id", "start_line", F.lower("a.text").alias("t"))
-        read = a.where(F.col("t").rlike(r"^[\"']\s*select\s")).select("*", F.regexp_extract("t", r"\sfrom\s+[`{]?(\w+)", 1).alias("table"), F.explode(F.split(F.regexp_extract("t", r"select\s+(.*?)\s+from\s", 1), r"\s*,\s*")).alias("column"), F.lit("read").alias("access"))
+        read = a.where(F.col("t").rlike(r"^[\"']\s*select\s")).select("*", F.regexp_extract("t", r"\sfrom\s+[`{]?(\w+)", 1).alias("table"), F.explode(F.split(F.regexp_extract("t", r"(?s)select\s+(.*?)\s+from\s", 1), r"\s*,\s*")).alias("column"), F.lit("read").alias("access"))
         put = a.where(F.col("t").rlike(r"^[\"']\s*insert\s+into\s")).select("*", F.regexp_extract("t", r"insert\s+into\s+[`{]?(\w+)", 1).alias("table"), F.explode(F.split(F.regexp_extract("t", r"\(([^()]*)\)\s*values", 1), r"\s*,\s*")).alias("column"), F.lit("write").alias("access"))
         both = read.unionByName(put).withColumn("column", F.regexp_replace("column", r"[`\s]|^\w+\.", ""))
         return both.where("table <> '' AND column <> ''").select("repo_id", "file_id", "call_id", "start_line", "table", "column", "access")

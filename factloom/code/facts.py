@@ -36,6 +36,8 @@ _SCALAR_OPS = {"+", "-", "*", "/", "%", "**", "<<", ">>", "&", "|", "^", "==", "
 IDS = 1 << 20
 ROUNDS = 8
 PATH_DEPTH = 4
+#: Characters of code in the calls of one batch of facts; texts are whole, and those of nested calls hold each other.
+BATCH = 4_000_000
 #: A text that begins with a member of $this.
 _MEMBER = re.compile(r"\$this->[A-Za-z_\x80-\xff][\w\x80-\xff]*(?=->|\[|\Z)")
 
@@ -701,12 +703,12 @@ class File:
         for k, (a, ids) in enumerate(zip(args, got)):
             v = self.new_id(("arg", i, k))
             self.flow(ids, v)
-            rows.append({"at": k, "name": self.string(a.value) if a.kind == "arg" and a.value and a.value not in ("...", "(...)") else None, "text": self.src(a)[:500], "value_id": v})
+            rows.append({"at": k, "name": self.string(a.value) if a.kind == "arg" and a.value and a.value not in ("...", "(...)") else None, "text": self.src(a), "value_id": v})
         (l1, c1), (l2, c2) = self.lines.at(n.start), self.lines.at(n.end)
         full = self.qualify(callee, "function") if how == "function" and callee else callee
         self.calls[i] = {
             "id": i, "fn_id": self.fn, "class_name": self.cls["name"] if self.cls else None, "how": how, "callee": callee.lstrip("\\").lower() if callee else None, "qualified": full.lower() if full else None, "receiver": receiver, "args": rows,
-            "restricted": self.restricted(args), "start_line": l1, "start_col": c1, "end_line": l2, "end_col": c2, "text": self.src(n)[:500],
+            "restricted": self.restricted(args), "start_line": l1, "start_col": c1, "end_line": l2, "end_col": c2, "text": self.src(n),
         }
         return i
 
@@ -752,12 +754,13 @@ def _arrow_schema() -> pa.Schema:
 def _extract(schema: pa.Schema):
     def run(batches):
         for b in batches:
-            rows = []
+            rows, size = [], 0
             for fid, repo, path, content in zip(*(c.to_pylist() for c in b.columns)):
                 rows.append({"file_id": fid, "repo_id": repo, "path": path, **File(fid, content or b"").row()})
-                if len(rows) == 200:
+                size += sum(len(c["text"]) + len(c["receiver"] or "") + sum(len(a["text"]) for a in c["args"]) for c in rows[-1]["calls"])
+                if len(rows) == 200 or size > BATCH:
                     yield pa.RecordBatch.from_pylist(rows, schema)
-                    rows = []
+                    rows, size = [], 0
             if rows:
                 yield pa.RecordBatch.from_pylist(rows, schema)
 

@@ -19,7 +19,7 @@ def compile_pattern(pattern: str) -> tuple[str, list[str]]:
     out, names = [], []
     for x in _PIECE.findall(pattern.strip()):
         if x == "...":
-            out.append(r".*?")
+            out.append(r"(?s:.*?)")
         elif re.fullmatch(r"\$[A-Z][A-Z0-9_]*", x):
             if x in names:
                 out.append(rf"\{names.index(x) + 1}")

@@ -106,3 +106,16 @@ def test_edges_of_text_conversions_and_member_reads(spark):
     to, get = ("m\\base::__tostring", "magic_tostring", 0.9), [(f"n\\{c}::__get", "magic_get", 0.7) for c in "pq"]
     assert got == {("n\\a::__destruct", *to), ("n\\show", *to), *(("n\\a::" + m, *g) for m in ("__wakeup", "f") for g in get)}
     assert {(r.entry[2:], r.sink[2:], r.level) for r in c.chains(edges).collect()} == {("n\\a::__destruct", "SINK::unlink", "HIGH"), ("n\\a::__wakeup", "SINK::unlink", "MEDIUM"), ("n\\a::__wakeup", "SINK::eval", "MEDIUM")}
+
+
+def test_calls_longer_than_500_characters_are_whole(spark):
+    from factloom.code import structural
+
+    pad = "".join(f"'N\\C{k}',\n" for k in range(80))
+    columns = ", ".join(f"t.c{k}\n" for k in range(150))
+    c = analysis.Code(extract(files(spark, [f"<?php unserialize($a, ['allowed_classes' => [{pad} 'N\\Last']]);", f"<?php unserialize($a, ['x' => [{pad}], 'allowed_classes' => true]);", f"<?php $db->query('SELECT {columns} FROM items WHERE 1');"])))
+    assert {(r.file_id, r.rule_id) for r in c.matches(analysis.check_rules(analysis.RULES)[0]).collect()} == {(1, "loom.unserialize.options"), (2, "loom.unserialize.options")}
+    assert {r.file_id for r in structural.calls_matching(c.calls, "unserialize($DATA, ...)").collect()} == {1, 2}
+    sites = {r.file_id: r for r in c.sites().collect()}
+    assert (sites[1].policy, len(sites[1].classes), sites[1].classes[-1], sites[2].policy) == ("allowlist", 81, "n\\last", "allow")
+    assert {(r.table, r.column) for r in c.stored_columns().collect()} == {("items", f"c{k}") for k in range(150)}
