@@ -34,7 +34,6 @@ DESERIALIZERS = {"unserialize", "igbinary_unserialize", "wddx_deserialize", "yam
 GUARDS = {"is_numeric", "ctype_digit", "is_int", "is_integer", "is_float", "is_bool"}
 _SCALAR_OPS = {"+", "-", "*", "/", "%", "**", "<<", ">>", "&", "|", "^", "==", "!=", "<>", "===", "!==", "<", "<=", ">", ">=", "<=>", "&&", "||", "and", "or", "xor", "instanceof"}
 IDS = 1 << 20
-ROUNDS = 8
 PATH_DEPTH = 4
 #: Characters of code in the calls of one batch of facts; texts are whole, and those of nested calls hold each other.
 BATCH = 4_000_000
@@ -214,7 +213,8 @@ class File:
     def loop(self, env, body, guard=None, at_least_once=False):
         exits: list = []
         start = env
-        for _ in range(ROUNDS):
+        # the sets of ids only grow and ids stand for places of the file, so this ends
+        while True:
             self.loops.append([])
             inner = dict(start)
             after = body(inner)

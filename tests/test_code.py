@@ -119,3 +119,11 @@ def test_calls_longer_than_500_characters_are_whole(spark):
     sites = {r.file_id: r for r in c.sites().collect()}
     assert (sites[1].policy, len(sites[1].classes), sites[1].classes[-1], sites[2].policy) == ("allowlist", 81, "n\\last", "allow")
     assert {(r.table, r.column) for r in c.stored_columns().collect()} == {("items", f"c{k}") for k in range(150)}
+
+
+def test_loops_run_until_nothing_new_comes_in(spark):
+    names = [f"$v{k}" for k in range(40)]
+    body = " ".join(f"{a} = {b};" for a, b in zip(names[1:][::-1], names[:-1][::-1])) + " $v0 = $_GET['x'];"
+    texts = [f"<?php while ($n--) {{ {body} }} unserialize($v39);", f"<?php do {{ {body} }} while ($n--); unserialize($v39);", f"<?php foreach ($l as $n) {{ while ($n--) {{ {body} }} }} unserialize($v39); unserialize($v40);"]
+    got = [(r.file_id, r.disposition) for r in analysis.Code(extract(files(spark, texts))).inventory(category).orderBy("file_id", "col").collect()]
+    assert got == [(1, "proven_route"), (2, "proven_route"), (3, "proven_route"), (3, "no_modeled_source")]
