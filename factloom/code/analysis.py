@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from factloom.code.facts import IDS
 from factloom.functions import paths, pattern
 from factloom.operators import graph, hierarchy
 from factloom.store import Scratch
@@ -19,6 +20,7 @@ ENTRIES = ("__destruct", "__wakeup", "__unserialize")
 MAGIC = (*ENTRIES, "__tostring", "__call", "__get", "__set", "__invoke")
 DESERIALIZERS = ("unserialize", "igbinary_unserialize", "wddx_deserialize", "yaml_parse", "session_decode")
 CONFIDENCE = {"direct": 1.0, "static": 1.0, "magic_call": 0.9, "typed_one": 0.9, "typed_many": 0.7, "override": 0.55, "property": 0.4, "sink": 1.0}
+SCOPE_BITS = IDS.bit_length() - 1
 
 
 class Code:
@@ -252,6 +254,48 @@ class Code:
         c = self.calls.select("file_id", "path", F.col("id").alias("call_id"), "how").join(t, "call_id", "left")
         return c.groupBy("file_id", "path").agg(F.count("*").alias("calls"), F.count("known").alias("resolved"), F.count_if(F.col("known").isNull() & (F.col("how") == "method")).alias("unresolved_methods"))
 
+    def finding_coverage(self, found: DataFrame, modeled: list[str]) -> DataFrame:
+        """What a finding depends on: the scopes of its sink and origin and all functions that are called from them, over known calls.
+
+        ``found(finding_id, file_id, fn_id, origin_id)``. Files, those of them with errors, and calls without a known target that
+        are not ``modeled``: all counted, the first 32 listed.
+        """
+        key = ["finding_id", "file_id"]
+        calls = self.calls.where("how IN ('function', 'method', 'static')").select(F.col("file_id").alias("at"), "path", F.col("id").alias("call_id"), F.col("fn_id").alias("node"), "how", "callee", "start_line", "start_col")
+        calls = self.store.cut(calls.join(self.targets().select("call_id", F.col("fn_id").alias("to")), "call_id", "left"))
+        found = self.store.cut(found)
+        origin = found.join(self.rows("sources").select(F.col("id").alias("origin_id"), F.col("fn_id").alias("node")), "origin_id").select("node", *key)
+        start = found.select(F.col("fn_id").alias("node"), *key).unionByName(origin).distinct()
+        scopes = graph.propagate(start, calls.where("to IS NOT NULL").select(F.col("node").alias("src"), F.col("to").alias("dst")), key)
+        file = self.facts.select(F.col("file_id").alias("at"), "path", (F.size("errors") > 0).alias("failed"))
+        # the id of a scope begins with its file's
+        files = scopes.withColumn("at", F.shiftright("node", SCOPE_BITS)).join(file, "at").groupBy(*key).agg(F.countDistinct("node").alias("scopes"), F.array_sort(F.collect_set("path")).alias("files"), F.array_sort(F.collect_set(F.when(F.col("failed"), F.col("path")))).alias("fallback_files"))
+        static = (F.col("how") == "function") & F.col("callee").isNotNull()
+        kind = F.when(static, "external_or_missing_function").otherwise("unresolved_dispatch")
+        open_ = calls.where(F.col("to").isNull() & ~(static & F.coalesce(F.col("callee"), F.lit("")).isin(*modeled))).select("node", F.struct("path", "start_line", "start_col", "callee", kind.alias("kind")).alias("c"))
+        open_ = scopes.join(open_, "node").select(*key, "c")
+        w = W.partitionBy(*key).orderBy("c")
+        open_ = open_.withColumn("n", F.row_number().over(w)).groupBy(*key).agg(F.count("*").alias("unresolved"), F.array_sort(F.collect_list(F.when(F.col("n") <= 32, F.col("c")))).alias("unresolved_calls"))
+        out = files.join(open_, key, "left").withColumn("unresolved", F.coalesce("unresolved", F.lit(0)))
+        return out.select(*key, "scopes", "files", "fallback_files", "unresolved", "unresolved_calls", (F.col("unresolved") > 32).alias("unresolved_truncated"))
+
+    def dispatch_sinks(self, uses: DataFrame, edges: DataFrame, category, depth: int = 4) -> DataFrame:
+        """``session_dispatch`` with the sinks of the call graph at most ``depth`` links from any class's method, and whether ways go on behind them."""
+        e = self.store.cut(edges.select("src", "dst").distinct())
+        m = self.functions().where("kind = 'method' AND visibility = 'public'").select("repo_id", F.col("low").alias("callee"), F.concat(F.col("repo_id").cast("string"), F.lit(":"), "class", F.lit("::"), "low").alias("node")).distinct()
+        level = self.store.cut(uses.select("repo_id", "callee").distinct().join(m, ["repo_id", "callee"]))
+        parts = [level]
+        for _ in range(depth):
+            step = level.join(e.withColumnRenamed("src", "node"), "node").select("repo_id", "callee", F.col("dst").alias("node")).distinct()
+            level = self.store.cut(step.join(self.store.union(parts), ["repo_id", "callee", "node"], "left_anti"))
+            parts.append(level)
+        name = F.regexp_extract("node", r"^\d+:SINK::(.*)$", 1)
+        kinds = ("RCE", "DYNAMIC_INVOCATION", "FILE_WRITE", "FILE_DELETE", "FILE_READ_INCLUDE")
+        got = self.store.union(parts).withColumn("sink", name).where("sink <> ''").where(category(F.col("sink")).isin(*kinds)).groupBy("repo_id", "callee").agg(F.array_sort(F.collect_set("sink")).alias("sinks"))
+        more = level.join(e.select(F.col("src").alias("node")), "node", "left_semi").select("repo_id", "callee").distinct().withColumn("deeper", F.lit(True))
+        out = uses.join(got, ["repo_id", "callee"], "left").join(more, ["repo_id", "callee"], "left")
+        return out.withColumn("sinks", F.coalesce("sinks", F.array().cast("array<string>"))).withColumn("deeper", F.coalesce("deeper", F.lit(False)))
+
     # -- rules --------------------------------------------------------------------------------------------------------
     def matches(self, rules: list[dict]) -> DataFrame:
         """(rule_id, severity, file_id, path, line, message) of calls; of matches of one rule that hold another the inner one."""

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.code import analysis
-from factloom.code.facts import extract
+from factloom.code.facts import SCALAR, SOURCE_CALLS, TRANSFORMS, extract
 from factloom.functions import paths
-from factloom.plans.relational import category
+from factloom.plans.relational import CATEGORIES, category
 from factloom.store import once, table
 
 
@@ -113,7 +113,8 @@ def q_php_includes(spark, sf_dir):
 
 
 def q_php_session_dispatch(spark, sf_dir):
-    return code(spark, sf_dir).session_dispatch()
+    c = code(spark, sf_dir)
+    return c.dispatch_sinks(c.session_dispatch(), c.call_graph(category), category)
 
 
 def q_php_stored_columns(spark, sf_dir):
@@ -124,6 +125,18 @@ def q_php_coverage(spark, sf_dir):
     return code(spark, sf_dir).coverage()
 
 
+def finding_coverage_of(c: analysis.Code) -> DataFrame:
+    modeled = sorted({*SCALAR, *TRANSFORMS, *SOURCE_CALLS, *analysis.DESERIALIZERS, *" ".join(CATEGORIES.values()).split(), "isset", "empty", "unset", "exit", "die"})
+    i = c.inventory(category).where("disposition IN ('proven_route', 'conditional_route')")
+    f = i.select(paths.identity(F.col("path"), F.col("line"), F.col("col"), F.col("sink_name"), length=12).alias("finding_id"), "file_id", "fn_id", "origin_id")
+    return c.finding_coverage(f, modeled)
+
+
+def q_php_finding_coverage(spark, sf_dir):
+    """Per finding the files, files with errors and unknown calls in the functions that it depends on."""
+    return finding_coverage_of(code(spark, sf_dir))
+
+
 def q_php_routes(spark, sf_dir):
     """Route evidence of two kinds (request to sink, chain with a compatible site) with status and what is missing."""
     c = code(spark, sf_dir)

@@ -127,3 +127,21 @@ def test_loops_run_until_nothing_new_comes_in(spark):
     texts = [f"<?php while ($n--) {{ {body} }} unserialize($v39);", f"<?php do {{ {body} }} while ($n--); unserialize($v39);", f"<?php foreach ($l as $n) {{ while ($n--) {{ {body} }} }} unserialize($v39); unserialize($v40);"]
     got = [(r.file_id, r.disposition) for r in analysis.Code(extract(files(spark, texts))).inventory(category).orderBy("file_id", "col").collect()]
     assert got == [(1, "proven_route"), (2, "proven_route"), (3, "proven_route"), (3, "no_modeled_source")]
+
+
+def test_coverage_of_a_finding_and_sinks_of_a_dispatch(spark):
+    from factloom.plans.code import finding_coverage_of
+
+    texts = [
+        "<?php function go($x) { unserialize($x); a(); missing(); } go($_GET['x']); $q->other();",
+        "<?php function a() { b(); trim('x'); } function unused() { lost(); }",
+        "<?php function b() { $o->m(); a(); } broken (",
+        "<?php $_SESSION['cart'] = unserialize($x); $_SESSION['cart']->run(); class R { function run() { $this->s(); } function s() { unlink($x); } } class S { function run() { unserialize($x); } }",
+    ]
+    c = analysis.Code(extract(files(spark, texts)))
+    (r,) = finding_coverage_of(c).collect()
+    assert (r.file_id, r.scopes, r.files, r.fallback_files, r.unresolved_truncated) == (1, 4, ["src/f0.php", "src/f1.php", "src/f2.php"], ["src/f2.php"], False)
+    assert (r.unresolved, [(x.path, x.callee) for x in r.unresolved_calls]) == (3, [("src/f0.php", "missing"), ("src/f0.php", "other"), ("src/f2.php", "m")])
+    e = c.call_graph(category)
+    assert [(d.classes, d.sinks, d.deeper) for d in c.dispatch_sinks(c.session_dispatch(), e, category).collect()] == [(["r", "s"], ["unlink"], False)]
+    assert [(d.sinks, d.deeper) for d in c.dispatch_sinks(c.session_dispatch(), e, category, 1).collect()] == [([], True)]
