@@ -63,23 +63,25 @@ class Code:
         return self.store.cut(pairs.join(low, "src").join(ids.select(F.col("id").alias("dst"), F.col("class").alias("up")), "dst").select("repo_id", "up", "class"))
 
     # -- resolution ---------------------------------------------------------------------------------------------------
-    def owners(self, wanted: DataFrame, most: int = 32) -> DataFrame:
+    def owners(self, wanted: DataFrame) -> DataFrame:
         """(repo_id, class, low, fn_id, distance): the nearest method of a class, its own before its traits' and its parent's."""
         m = self.store.cut(self.functions().where("kind = 'method'").groupBy("repo_id", F.col("class").alias("at"), "low").agg(F.min("id").alias("fn_id")))
         ups = self.store.cut(self.parents())
         live = wanted.select("repo_id", "class", "low").distinct().select("*", F.col("class").alias("at"), F.lit(0).alias("order"))
-        out, k = None, 0
-        while k <= most:
+        out, k, seen = None, 0, []
+        while True:
             hit = self.store.cut(live.join(m, ["repo_id", "at", "low"], "left"))
             got = hit.where("fn_id IS NOT NULL").groupBy("repo_id", "class", "low").agg(F.min_by("fn_id", F.struct("order", "fn_id")).alias("fn_id")).withColumn("distance", F.lit(k))
             out = got if out is None else out.unionAll(got)
             rest = hit.where("fn_id IS NULL").join(got.select("repo_id", "class", "low"), ["repo_id", "class", "low"], "left_anti")
-            live = rest.drop("fn_id", "order").join(ups.withColumnRenamed("class", "at").withColumnRenamed("step", "order"), ["repo_id", "at"]).drop("at").withColumnRenamed("up", "at").select("repo_id", "class", "low", "at", "order").distinct()
+            live = rest.drop("fn_id", "order").join(ups.withColumnRenamed("class", "at").withColumnRenamed("step", "order"), ["repo_id", "at"]).drop("at").withColumnRenamed("up", "at").select("repo_id", "class", "low", "at", "order")
+            # a class that was asked before, as in a cycle, is not asked again
+            seen.append(self.store.cut(hit.select("repo_id", "class", "low", "at").distinct()))
+            live = live.groupBy("repo_id", "class", "low", "at").agg(F.min("order").alias("order")).join(self.store.union(seen), ["repo_id", "class", "low", "at"], "left_anti")
             live = self.store.cut(live)
             if live.isEmpty():
-                break
+                return out
             k += 1
-        return out
 
     def targets(self) -> DataFrame:
         """(call_id, fn_id, how): each call with the function it must mean; ambiguous ones are left out."""

@@ -145,3 +145,9 @@ def test_coverage_of_a_finding_and_sinks_of_a_dispatch(spark):
     e = c.call_graph(category)
     assert [(d.classes, d.sinks, d.deeper) for d in c.dispatch_sinks(c.session_dispatch(), e, category).collect()] == [(["r", "s"], ["unlink"], False)]
     assert [(d.sinks, d.deeper) for d in c.dispatch_sinks(c.session_dispatch(), e, category, 1).collect()] == [([], True)]
+
+
+def test_method_inherited_over_more_than_32_levels_and_a_cycle(spark):
+    text = "<?php class C0 { function m() {} } " + " ".join(f"class C{k} extends C{k - 1} {{ }}" for k in range(1, 36)) + " C35::m(); class X extends Y { } class Y extends X { } X::m();"
+    c = analysis.Code(extract(files(spark, [text])))
+    assert [r.how for r in c.targets().collect()] == ["static"]
