@@ -54,7 +54,11 @@ def main(argv: list[str] | None = None) -> int:
     files, errors = discover(spark, o.target, excluded=(*EXCLUDED, *o.exclude), most_bytes=o.max_bytes)
     code = analysis.Code(extract(files))
     if o.command == "find-gadgets":
-        code.chains(code.call_graph(category), o.max_depth).orderBy("length", "chain_id").show(200, False)
+        chains = code.store.cut(code.chains(code.call_graph(category), o.max_depth)).orderBy("length", "chain_id")
+        if o.output:
+            writers.write_rows(chains, o.output)
+        else:
+            chains.show(200, False)
         return 0
     found = findings_of(code)
     keep = [s for s, r in writers.RANK.items() if r >= writers.RANK[o.min_severity]]

@@ -57,3 +57,18 @@ def test_streams(spark, tmp_path):
     f.write.parquet(f"{tmp_path}/files")
     facts = incremental.drain(incremental.facts_stream(incremental.read_table_stream(spark, f"{tmp_path}/files")), "facts")
     assert facts.first().classes[0].name == "A"
+
+
+def test_documents_hold_all_findings_and_chains_go_to_output(spark, tmp_path):
+    n = 5003
+    df = spark.range(n).selectExpr("concat('f', id) AS finding_id", "id AS file_id", "'a.php' AS path", "CAST(id AS INT) AS line", "1 AS col", "'unlink' AS sink_name", "'FILE_DELETE' AS category", "'LOW' AS severity", "'LOW' AS confidence", "'$_GET' AS origin", "1 AS hops", "1L AS origins")
+    for kind in ("json", "sarif", "html"):
+        getattr(writers, f"write_{kind}")(df, f"{tmp_path}/all.{kind}")
+    doc = json.load(open(f"{tmp_path}/all.json"))
+    assert not doc["findings_truncated"] and [f["line"] for f in doc["findings"]] == list(range(n))
+    assert len(json.load(open(f"{tmp_path}/all.sarif"))["runs"][0]["results"]) == n
+    assert open(f"{tmp_path}/all.html").read().count("<tr>") == n + 1
+    (tmp_path / "t").mkdir()
+    (tmp_path / "t" / "a.php").write_text("<?php class A { function __destruct() { unlink($this->f); } }")
+    assert cli.main(["find-gadgets", str(tmp_path / "t"), "--output", str(tmp_path / "chains.json")]) == 0
+    assert [c["length"] for c in json.load(open(tmp_path / "chains.json"))] == [2]
