@@ -58,7 +58,7 @@ class Code:
         ids = self.store.cut(c.groupBy("repo_id", "class").agg(F.min("id").alias("id")))
         ups = c.select("repo_id", "class", F.explode(F.array_compact(F.concat(F.array("parent"), "interfaces", "traits"))).alias("u")).select("repo_id", "class", F.lower("u").alias("up"))
         edges = ups.join(ids, ["repo_id", "class"]).join(ids.select("repo_id", F.col("class").alias("up"), F.col("id").alias("dst")), ["repo_id", "up"]).select(F.col("id").alias("src"), "dst")
-        pairs = hierarchy.reach(edges).pairs().where("src <> dst")
+        pairs = hierarchy.reach(edges).where("src <> dst")
         low = ids.select(F.col("id").alias("src"), "repo_id", "class")
         return self.store.cut(pairs.join(low, "src").join(ids.select(F.col("id").alias("dst"), F.col("class").alias("up")), "dst").select("repo_id", "up", "class"))
 

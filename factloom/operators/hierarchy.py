@@ -1,10 +1,10 @@
 """Parent-child rows to full hierarchies, by hash splitters.
 
-A deterministic hash makes one node in ``gap`` a splitter. Every node walks to its next splitters (the walk doubles its
-stride each round, and passes only through nodes that are no splitters); the splitters then form a reduced graph a
-``gap``-th as large, which is solved on its own; joining both gives the reach of every node. A cycle with a splitter
-shows as a splitter that reaches itself in the reduced graph; a cycle without one as a node that reaches itself on the
-walk, where it is closed off because no pair is walked twice.
+A deterministic hash makes one node in ``gap`` a splitter. Every node walks to its next splitters; each round doubles the
+stride, and only the front of a walk goes on. The splitters then form a reduced pointer graph a
+``gap``-th as large, which is solved the same way with other splitters; one join expands it to all nodes. A cycle with a
+splitter shrinks from level to level until a splitter points to itself. A walk on a cycle without one meets a node of its
+own trail, and ends there with the mark of a cycle.
 
 Nodes are BIGINT ids. Null ends, repeated edges and edges to ids that have no row of their own are allowed: null ends
 are ignored, repeats count once, an id without an outgoing edge is an end. An empty edge table gives empty results.
@@ -12,99 +12,67 @@ are ignored, repeats count once, an id without an outgoing edge is an end. An em
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.store import Scratch
 
-GAP = 8
+GAP = 64
 
 
 def _is_splitter(c, gap: int):
     return F.pmod(F.xxhash64(c), F.lit(gap)) == 0
 
 
-def _double(store: Scratch, first: DataFrame, through) -> DataFrame:
-    """All pairs (src, dst) reachable over ``first`` where every node passed satisfies ``through``.
+def reach(edges: DataFrame, wanted: DataFrame | None = None, gap: int = GAP) -> DataFrame:
+    """(src, dst): which nodes of ``wanted(id)`` (all, if there is none) each node of ``edges(src, dst)`` reaches by one link or more.
 
-    Round i joins the pairs found last (shortest distance above half the stride) with all pairs of up to that stride,
-    so the stride doubles and no pair is expanded twice.
+    A row with null ``dst`` tells that links from ``src`` lead into a cycle. A node is paired with itself only if it is
+    on a cycle.
     """
-    known = store.cut(first)
-    fresh, parts = known, [known]
-    while True:
-        step = (
-            fresh.where(through(F.col("dst")))
-            .select(F.col("src"), F.col("dst").alias("mid"))
-            .join(known.select(F.col("src").alias("mid"), "dst"), "mid")
-            .select("src", "dst")
-            .distinct()
-            .join(known, ["src", "dst"], "left_anti")
-        )
-        fresh = store.cut(step)
-        if fresh.isEmpty():
-            store.drop(fresh)
-            return known
-        parts.append(fresh)
-        known = store.union(parts)
-
-
-@dataclass
-class Reach:
-    """``walk``: pairs up to and including the next splitters; ``over``: pairs between splitters."""
-
-    walk: DataFrame
-    over: DataFrame
-    cyclic: DataFrame
-    gap: int
-
-    def pairs(self) -> DataFrame:
-        """Every (src, dst) with a path of one edge or more."""
-        far = self.walk.where(_is_splitter(F.col("dst"), self.gap)).select("src", F.col("dst").alias("s1"))
-        # From a first splitter: its own walk, and the walks of all splitters that it reaches.
-        hub = self.over.select(F.col("src").alias("s1"), F.col("dst").alias("s2"))
-        start = self.walk.where(_is_splitter(F.col("src"), self.gap))
-        own = start.select(F.col("src").alias("s1"), "dst")
-        via = hub.join(start.select(F.col("src").alias("s2"), "dst"), "s2").select("s1", "dst")
-        return self.walk.unionAll(far.join(own.unionAll(via).distinct(), "s1").select("src", "dst")).distinct()
-
-    def pairs_to(self, wanted: DataFrame) -> DataFrame:
-        """As ``pairs``, for ``dst`` in ``wanted(id)`` only; the filter goes into each leg before the joins."""
-        want = wanted.select(F.col("id").alias("dst")).distinct()
-        far = self.walk.where(_is_splitter(F.col("dst"), self.gap)).select("src", F.col("dst").alias("s1"))
-        hub = self.over.select(F.col("src").alias("s1"), F.col("dst").alias("s2"))
-        near = self.walk.join(want, "dst", "left_semi").select("src", "dst")
-        start = near.where(_is_splitter(F.col("src"), self.gap))
-        own = start.select(F.col("src").alias("s1"), "dst")
-        via = hub.join(start.select(F.col("src").alias("s2"), "dst"), "s2").select("s1", "dst")
-        return near.unionAll(far.join(own.unionAll(via).distinct(), "s1").select("src", "dst")).distinct()
-
-
-def reach(edges: DataFrame, gap: int = GAP) -> Reach:
-    """Reachability over ``edges(src, dst)``."""
     store = Scratch(edges.sparkSession, "reach")
     e = edges.where("src IS NOT NULL AND dst IS NOT NULL").select("src", "dst").distinct()
-    walk = _double(store, e, lambda c: ~_is_splitter(c, gap))
-    between = walk.where(_is_splitter(F.col("src"), gap) & _is_splitter(F.col("dst"), gap))
-    over = _double(store, between, lambda c: F.lit(True))
-    loops = walk.where("src = dst").unionAll(over.where("src = dst")).select(F.col("src").alias("id"))
-    cyclic_seed = store.cut(loops.distinct())
-    # Other nodes of a cycle with a splitter: they reach one of its splitters, which reaches them.
-    on = cyclic_seed.where(_is_splitter(F.col("id"), gap))
-    into = walk.join(on.select(F.col("id").alias("dst")), "dst", "left_semi")
-    back = walk.join(on.select(F.col("id").alias("src")), "src", "left_semi")
-    hub = over.join(on.select(F.col("id").alias("src")), "src", "left_semi").unionAll(on.select(F.col("id").alias("src"), F.col("id").alias("dst")))
-    # n -> s1 ; s1 ->* s2 ; s2 -> n
-    rest = (
-        into.select(F.col("src").alias("id"), F.col("dst").alias("s1"))
-        .join(hub.select(F.col("src").alias("s1"), F.col("dst").alias("s2")), "s1")
-        .join(back.select(F.col("src").alias("s2"), F.col("dst").alias("id")), ["s2", "id"], "left_semi")
-        .select("id")
-    )
-    cyclic = store.cut(cyclic_seed.unionAll(rest).distinct())
-    return Reach(walk, over, cyclic, gap)
+    marks = e if wanted is None else e.join(wanted.select(F.col("id").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
+    pairs = e.withColumn("mark", F.lit(False)).unionAll(marks.withColumn("mark", F.lit(True)))
+    return _solve(store, pairs, gap, 0).distinct()
+
+
+def _solve(store: Scratch, pairs: DataFrame, gap: int, level: int) -> DataFrame:
+    """(src, dst) of every src that has marks, from ``pairs(src, dst, mark)``: links (mark false) and marks that a node has itself.
+
+    A walk (src, dst, trail) has passed the nodes of ``trail``, dst the last. Of walks between the same nodes one is kept;
+    a shortest one never meets itself, so no node is missed when a walk that does is ended with the mark of a cycle.
+    """
+    split = lambda c: F.pmod(F.xxhash64(c, F.lit(level)), F.lit(gap)) == 0
+    moving = ~F.col("mark") & ~split(F.col("dst"))
+
+    def put(walks: DataFrame) -> tuple[DataFrame, list[int]]:
+        """Walks that came round get the mark of a cycle; the others are thinned to one for each pair of ends."""
+        trail = F.concat(F.array("src"), "trail")
+        loop = ~F.col("mark") & (F.size(F.array_distinct(trail)) < F.size(trail))
+        walks = walks.select("src", F.when(~loop, F.col("dst")).alias("dst"), (F.col("mark") | loop).alias("mark"), F.when(loop | F.col("mark") | split(F.col("dst")), F.array().cast(trail_type)).otherwise(F.col("trail")).alias("trail"))
+        return store.cut_counting(walks.groupBy("src", "dst", "mark").agg(F.min("trail").alias("trail")), ~F.col("mark"), moving)
+
+    trail_type = f"array<{pairs.schema['dst'].dataType.simpleString()}>"
+    table, (links, live) = put(pairs.select("src", "dst", "mark", F.array("dst").alias("trail")))
+    if not links:
+        return table.select("src", "dst")
+    parts = [table]
+    while live:
+        walks = parts[-1].where(moving)
+        settled = store.union(parts).where(~moving).unionAll(walks)
+        at = settled.select(F.col("src").alias("at"), F.col("dst").alias("to"), "mark", F.col("trail").alias("more"))
+        step = walks.select("src", F.col("dst").alias("at"), "trail").join(at, "at")
+        # what has settled is without a trail, but has moved on by a link at least
+        more = F.when(F.size("more") > 0, F.col("more")).otherwise(F.array("to"))
+        table, (_, live) = put(step.select("src", F.col("to").alias("dst"), "mark", F.concat("trail", more).alias("trail")))
+        parts.append(table)
+    done = store.union(parts).where(~moving).select("src", "dst", "mark")
+    marks, hops = done.where("mark").select("src", "dst"), done.where("NOT mark").select("src", "dst")
+    # the splitters' own links and marks are the reduced graph
+    small = _solve(store, done.where(split(F.col("src"))), gap, level + 1)
+    far = hops.withColumnRenamed("dst", "hub").join(small.withColumnRenamed("src", "hub"), "hub").select("src", "dst")
+    return marks.unionAll(far)
 
 
 def paths(pointers: DataFrame, gap: int = GAP) -> DataFrame:

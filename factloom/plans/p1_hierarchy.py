@@ -29,7 +29,7 @@ def definitions(raw: DataFrame) -> DataFrame:
 def links(raw: DataFrame, store: Scratch):
     """(defs with the node id ``nid`` of their own name, links (class_id, nid, to_nid))."""
     d = store.cut(definitions(raw))
-    names = store.cut(d.where("name IS NOT NULL").groupBy("repo_id", "name").agg(F.min("class_id").alias("to_nid")))
+    names = d.where("name IS NOT NULL").groupBy("repo_id", "name").agg(F.min("class_id").alias("to_nid"))
     defs = store.cut(d.join(names.withColumnRenamed("to_nid", "nid"), ["repo_id", "name"], "left").withColumn("nid", F.coalesce("nid", "class_id")))
     wants = defs.select("class_id", "nid", "repo_id", "parent", F.explode("targets").alias("name"))
     found = wants.join(names, ["repo_id", "name"]).select("class_id", "nid", "to_nid", F.col("name").eqNullSafe(F.col("parent")).alias("is_parent"))
@@ -41,16 +41,14 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = Scratch(spark, "p1")
     defs, found = links(table(spark, sf_dir, "class_symbol"), store)
     edges = found.select(F.col("nid").alias("src"), F.col("to_nid").alias("dst"))
-    r = hierarchy.reach(edges)
-    roots = store.cut(defs.join(found.select("class_id").distinct(), "class_id", "left_anti").select(F.col("class_id").alias("root_id"), "nid"))
-    ends = roots.select(F.col("nid").alias("id")).distinct()
-    # names that hold a root, as seen from each target name, itself included
+    roots = store.cut(defs.join(found.select("class_id").distinct(), "class_id", "left_anti").select(F.col("class_id").alias("root_id"), F.col("nid").alias("end")))
+    ends = roots.select(F.col("end").alias("id")).distinct()
+    # names that hold a root, as seen from each target name, itself included; 0 for a cycle
     near = ends.select(F.col("id").alias("to_nid"), F.col("id").alias("end"))
-    seen = r.pairs_to(ends).select(F.col("src").alias("to_nid"), F.col("dst").alias("end")).unionAll(near)
-    holds = seen.join(roots.select(F.col("nid").alias("end"), "root_id"), "end").select("to_nid", "root_id").distinct()
-    lead = r.pairs_to(r.cyclic).select(F.col("src").alias("to_nid")).unionAll(r.cyclic.select(F.col("id").alias("to_nid"))).distinct().withColumn("root_id", F.lit(0).cast("long"))
-    step = found.select("class_id", "to_nid")
-    return step.join(holds.unionAll(lead), "to_nid").select("class_id", "root_id").where("class_id <> root_id").distinct()
+    seen = store.cut(hierarchy.reach(edges, ends).select(F.col("src").alias("to_nid"), F.col("dst").alias("end")).unionAll(near))
+    loops = seen.where("end IS NULL").select("to_nid", F.lit(0).cast("long").alias("root_id"))
+    holds = seen.join(roots, "end").select("to_nid", "root_id").unionAll(loops).distinct()
+    return found.select("class_id", "to_nid").join(holds, "to_nid").select("class_id", "root_id").where("class_id <> root_id").distinct()
 
 
 def p1_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,7 +64,7 @@ def p1_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = Scratch(spark, "p1d")
     defs, found = links(table(spark, sf_dir, "class_symbol"), store)
     r = hierarchy.reach(found.select(F.col("nid").alias("src"), F.col("to_nid").alias("dst")))
-    onto = r.pairs().select(F.col("src").alias("to_nid"), F.col("dst").alias("up")).unionAll(found.select("to_nid", F.col("to_nid").alias("up")).distinct()).distinct()
+    onto = r.where("dst IS NOT NULL").select(F.col("src").alias("to_nid"), F.col("dst").alias("up")).unionAll(found.select("to_nid", F.col("to_nid").alias("up")).distinct()).distinct()
     up = found.select("class_id", "to_nid").join(onto, "to_nid").select("class_id", "up").distinct()
     return up.join(defs.select(F.col("nid").alias("up"), F.col("class_id").alias("ancestor_id")), "up").select("ancestor_id", "class_id").where("ancestor_id <> class_id").distinct()
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -29,13 +29,19 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Written tables in the shared folder. ``drop`` deletes those that nothing reads any more."""
+    """Written tables in the shared folder. ``drop`` deletes those that nothing reads any more; the rest goes with the session."""
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
         self._n = 0
         self._paths: dict[int, str] = {}
+        root, fs = self._hadoop(self.root)
+        fs.deleteOnExit(root)
+
+    def _hadoop(self, path: str):
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return p, p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
     def cut(self, df: DataFrame) -> DataFrame:
         """Write ``df`` once and return a reader of the copy, free of the earlier plan."""
@@ -46,6 +52,12 @@ class Scratch:
         self._paths[id(out)] = path
         return out
 
+    def cut_counting(self, df: DataFrame, *which: Column) -> tuple[DataFrame, list[int]]:
+        """As ``cut``, with the number of rows for which each of ``which`` holds, counted by the same job."""
+        seen = Observation()
+        out = self.cut(df.observe(seen, *[F.count_if(w).alias(f"n{i}") for i, w in enumerate(which)]))
+        return out, [seen.get.get(f"n{i}") or 0 for i in range(len(which))]
+
     def union(self, frames: list[DataFrame]) -> DataFrame:
         """One scan over several written tables of the same schema."""
         return self.spark.read.schema(frames[0].schema).parquet(*[self._paths[id(f)] for f in frames])
@@ -54,9 +66,8 @@ class Scratch:
         for df in frames:
             path = self._paths.pop(id(df), None)
             if path:
-                jvm = self.spark.sparkContext._jvm
-                p = jvm.org.apache.hadoop.fs.Path(path)
-                p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+                p, fs = self._hadoop(path)
+                fs.delete(p, True)
 
 
 def spread(df: DataFrame, key: str, per_core: int = 3) -> DataFrame:
