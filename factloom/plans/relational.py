@@ -202,9 +202,9 @@ def q_inventory_disposition(spark, sf_dir):
 
 
 @query("""WITH c AS (SELECT DISTINCT class_id, repo_id, file_path, start_line FROM class_symbol WHERE start_line IS NOT NULL), s AS (SELECT DISTINCT sink_id, repo_id, file_path, start_line FROM sink_inventory WHERE start_line IS NOT NULL AND repo_id IS NOT NULL AND file_path IS NOT NULL)
-SELECT s.sink_id, (SELECT max_by(c.class_id, (c.start_line, c.class_id)) FROM c WHERE c.repo_id = s.repo_id AND c.start_line <= s.start_line AND (c.start_line + s.repo_id) % 50 = (s.start_line + s.repo_id) % 50) AS class_id FROM s""")
+SELECT s.sink_id, c.class_id FROM s ASOF LEFT JOIN (SELECT repo_id, start_line, max(class_id) AS class_id FROM c GROUP BY 1, 2) c ON s.repo_id = c.repo_id AND s.start_line >= c.start_line""")
 def q_scope_lookup(spark, sf_dir):
-    """The last class of the repository that starts at or before a line, the greatest id on a tie. The SQL above compares within residue classes of lines only, so it has fewer and other owners."""
+    """The last class of the repository that starts at or before a line, the greatest id on a tie."""
     c = table(spark, sf_dir, "class_symbol").where("start_line IS NOT NULL").select("class_id", "repo_id", "start_line").distinct()
     s = table(spark, sf_dir, "sink_inventory").where("start_line IS NOT NULL AND repo_id IS NOT NULL AND file_path IS NOT NULL").select("sink_id", "repo_id", "start_line", "file_path").distinct()
     return asof.interval_owner(s, c, ["repo_id"], "start_line", "start_line", "class_id").select("sink_id", "class_id")

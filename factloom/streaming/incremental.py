@@ -1,4 +1,4 @@
-"""Operators over streams: files as they arrive, and records whose copies are dropped while a watermark lasts."""
+"""Operators over streams: files as they arrive, and counts of errors within windows."""
 
 from __future__ import annotations
 
@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from factloom.code.facts import SCHEMA, _arrow_schema, _extract
-from factloom.functions import location
 
 
 def facts_stream(files: DataFrame) -> DataFrame:
@@ -16,12 +15,6 @@ def facts_stream(files: DataFrame) -> DataFrame:
     return f.mapInArrow(_extract(_arrow_schema()), SCHEMA)
 
 
-def first_copies(records: DataFrame, at: str, late: str) -> DataFrame:
-    """The first record of each canonical location within a watermark; state is dropped once the watermark has passed."""
-    keyed = records.withColumn("key", location.key(F.col("scan_id"), F.col("raw")))
-    return keyed.withWatermark(at, late).dropDuplicatesWithinWatermark(["key"])
-
-
 def error_counts(errors: DataFrame, at: str, window: str, late: str) -> DataFrame:
     """Errors per phase and window of event time; late rows are counted until the watermark."""
     phase = F.lower(F.trim("phase"))

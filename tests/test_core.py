@@ -1,50 +1,15 @@
-"""Canonical copies, shredding, comparison and drift on small tables with odd rows."""
+"""Shredding, comparison and drift on small tables with odd rows."""
 
 import json
 
 from pyspark.sql import functions as F
 
-from factloom.functions import location
 from factloom.functions.json import parsed
-from factloom.operators import canonical, compare, drift
+from factloom.operators import compare, drift
 from factloom.operators.shred import shred
 from factloom.store import once
 
 
-def keys(spark, raws):
-    df = spark.createDataFrame([(i, 5, r) for i, r in enumerate(raws)], "id int, scan int, raw string")
-    return [r.k for r in df.select("id", location.key(F.col("scan"), F.col("raw")).alias("k")).orderBy("id").collect()]
-
-
-def test_location_notations_agree(spark):
-    ks = keys(spark, [
-        '{"file_path":"src/\\u00dcber/A.php","start_line":1,"start_col":"2","end_line":3,"end_col":null}', "FilePath= SRC\\Über\\a.PHP ; start-line=01;startCol=2.0;end_line = 3",
-        "file_path: .::src::ÜBER::A.php | start_line: 1 | start_col: 2 | end_line: 3 | end_col: ", '<loc startLine="1" file_path="`src/&#220;ber/A.php`" START_COL="2" end_line="3"/>',
-        '\n {"end_line": 3, "x": {"y": 1}, "start_line": 1, "start_col": 2, "filepath": "(src/Über/A.php)", "start_line": 1}',
-    ])
-    assert len(set(ks)) == 1
-
-
-def test_location_odd_texts(spark):
-    ks = keys(spark, [None, "", "  ", "{}", '{"file_path": "a', "nothing", '{"file_path":"a"}', '{"file_path":"a","start_line":"x"}', "x" * 200_000])
-    assert ks[0] == ks[1] == ks[2] == ks[3]
-    assert len(set(ks[3:])) == 6
-
-
-def test_copies_hot_and_cold_keys_agree(spark):
-    rows = [(f"k{i % 7}" if i % 3 else "hot", i) for i in range(300)] + [("k1", 1), (None, 900), (None, 901), ("k1", None)]
-    df = spark.createDataFrame(rows, "key string, id bigint")
-    want = {}
-    for k, i in rows:
-        if k is not None and i is not None:
-            want.setdefault(k, set()).add(i)
-    expect = {(min(s), i) for s in want.values() for i in s} | {(900, 900), (901, 901)}
-    for floor in (1, 50, 10_000):
-        assert {(r.first_id, r.id) for r in canonical.copies(df, parts=4, floor=floor, salts=3).collect()} == expect
-    assert {(r.first_id, r.copies) for r in canonical.counts(df, parts=4, floor=50).collect()} == {(min(s), len(s)) for s in want.values()} | {(900, 1), (901, 1)}
-    assert canonical.copies(df.limit(0)).count() == 0
-
-
 def test_json_unwraps_and_rejects(spark):
     texts = ['{"a":1}', json.dumps('{"a":1}'), json.dumps(json.dumps('{"a":1}')), '{"a":1', '{"a":1} x', '{"a":1},{"b":2}', "", None, "null", "[1", "{'a':1}"]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", parsed(F.col("t")).cast("string").alias("v"))
@@ -72,6 +37,10 @@ def test_differences(spark):
     for size in (1, 2, 1000):
         got = {(r.key, r.difference) for r in compare.differences(a, b, "k", ["s", "n"], size).collect()}
         assert got == {(2, "s"), (3, "n"), (5, "only_in_second"), (None, "only_in_first")}
+    nested = "k int, m map<string,int>, l array<string>, d double"
+    x = spark.createDataFrame([(1, {"a": 1, "b": 2}, ["x"], float("nan")), (2, None, [], 0.0), (3, {}, None, None), (4, {"a": 1}, ["x", None], 1.0), (4, {"a": 0}, ["x"], 2.0)], nested)
+    y = spark.createDataFrame([(1, {"b": 2, "a": 1}, ["x"], float("nan")), (2, {}, None, -0.0), (3, {}, None, float("nan")), (4, {"a": 1}, ["x", None], 2.0)], nested)
+    assert {(r.key, r.difference) for r in compare.differences(x, y, "k", ["m", "l", "d"]).collect()} == {(2, "m"), (2, "l"), (3, "d"), (4, "l")}
     assert compare.differences(a.limit(0), b.limit(0), "k", ["s", "n"]).count() == 0
     p = compare.presence(a, b, "k", 2).agg(F.sum("ordinals"), F.sum("in_both")).first()
     assert tuple(p) == (6, 4)

@@ -47,12 +47,11 @@ def test_discover_and_cli(spark, tmp_path, capsys):
 
 
 def test_streams(spark, tmp_path):
-    rows = [(1, 7, '{"file_path":"a","start_line":1}', "2026-01-01 00:00:00"), (2, 7, "start_line=1;file_path=A", "2026-01-01 00:00:10"), (3, 8, "start_line=1;file_path=A", "2026-01-01 00:00:20")]
-    df = spark.createDataFrame(rows, "record_id bigint, scan_id bigint, raw string, t string").withColumn("received_at", F.to_timestamp("t")).drop("t")
+    df = spark.createDataFrame([(" Parse", "2026-01-01 00:00:00"), ("parse", "2026-01-01 00:00:10"), ("rules", "2026-01-01 00:00:20")], "phase string, t string").withColumn("logged_at", F.to_timestamp("t")).drop("t")
     df.coalesce(1).write.parquet(f"{tmp_path}/in")
     s = incremental.read_table_stream(spark, f"{tmp_path}/in")
-    got = incremental.drain(incremental.first_copies(s, "received_at", "1 hour"), "firsts")
-    assert sorted(r.scan_id for r in got.collect()) == [7, 8]
+    got = incremental.drain(incremental.error_counts(s, "logged_at", "1 hour", "1 hour"), "errors_q", "complete")
+    assert {(r.phase, r.n) for r in got.collect()} == {("parse", 2), ("rules", 1)}
     f = spark.createDataFrame([(1, 1, "a.php", bytearray(b"<?php class A {}"))], "file_id bigint, repo_id int, file_path string, content binary")
     f.write.parquet(f"{tmp_path}/files")
     facts = incremental.drain(incremental.facts_stream(incremental.read_table_stream(spark, f"{tmp_path}/files")), "facts")
