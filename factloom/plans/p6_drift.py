@@ -6,23 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.operators import drift
-from factloom.store import Scratch, table
-
-#: The fields of an analysis document and of a finding's metadata: path -> (type, default).
-ANALYSIS = {
-    "library_mode": ("boolean", False), "target_php_version": ("string", None), "taint_enabled": ("boolean", None), "dataflow": ("string", None),
-    "summary_rounds": ("bigint", 0), "summary_converged": ("boolean", None), "package_context.package": ("string", None), "package_context.version": ("string", None),
-    "package_context.library_auto_detected": ("boolean", None), "sink_inventory.enabled": ("boolean", None), "sink_inventory.total_sinks": ("bigint", None),
-    "route_evidence.retained_routes": ("bigint", None), "route_evidence.runtime_verified": ("boolean", None), "performance.scanned_bytes": ("bigint", None),
-    "performance.indexed_ast_nodes": ("bigint", None), "performance.parse_seconds": ("double", None), "discovery.directory_errors": ("bigint", None), "discovery.php_extensions": ("string", None),
-    "limits.max_file_bytes": ("bigint", None), "limits.max_ast_nodes": ("bigint", None), "call_graph.calls_resolved": ("bigint", None), "call_graph.calls_unresolved": ("bigint", None),
-    "object_payload_exclusion.distinct_routes": ("bigint", None),
-}
-METADATA = {
-    "engine": ("string", None), "sink_name": ("string", None), "sink_argument": ("bigint", None), "analysis_status": ("string", "unknown"), "source_scope": ("string", None), "distinct_route_count": ("bigint", None),
-    "flow_evidence_truncated": ("boolean", False), "rule_metadata.category": ("string", None), "rule_metadata.reference": ("string", None), "coverage.files": ("bigint", None),
-    "coverage.unresolved_calls": ("bigint", None), "prerequisites": ("string", None),
-}
+from factloom.store import Scratch, once, table
+
+#: Arrays of objects, by key.
+ARRAYS = ("sites",)
+#: Values of fields that a record does not hold.
+DEFAULTS = {"analysis": {"library_mode": False, "summary_rounds": 0}, "metadata": {"flow_evidence_truncated": False, "analysis_status": "unknown"}}
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,7 +22,7 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Written once: the steps read it several times, and the texts are parsed only here."""
-    return Scratch(spark, "p6").cut(drift.versions(records(spark, sf_dir)))
+    return Scratch(spark, "p6").cut(drift.versions(records(spark, sf_dir), ARRAYS))
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,16 +38,18 @@ def p6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drift.fingerprints(_versions(spark, sf_dir))
 
 
-def _conformed(kind: str, target: dict):
+def _conformed(kind: str):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows = records(spark, sf_dir).dropDuplicates(["record_kind", "record_id"])
-        return drift.conform(rows, drift.changes(_versions(spark, sf_dir)), kind, target)
+        rows = once(records(spark, sf_dir).where(F.col("record_kind") == kind), "record_id")
+        fields = _versions(spark, sf_dir)
+        named = Scratch(spark, "p6n").cut(drift.names(fields, drift.changes(fields)))
+        return drift.conform(rows, named, kind, drift.schema_of(fields, named, kind), DEFAULTS[kind], ARRAYS)
 
-    query.__doc__ = f"The consistent table of {kind} records."
+    query.__doc__ = f"The consistent table of {kind} records; its columns are the fields of all files."
     return query
 
 
-QUERIES = {"p6_found": p6_found, "p6_steps": p6_steps, "p6_fingerprints": p6_fingerprints, "p6_analysis": _conformed("analysis", ANALYSIS), "p6_metadata": _conformed("metadata", METADATA)}
+QUERIES = {"p6_found": p6_found, "p6_steps": p6_steps, "p6_fingerprints": p6_fingerprints, "p6_analysis": _conformed("analysis"), "p6_metadata": _conformed("metadata")}
 
 _SQL = """WITH RECURSIVE raw AS (
   SELECT 'analysis' AS record_kind, exporter, file_seq, analysis AS t FROM scan_result UNION ALL SELECT 'metadata', exporter, file_seq, metadata FROM finding),
@@ -81,6 +72,12 @@ new AS (SELECT f.* FROM field f JOIN ord o ON f.record_kind = o.record_kind AND
 met AS (SELECT record_kind, exporter, file_seq, path, old.type AS ot, new.type AS nt FROM old FULL JOIN new USING (record_kind, exporter, file_seq, path) WHERE old.type IS DISTINCT FROM new.type),
 mv AS (SELECT *, regexp_extract(path, '^(.*)\\.[^.]*$', 1) AS parent, coalesce(ot, nt) AS type FROM met WHERE ot IS NULL OR nt IS NULL),
 g AS (SELECT *, count(ot) OVER w AS gone, count(nt) OVER w AS came FROM mv WINDOW w AS (PARTITION BY record_kind, exporter, file_seq, parent, type))
-SELECT record_kind, exporter, file_seq, path AS field_path, 'retyped' AS change_kind FROM met WHERE ot IS NOT NULL AND nt IS NOT NULL
-UNION ALL SELECT record_kind, exporter, file_seq, path, CASE WHEN gone = 1 AND came = 1 THEN 'renamed' WHEN ot IS NOT NULL THEN 'removed' ELSE 'added' END FROM g WHERE NOT (gone = 1 AND came = 1 AND nt IS NOT NULL)"""
-ORACLE = {"p6_found": _SQL}
+"""
+_CHANGES = """SELECT record_kind, exporter, CAST(file_seq AS INT) AS file_seq, path AS field_path, 'retyped' AS change_kind FROM met WHERE ot IS NOT NULL AND nt IS NOT NULL
+UNION ALL SELECT record_kind, exporter, CAST(file_seq AS INT), path, CASE WHEN gone = 1 AND came = 1 THEN 'renamed' WHEN ot IS NOT NULL THEN 'removed' ELSE 'added' END FROM g WHERE NOT (gone = 1 AND came = 1 AND nt IS NOT NULL)"""
+_STEPS = """SELECT record_kind, exporter, file_seq, path AS field_path, 'retyped' AS change_kind, NULL AS new_path, ot AS old_type, nt AS new_type FROM met WHERE ot IS NOT NULL AND nt IS NOT NULL
+UNION ALL SELECT record_kind, exporter, file_seq, max(path) FILTER (ot IS NOT NULL), 'renamed', max(path) FILTER (nt IS NOT NULL), type, type FROM g WHERE gone = 1 AND came = 1 GROUP BY record_kind, exporter, file_seq, parent, type
+UNION ALL SELECT record_kind, exporter, file_seq, path, CASE WHEN ot IS NOT NULL THEN 'removed' ELSE 'added' END, NULL, ot, nt FROM g WHERE NOT (gone = 1 AND came = 1)"""
+_PRINTS = """SELECT o.record_kind, o.exporter, o.file_seq, count(f.path) AS fields, sha256(coalesce(string_agg(f.path || ':' || f.type, e'\n' ORDER BY f.path || ':' || f.type), '')) AS fingerprint
+FROM ord o LEFT JOIN field f USING (record_kind, exporter, file_seq) WHERE o.exporter IS NOT NULL AND o.file_seq IS NOT NULL GROUP BY 1, 2, 3"""
+ORACLE = {"p6_found": _SQL + _CHANGES, "p6_steps": _SQL + _STEPS, "p6_fingerprints": _SQL + _PRINTS}

@@ -56,7 +56,7 @@ def test_drift_steps(spark):
         ("e", 4, {"a": 1.5, "p": {"x2": "s", "y": 2}, "sites": [{"f": "q", "n": 1}], "z": [1], "new": "t"}), ("e", 4, "{broken"), ("e", 4, None),
         ("e", 5, json.dumps(json.dumps({"a": 1.5, "p": {"x2": "s", "y": 2}, "sites": [], "z": [], "new": "t"}))), ("f", 2, {"a": 1}), (None, 3, {"a": "x"}), ("f", None, {"a": "x"}), ("f", 9, {"a": 1, "b": 1, "c": 2}),
     ]
-    got = {(r.exporter, r.file_seq, r.field_path, r.change_kind) for r in drift.changes(drift.versions(drift_rows(spark, docs))).collect()}
+    got = {(r.exporter, r.file_seq, r.field_path, r.change_kind) for r in drift.changes(drift.versions(drift_rows(spark, docs), ("sites",))).collect()}
     assert got == {
         ("e", 4, "a", "retyped"), ("e", 4, "p.x", "renamed"), ("e", 4, "gone", "removed"), ("e", 4, "new", "added"), ("e", 4, "sites[].n", "added"),
         ("e", 5, "sites[].n", "removed"), ("e", 5, "sites[].f", "removed"), ("f", 9, "b", "added"), ("f", 9, "c", "added"),
@@ -64,12 +64,18 @@ def test_drift_steps(spark):
 
 
 def test_drift_conform_follows_chained_renames(spark):
-    docs = [("e", 1, {"n": 1}), ("e", 2, {"m": 2}), ("e", 3, {"k": "7"}), ("e", 4, {"k": "x", "other": True}), ("g", 1, {"k": 5})]
+    docs = [("e", 1, {"n": 1}), ("e", 2, {"m": 2}), ("e", 3, {"k": 3}), ("e", 4, {"k": "x", "other": True, "sites": [{"q": 2}, {"q": 1}]}), ("g", 1, {"n": 5.5, "Extra": 1}), (None, 1, {"k": "z"}), ("e", 2, '{"m": NaN}'), ("e", 2, '{"m": 1, "m": 2}')]
     rows = drift_rows(spark, docs)
-    steps = drift.changes(drift.versions(rows))
-    got = {r.record_id: r for r in drift.conform(rows, steps, "analysis", {"n": ("bigint", -1)}).collect()}
-    assert [got[i].n for i in range(5)] == [1, 2, -1, -1, -1]  # file 3 changes the type too, so its name is a new field
-    assert got[3].extra == {"k": ["x"], "other": ["true"]}
+    fields = drift.versions(rows, ("sites",))
+    named = drift.names(fields, drift.changes(fields))
+    target = drift.schema_of(fields, named, "analysis")
+    assert dict(target) == {"n": "string", "other": "boolean", "sites[].q": "array<bigint>", "Extra": "bigint"}
+    got = {r.record_id: r for r in drift.conform(rows, named, "analysis", target, {"other": False}, ("sites",)).collect()}
+    assert len(got) == len(docs) and [got[i].n for i in range(8)] == ["1", "2", "3", "x", "5.5", None, None, None]
+    assert got[3].other and got[3].sites__q == [2, 1] and got[0].other is False and got[4]["Extra_"] == 1
+    assert got[5].extra == {"k": ["z"]}  # of no file, so it keeps its name
+    whole = drift.conform(rows, named, "analysis", [("n", "bigint")])
+    assert {r.record_id: (r.n, r.extra) for r in whole.collect()}[3] == (None, {"n": ["x"], "other": ["true"], "sites[].q": ["2", "1"]})
 
 
 def test_once(spark):
