@@ -6,7 +6,8 @@ language with the smallest result is taken, and none if the margin to the next i
 Neighbouring sentences of one language make a segment.
 
 The dictionaries are fitted on a bounded sample of labelled rows: about ``DOCS_PER_LANGUAGE`` documents of each label,
-chosen by a hash of the id over the whole table, and at most ``SENTENCES_PER_DOC`` sentences of each. Wrong labels in the
+chosen by a hash of the id over the whole table, and at most ``SENTENCES_PER_DOC`` sentences of each, of ``FIT_CHARS``
+characters at most. Wrong labels in the
 sample are outvoted: a word-count model is fitted to the labels and relabels the sentences, three times over.
 
 Null, empty and blank texts, and texts without a whole sentence, hold no language.
@@ -34,7 +35,9 @@ NAMES = {
     "de": ("de", "deu", "ger", "german"), "es": ("es", "spa", "spanish"), "pt": ("pt", "por", "portuguese"),
 }
 DOCS_PER_LANGUAGE, SENTENCES_PER_DOC, DICTIONARY_BYTES = 1000, 24, 96_000
-LEAST_WORDS, MARGIN, GAIN, LEVEL, REMEMBERED = 4, 0.12, 0.85, 9, 100_000
+MARGIN, GAIN, LEVEL, REMEMBERED = 0.12, 0.85, 9, 100_000
+#: Sentences of more characters do not go into a dictionary, which they would fill alone; they are classified like all others.
+FIT_CHARS = 600
 
 #: Code, quoted or bracketed phrases, markup and links; the first look-ahead rules out most places at once.
 _QUOTED = re.compile(
@@ -76,7 +79,7 @@ def sentences(text: str | None) -> list[tuple[int, int, str]]:
             if not body or body[-1] not in ".!?…。":
                 continue
             words = plain(body)
-            if words.count(" ") + 1 >= LEAST_WORDS:
+            if words:
                 lead = len(m[0]) - len(m[0].lstrip())
                 out.append((m.start() + lead, m.end(), words))
     return out
@@ -177,7 +180,7 @@ def _sampled(batches):
     for b in batches:
         rows = []
         for lang, text in zip(*(c.to_pylist() for c in b.columns)):
-            found = sorted({w for _, _, w in sentences(text) if len(w) <= 600})
+            found = sorted({w for _, _, w in sentences(text) if len(w) <= FIT_CHARS})
             step = max(1, len(found) // SENTENCES_PER_DOC)
             rows += [(lang, w) for w in found[::step][:SENTENCES_PER_DOC]]
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in (list(zip(*rows)) or [(), ()])], ["lang", "words"])

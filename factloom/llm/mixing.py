@@ -19,11 +19,12 @@ from __future__ import annotations
 
 import math
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from factloom.store import Scratch
+
 BANDS = 4096
 ROUNDS = 8
 
@@ -48,19 +49,20 @@ def plan(stats: list[tuple[str, int]], targets: list[tuple[str, float, int]]) ->
     return out
 
 
-def _by_source(values: dict[str, object], kind: str):
-    out = F.lit(None).cast(kind)
-    for s, v in values.items():
-        out = F.when(F.col("source") == s, F.lit(v).cast(kind)).otherwise(out)
-    return out
+def _with(df: DataFrame, kind: str, **values: dict[str, object]) -> DataFrame:
+    """``df`` with a column of each of ``values``, source -> value; a row per source of the recipe, so it is broadcast."""
+    names = sorted({s for v in values.values() for s in v})
+    rows = [(s, *(v.get(s) for v in values.values())) for s in names]
+    t = df.sparkSession.createDataFrame(rows, ", ".join(["source string", *(f"{k} {kind}" for k in values)]))
+    return df.join(F.broadcast(t), "source", "left")
 
 
 def _slope(sized: DataFrame, rest: dict[str, int]) -> dict[str, float]:
     """Per source the c with sum(size x min(1, c x size)) = rest, from sums only; each round is one aggregation."""
     c = {s: 0.0 for s in rest}
     for _ in range(ROUNDS):
-        full = F.col("n_tokens") * _by_source(c, "double") >= 1
-        g = sized.where(F.col("source").isin(*rest)).groupBy("source").agg(F.sum(F.when(full, F.col("n_tokens").cast("double")).otherwise(0.0)).alias("sure"), F.sum(F.when(full, 0.0).otherwise(F.col("n_tokens").cast("double") * F.col("n_tokens"))).alias("sq"))
+        full = F.col("n_tokens") * F.col("c") >= 1
+        g = _with(sized.where(F.col("source").isin(*rest)), "double", c=c).groupBy("source").agg(F.sum(F.when(full, F.col("n_tokens").cast("double")).otherwise(0.0)).alias("sure"), F.sum(F.when(full, 0.0).otherwise(F.col("n_tokens").cast("double") * F.col("n_tokens"))).alias("sq"))
         new = {r.source: max((rest[r.source] - r.sure) / r.sq, 0.0) if r.sq else c[r.source] for r in g.collect()}
         done = all(math.isclose(new.get(s, 0.0), c[s], rel_tol=1e-9) for s in rest)
         c.update(new)
@@ -76,30 +78,32 @@ def select(sized: DataFrame, targets: DataFrame, seed: int = 0) -> tuple[DataFra
     """
     rows = [(r.source, r.target_share, r.max_repeats) for r in targets.where("source IS NOT NULL").select("source", "target_share", "max_repeats").collect()]
     names = sorted({r[0] for r in rows})
-    sized = sized.where(F.col("source").isin(*names)).persist(StorageLevel.DISK_ONLY)
+    store = Scratch(sized.sparkSession, "mix")
+    sized = store.cut(sized.where(F.col("source").isin(*names)))
     sums = sized.groupBy("source").agg(F.sum("n_tokens").alias("n")).collect()
     p = plan([(r.source, r.n or 0) for r in sums], rows)
     whole = {s: x["whole"] for s, x in p.items()}
     rest = {s: x["rest"] for s, x in p.items() if x["rest"] > 0}
-    base = sized.withColumn("copies", F.coalesce(_by_source(whole, "int"), F.lit(0)))
+    base = _with(sized, "int", whole=whole).withColumn("copies", F.coalesce("whole", F.lit(0))).drop("whole")
     if rest:
         c = _slope(sized, rest)
-        incl = F.least(F.lit(1.0), F.col("n_tokens") * _by_source(c, "double"))
+        incl = F.least(F.lit(1.0), F.col("n_tokens") * F.col("c"))
         u = (F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), F.lit(1 << 52)) + 0.5) / F.lit(float(1 << 52))
         # log of the odds ratio; certain documents come first
         rank = F.when(incl >= 1.0, F.lit(-1e9)).otherwise(F.log(u / (1 - u)) - F.log(incl / (1 - incl)))
-        ranked = sized.where(F.col("source").isin(*rest) & (F.col("n_tokens") > 0)).select("doc_id", "source", "n_tokens", F.coalesce(rank, F.lit(1e9)).alias("r"))
+        ranked = _with(sized.where(F.col("source").isin(*rest) & (F.col("n_tokens") > 0)), "double", c=c).select("doc_id", "source", "n_tokens", F.coalesce(rank, F.lit(1e9)).alias("r"))
         band = F.when(F.col("r") <= -1e9, 0).otherwise(1 + F.floor((1 / (1 + F.exp(-F.col("r") / 4))) * (BANDS - 1)).cast("int"))
-        ranked = ranked.withColumn("band", band).persist(StorageLevel.DISK_ONLY)
+        ranked = store.cut(ranked.withColumn("band", band))
         bands = ranked.groupBy("source", "band").agg(F.sum("n_tokens").alias("n"))  # at most BANDS rows a source
-        acc = bands.withColumn("upto", F.sum("n").over(W.partitionBy("source").orderBy("band"))).where(F.col("upto") > _by_source(rest, "bigint"))
+        acc = _with(bands.withColumn("upto", F.sum("n").over(W.partitionBy("source").orderBy("band"))), "bigint", rest=rest).where("upto > rest")
         edge = {r.source: (r.m.band, r.m.upto - r.m.n) for r in acc.groupBy("source").agg(F.min(F.struct("band", "upto", "n")).alias("m")).collect()}
         last = {s: edge[s][0] if s in edge else BANDS + 1 for s in rest}
         before = {s: edge[s][1] if s in edge else 0 for s in rest}
-        inside = ranked.where(F.col("band") < _by_source(last, "int")).select("doc_id", "source")
+        ranked = _with(ranked, "bigint", last=last, before=before, rest=rest)
+        inside = ranked.where("band < last").select("doc_id", "source")
         order = W.partitionBy("source").orderBy("r", "doc_id")
-        at = ranked.where(F.col("band") == _by_source(last, "int")).withColumn("upto", F.sum("n_tokens").over(order) + _by_source(before, "bigint"))
-        taken = inside.unionAll(at.where(F.col("upto") <= _by_source(rest, "bigint")).select("doc_id", "source")).withColumn("more", F.lit(1))
+        at = ranked.where("band = last").withColumn("upto", F.sum("n_tokens").over(order) + F.col("before"))
+        taken = inside.unionAll(at.where("upto <= rest").select("doc_id", "source")).withColumn("more", F.lit(1))
         base = base.join(taken, ["doc_id", "source"], "left").withColumn("copies", F.col("copies") + F.coalesce("more", F.lit(0)))
     return base.where("copies > 0").select("doc_id", "source", "n_tokens", F.col("copies").cast("int").alias("copies")), p
 

@@ -4,8 +4,10 @@ A grammar is text: ``name : alt | alt ;`` with terminals in quotes or upper case
 optional tag ``{8.0 8.1}`` before an alternative that only these dialects have. A descriptor is (slot, stack node,
 position, dialects); the dialects are a bit mask that narrows at tagged alternatives, so one run tells which dialects
 accept. Stack nodes are shared by (nonterminal, position), which keeps ambiguous input polynomial and left recursion
-finite. One symbol of look-ahead picks the alternatives; where it leaves one, the parser goes on without a descriptor,
+finite. Two symbols of look-ahead pick the alternatives; where they leave one, the parser goes on without a descriptor,
 and a nonterminal at the end of an alternative reuses the caller's stack node, so that lists do not deepen the stack.
+As long as every choice leaves one alternative there is a single stack, which is a plain list; from the first choice of
+several on, descriptors are kept and the list becomes the graph's first path.
 """
 
 from __future__ import annotations
@@ -146,19 +148,119 @@ class Grammar:
                 for t in f | (follow[i] if e else set()):
                     self.pick[i][t] = (*self.pick[i].get(t, ()), (slot, mask))
         self._n = n
+        self._seconds(empty, first, follow)
         del self._items
 
+    def _seconds(self, empty, first, follow) -> None:
+        """What can come second: narrows the choices that one symbol leaves open, kept as (nonterminal, first, second)."""
+        rules = self._rules
+        stop = 1 << len(self.terminals)  # the derivation may end after the first symbol
+        bits = [sum(1 << t for t in f) for f in first]
+        second: list[dict[int, int]] = [{} for _ in rules]
+
+        def heads(seq) -> int:
+            out = 0
+            for kind, x in seq:
+                if kind == "t":
+                    return out | 1 << x
+                out |= bits[x]
+                if not empty[x]:
+                    return out
+            return out | stop
+
+        rest = {(i, a, k): heads(seq[k + 1 :]) for i, alts in enumerate(rules) for a, (_, seq) in enumerate(alts) for k in range(len(seq))}
+
+        def of(i: int, a: int, seq) -> dict[int, int]:
+            out: dict[int, int] = {}
+            for k, (kind, x) in enumerate(seq):
+                r = rest[(i, a, k)]
+                if kind == "t":
+                    out[x] = out.get(x, 0) | r
+                    return out
+                for t, s in second[x].items():
+                    out[t] = out.get(t, 0) | (s & ~stop | r if s & stop else s)
+                if not empty[x]:
+                    return out
+            return out
+
+        changed = True
+        while changed:
+            changed = False
+            for i, alts in enumerate(rules):
+                mine = second[i]
+                for a, (_, seq) in enumerate(alts):
+                    for t, s in of(i, a, seq).items():
+                        if s & ~mine.get(t, 0):
+                            mine[t] = mine.get(t, 0) | s
+                            changed = True
+        after = [sum(1 << t for t in f) for f in follow]
+        self.pick2: list[dict[int, dict[int, tuple]]] = [{} for _ in rules]
+        at = {}
+        slot = 0
+        for i, alts in enumerate(rules):
+            for a, (_, seq) in enumerate(alts):
+                at[slot] = (i, a, seq)
+                slot += len(seq) + (1 if not seq or seq[-1][0] == "t" else 0)
+        every = range(len(self.terminals))
+        for i, table in enumerate(self.pick):
+            for t, choices in table.items():
+                if len(choices) < 2:
+                    continue
+                ends = 0  # what can come after the end of this nonterminal, whatever that is
+                sets = []
+                for s, m in choices:
+                    _, a, seq = at[s]
+                    d = of(i, a, seq).get(t, 0)
+                    if d & stop:
+                        d = d & ~stop | after[i]
+                    if all(kind == "n" and empty[x] for kind, x in seq) and t in follow[i]:
+                        d = -1  # the alternative may be empty, so the second symbol is not its own
+                    sets.append((s, m, d | ends))
+                self.pick2[i][t] = {u: tuple((s, m) for s, m, d in sets if d >> u & 1) for u in every}
+
     # -- parsing -----------------------------------------------------------------------------------------------------
     def parse(self, kinds: list[int]) -> tuple[int, int]:
         """(dialects that accept, furthest position that could not go on) of token kinds; an end token is added."""
-        kinds = [*kinds, 0]
-        op, arg, pick, n = self.op, self.arg, self.pick, self._n
-        end = len(kinds) - 1
-        top = [[], {}, self.all]  # edges, popped: position -> dialects, dialects begun
+        kinds = [*kinds, 0, 0]
+        op, arg, pick, pick2, n = self.op, self.arg, self.pick, self.pick2, self._n
+        end = len(kinds) - 2
+        slot, pos, mask, stack = -1, 0, self.all, []
+        # one stack, as long as there is no choice
+        a, o = self.start, CALL
+        while True:
+            if o == TERM:
+                if kinds[pos] != arg[slot]:
+                    return 0, pos
+                pos += 1
+                slot += 1
+            elif o == END:
+                if not stack:
+                    return (mask, pos) if pos == end else (0, pos)
+                slot = stack.pop()
+            else:
+                alts = pick[a].get(kinds[pos], ())
+                if len(alts) > 1:
+                    alts = [x for x in pick2[a][kinds[pos]][kinds[pos + 1]] if x[1] & mask]
+                    if len(alts) > 1:
+                        break
+                if not alts or not alts[0][1] & mask:
+                    return 0, pos
+                if o == CALL and slot >= 0:
+                    stack.append(slot + 1)
+                slot, m = alts[0]
+                mask &= m
+            o = op[slot]
+            a = arg[slot]
+        top = [[], {}, mask]  # edges, popped: position -> dialects, dialects begun
+        node = top
+        for back in stack:
+            node = [[(back, node, mask)], {}, mask]
+        if o == CALL and slot >= 0:
+            node = [[(slot + 1, node, mask)], {}, mask]
         nodes: dict[int, list] = {}
         seen: dict[tuple, int] = {}
-        accepted, far = 0, 0
-        work = [(s, top, 0, m & self.all) for s, m in pick[self.start].get(kinds[0], ())]
+        accepted, far = 0, pos
+        work = [(s, node, pos, m & mask) for s, m in alts]
         while work:
             slot, node, pos, mask = work.pop()
             while True:
@@ -195,7 +297,9 @@ class Grammar:
                     break
                 a = arg[slot]
                 alts = pick[a].get(kinds[pos])
-                if alts is None:
+                if alts is not None and len(alts) > 1:
+                    alts = pick2[a][kinds[pos]][kinds[pos + 1]]
+                if not alts:
                     if pos > far:
                         far = pos
                     break

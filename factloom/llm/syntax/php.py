@@ -1,12 +1,13 @@
 """PHP: the grammar of the dialects 7.4, 8.0, 8.1 and 8.2 over the tokens of the lexer.
 
-Operators are a flat chain (unary operand, binary operator, ...), since precedence does not decide whether a text is
-valid; assignments need something on the left that can be assigned to, and a conditional cannot be chained without
-parentheses in 8.x.
+Operators are a chain (operand, operator, ...) whose state remembers comparisons, since these alone may not follow each
+other; otherwise precedence does not decide whether a text is valid. Assignments need a variable on the left, references
+one on the right, and a conditional cannot be chained without parentheses in 8.x.
 """
 
 from __future__ import annotations
 
+import re
 from functools import lru_cache
 
 from factloom.functions.phplex import ASSIGN, BINARY, KEYWORDS, LexError, Lines, has_open_tag, tokens
@@ -43,7 +44,7 @@ stmt : block | 'html' | ';'
  | 'echo' e (',' e)* ';'
  | 'global' simplevar (',' simplevar)* ';'
  | 'static' staticvar (',' staticvar)* ';'
- | 'unset' '(' e (',' e)* ','? ')' ';'
+ | 'unset' '(' variable (',' variable)* ','? ')' ';'
  | 'try' block catch* ('finally' block)?
  | 'declare' '(' NAME '=' e (',' NAME '=' e)* ')' (stmt | ':' inner* 'enddeclare' ';')
  | 'goto' ident ';' | NAME ':'
@@ -54,7 +55,8 @@ altelse : 'elseif' '(' e ')' ':' inner* altelse | 'else' ':' inner* 'endif' ';'
 case : ('case' e | 'default') (':' | ';') inner* ;
 catch : 'catch' '(' name ('|' name)* catchvar ')' block ;
 catchvar : VAR | {8.0 8.1 8.2} ;
-fv : '&'? e ;
+fv : '&' variable | variable | '[' items ']' | 'list' '(' items ')' ;
+variable : simplevar post* | path post+ | 'static' post+ | '(' e ')' post+ | string post+ | array post+ | '[' items ']' post+ ;
 elist : (e (',' e)*)? ;
 staticvar : VAR ('=' e)? ;
 constitem : ident '=' e ;
@@ -90,27 +92,53 @@ adapt : adaptname 'insteadof' names ';' | adaptname 'as' (access ident? | ident)
 adaptname : name ('::' NAME)? ;
 access : 'public' | 'protected' | 'private' ;
 
-e : chain tern ;
-tern : '?' e ':' chain oldtern | '?' ':' chain elvis | ;
+e : c0 tern ;
+tern : '?' e ':' c0 oldtern | '?' ':' c0 elvis | ;
 oldtern : {7.4} tern | {8.0 8.1 8.2} ;
-elvis : '?' ':' chain elvis | {7.4} '?' e ':' chain tern | ;
-chain : unary (binop unary)* ;
-unary : prefix unary | operand | 'throw' unary | 'yield' yielded? | 'static'? lambda | attr+ 'static'? lambda ;
-yielded : e ('=>' e)? ;
-prefix : '!' | '~' | '+' | '-' | '@' | '++' | '--' | CAST | {7.4} OLDCAST | 'clone' | 'print' | 'include' | 'include_once' | 'require' | 'require_once' | 'yield_from' ;
-lambda : 'function' '&'? '(' params ')' ('use' '(' (lexvar (',' lexvar)* ','?)? ')')? ret? block | 'fn' '&'? '(' params ')' ret? '=>' unary ;
+elvis : '?' ':' c0 elvis | {7.4} '?' e ':' c0 tern | ;
+# a chain of operands and operators; its state tells which comparison it may not meet again before a looser operator:
+# c0 none, cr an ordering, ce an equality, cx both
+c0 : prefix c0 | loose | plain r0 | simplevar post* a0 | path p0 | 'static' post+ a0 | group g0 | '[' items ']' d0 | array g0 | 'list' '(' items ')' '=' c0 | string g0 ;
+cr : prefix cr | loose | plain rr | simplevar post* ar | path pr | 'static' post+ ar | group gr | '[' items ']' dr | array gr | 'list' '(' items ')' '=' c0 | string gr ;
+ce : prefix ce | loose | plain re | simplevar post* ae | path pe | 'static' post+ ae | group ge | '[' items ']' de | array ge | 'list' '(' items ')' '=' c0 | string ge ;
+cx : prefix cx | loose | plain rx | simplevar post* ax | path px | 'static' post+ ax | group gx | '[' items ']' dx | array gx | 'list' '(' items ')' '=' c0 | string gx ;
+r0 : 'instanceof' kindof r0 | tight c0 | free c0 | order cr | equal ce | ;
+rr : 'instanceof' kindof rr | tight cr | free c0 | equal ce | ;
+re : 'instanceof' kindof re | tight ce | free c0 | order cx | ;
+rx : 'instanceof' kindof rx | tight cx | free c0 | ;
+a0 : assign | '++' r0 | '--' r0 | r0 ;
+ar : assign | '++' rr | '--' rr | rr ;
+ae : assign | '++' re | '--' re | re ;
+ax : assign | '++' rx | '--' rx | rx ;
+p0 : post+ a0 | r0 ;
+pr : post+ ar | rr ;
+pe : post+ ae | re ;
+px : post+ ax | rx ;
+g0 : post+ a0 | r0 ;
+gr : post+ ar | rr ;
+ge : post+ ae | re ;
+gx : post+ ax | rx ;
+d0 : '=' c0 | g0 ;
+dr : '=' c0 | gr ;
+de : '=' c0 | ge ;
+dx : '=' c0 | gx ;
+assign : assignop c0 | '=' assigned ;
+assigned : c0 | '&' (variable | {7.4} 'new' newrest) r0 ;
+kindof : path | 'static' | simplevar newpost* | {8.0 8.1 8.2} '(' e ')' ;
+prefix : '!' | '~' | '+' | '-' | '@' | '++' | '--' | CAST | {7.4} OLDCAST | 'clone' ;
+loose : ('print' | 'include' | 'include_once' | 'require' | 'require_once' | 'yield_from' | 'throw') c0 | 'yield' (c0 ('=>' c0)?)?
+ | 'static'? 'fn' '&'? '(' params ')' ret? '=>' c0 | attr+ 'static'? 'fn' '&'? '(' params ')' ret? '=>' c0 ;
+lambda : 'function' '&'? '(' params ')' ('use' '(' (lexvar (',' lexvar)* ','?)? ')')? ret? block ;
 lexvar : '&'? VAR ;
-operand : simplevar post* assign? | path assigned? | 'static' post+ assign? | literal post* | '(' e ')' post* assign? | array post* assign?
- | 'new' newrest | 'isset' '(' e (',' e)* ','? ')' | 'empty' '(' e ')' | 'eval' '(' e ')' | 'exit' ('(' e? ')')?
- | {8.0 8.1 8.2} 'match' '(' e ')' '{' (arm (',' arm)* ','?)? '}' post* ;
+plain : NUM | 'new' newrest | 'isset' '(' e (',' e)* ','? ')' | 'empty' '(' e ')' | 'eval' '(' e ')' | 'exit' ('(' e? ')')? | 'static'? lambda | attr+ 'static'? lambda
+ | {8.0 8.1 8.2} 'match' '(' e ')' '{' (arm (',' arm)* ','?)? '}' ;
 path : NAME | QNAME | 'enum' | 'readonly' | {7.4} 'match' ;
-assigned : post+ assign? ;
-literal : NUM | STR | 'ENC' part* 'ENC_END' ;
+group : '(' e ')' ;
+string : STR | 'ENC' part* 'ENC_END' ;
 part : 'PART' e '}' ;
-array : '[' items ']' | 'array' '(' items ')' | 'list' '(' items ')' ;
+array : 'array' '(' items ')' ;
 items : item? (',' item?)* ;
-item : e ('=>' '&'? e)? | '&' e | '...' e ;
-assign : assignop '&'? unary | '++' | '--' ;
+item : e ('=>' (e | '&' variable))? | '&' variable | '...' e ;
 post : '[' e? ']' | {7.4} '{' e '}' | '->' prop_name | {8.0 8.1 8.2} '?->' prop_name | '::' static_name | args ;
 prop_name : NAME | simplevar | '{' e '}' ;
 static_name : NAME | simplevar | '{' e '}' ;
@@ -127,10 +155,13 @@ arm : ('default' ','? | e (',' e)* ','?) '=>' e ;
 @lru_cache(maxsize=1)
 def grammar() -> Grammar:
     text = _GRAMMAR + f"ident : NAME | {_any(KEYWORDS)} ;\n"
-    text += f"binop : {_any(BINARY | {'and', 'or', 'xor', 'instanceof', '&', '-'})} ;\nassignop : {_any(ASSIGN | {'='})} ;\n"
+    order, equal = {"<", "<=", ">", ">="}, {"==", "!=", "<>", "===", "!==", "<=>"}
+    free = {"&&", "||", "??", "|", "^", "&", "and", "or", "xor"}
+    text += f"order : {_any(order)} ;\nequal : {_any(equal)} ;\nfree : {_any(free)} ;\ntight : {_any((BINARY | {'-'}) - order - equal - free)} ;\nassignop : {_any(ASSIGN)} ;\n"
     return Grammar(text, "file", DIALECTS)
 
 
+_NOT_OCTAL = re.compile(r"0[0-9_]*[89][0-9_]*\Z")
 #: Files that must hold an open tag; in templates plain text is enough.
 CODE = (".php", ".inc", ".module")
 
@@ -149,7 +180,8 @@ def check(content: bytes, template: bool) -> tuple[int, str | None, int]:
         return 0, str(x), lines.at(x.at)[0]
     g = grammar()
     term = g.terminals
-    ok, far = g.parse([term.get(t.kind, -1) for t in toks])
+    # a number that begins with 0 is octal
+    ok, far = g.parse([-1 if t.kind == "NUM" and text[t.start] == "0" and _NOT_OCTAL.match(text, t.start, t.end) else term.get(t.kind, -1) for t in toks])
     if ok == g.all:
         return ok, None, 0
     if far >= len(toks):

@@ -1,7 +1,10 @@
-"""YAML streams: a scanner that turns indentation into block tokens, and the grammar over them.
+"""YAML streams: lines and their indentation as tokens, and the grammar over them.
 
-A mapping key without ``?`` is known only at its colon; the scanner remembers where one could have begun, on one line
-and within 1024 characters, and puts the key token there (the simple keys of the specification).
+The lexer knows nothing of keys and values. It puts OPEN where a block begins at a deeper column, NEXT where a line begins
+at the column of its block, CLOSE where one ends, and one token for each scalar, indicator or property; a scalar that
+spans lines (TEXT) is told apart from one that does not (WORD), since only the latter can be a key without ``?``. What a
+mapping or sequence is, the grammar tells. After ``-``, ``?`` and a colon that begins a line, what follows on the line
+is a block of its own.
 """
 
 from __future__ import annotations
@@ -13,30 +16,56 @@ from factloom.functions.phplex import Lines
 from factloom.llm.syntax.gll import Grammar
 
 _GRAMMAR = """
-stream : (block DOCEND*)? document* ;
-document : DIRECTIVE* '---' block? DOCEND* ;
-block : ALIAS | props content? | content ;
+stream : (root DOCEND*)? document* ;
+document : DIRECTIVE* '---' opening? DOCEND* ;
+opening : inline | props? root ;
+root : OPEN body CLOSE ;
+body : inline | map | seq | props NEXT below | props root ;
+below : content | map | seq ;
+inline : ALIAS | content | props content? ;
+content : WORD | TEXT | LITERAL | flow ;
+map : entry (NEXT entry)* ;
+entry : props? key ':' held? | '?' root? (NEXT 'V' root?)? | 'V' root? ;
+key : ALIAS | WORD | oneline ;
+held : inline | props? root | props? (NEXT '-' root?)+ ;
+seq : '-' root? (NEXT '-' root?)* ;
 props : ANCHOR TAG? | TAG ANCHOR? ;
-content : SCALAR | flow | 'SEQ+' ('-' block?)* 'END' | 'MAP+' entry* 'END' ;
-entry : 'KEY' value? ('VALUE' value?)? | 'VALUE' value? ;
-value : ALIAS | props vcontent? | vcontent ;
-vcontent : content | ('-' block?)+ ;
-flow : '[' (fentry (',' fentry)* ','?)? ']' | '{' (mentry (',' mentry)* ','?)? '}' ;
-fentry : fnode | pair ;
-mentry : fnode | pair ;
-pair : 'KEY' fnode? ('VALUE' fnode?)? | 'VALUE' fnode? ;
-fnode : ALIAS | props fcontent? | fcontent ;
-fcontent : SCALAR | flow ;
+flow : oneline | '[' fseq 'END]' | '{' fmap 'END}' ;
+oneline : '[' fseq ']' | '{' fmap '}' ;
+fseq : (fentry (',' fentry)* ','?)? ;
+fentry : fnode | fkey? ':' fnode? | '?' fnode? (':' fnode?)? ;
+fkey : ALIAS | props? (WORD | oneline) ;
+fmap : (fpair (',' fpair)* ','?)? ;
+fpair : fnode | fkey? ':' fnode? | '?' fnode? (':' fnode?)? ;
+fnode : ALIAS | fcontent | props fcontent? ;
+fcontent : WORD | TEXT | flow ;
 """
-_BREAK = re.compile(r"\r\n|[\n\r\x85\u2028\u2029]")
-_BAD = re.compile("[^\x09\x0a\x0d\x20-\x7e\x85\xa0-\ud7ff\ue000-\ufffd\U00010000-\U0010ffff]")
-_BLANK = "\0 \t\r\n\x85\u2028\u2029"
-_SINGLE = re.compile(r"'(?:[^']|'')*'")
-_DOUBLE = re.compile(r'"(?:[^"\\]|\\(?:[0abt\tnvfre "/\\N_LP\n\r]|x[0-9A-Fa-f]{2}|u[0-9A-Fa-f]{4}|U[0-9A-Fa-f]{8}))*"')
-_DOC = re.compile(r"(?:---|\.\.\.)(?=[\s\x85\u2028\u2029]|\Z)")
-_NAME = re.compile(r"[&*][^\s,\[\]{}]+")
-_TAG = re.compile(r"!(?:<[^\s<>]+>|[\w\-#;/?:@&=+$.~*'()%!]*)(?=[\s,\]}]|\Z)", re.A)
-_HEADER = re.compile(r"[|>](?:[+-][1-9]?|[1-9][+-]?)?(?=[ \t\r\n\x85]|\Z)[ \t]*(?:(?<=[ \t])#[^\r\n]*)?(?:\r\n|[\n\r\x85]|\Z)")
+_B = "\\r\\n\\x85\\u2028\\u2029"  # line ends
+_BREAK = re.compile(rf"\r\n|[{_B}]")
+_BAD = re.compile("[^\x09\x0a\x0d\x20-\x7e\x85\xa0-퟿-�\U00010000-\U0010ffff]")
+_LINE = re.compile(rf"( *)([ \t]*)(?:#[^{_B}]*)?(\r\n|[{_B}]|\Z)?")
+_MARK = re.compile(rf"(?:---|\.\.\.)(?=[ \t{_B}]|\Z)")
+_GAP = rf"[ \t{_B}]|\Z"
+_TOKEN = re.compile(
+    rf"""(?P<word>(?:[^-?:,\[\]{{}}#&*!|>'"%@` \t{_B}]|[-?:](?![ \t{_B}]|\Z))(?:[^:# \t{_B}]|:(?![ \t{_B}]|\Z)|(?<![ \t])\#|[ \t]+(?![ \t#{_B}]|\Z|:(?:{_GAP})))*)
+|(?P<single>'(?:[^']|'')*')|(?P<double>"(?:[^"\\]|\\(?:[0abt\tnvfre "/\\N_LP\n\r]|x[0-9A-Fa-f]{{2}}|u[0-9A-Fa-f]{{4}}|U[0-9A-Fa-f]{{8}}))*")
+|(?P<anchor>&[^ \t{_B},\[\]{{}}]+)|(?P<alias>\*[^ \t{_B},\[\]{{}}]+)|(?P<tag>!(?:<[^ \t{_B}<>]+>|[A-Za-z0-9_\-\#;/?:@&=+$.~*'()%!]*)(?={_GAP}|[,\]}}]))
+|(?P<literal>[|>](?:[+-][1-9]?|[1-9][+-]?)?[ \t]*(?:(?<=[ \t])\#[^{_B}]*)?(?:\r\n|[{_B}]|\Z))|(?P<mark>[-?:](?={_GAP}))|(?P<open>[\[{{])""",
+    re.X,
+)
+_FLOW = re.compile(
+    rf"""(?P<word>(?:[^-?:,\[\]{{}}#&*!|>'"%@` \t{_B}]|[-?:](?![ \t{_B},\[\]{{}}]|\Z))(?:[^:#,\[\]{{}} \t{_B}]|:(?![ \t{_B},\[\]{{}}]|\Z)|(?<![ \t])\#|[ \t]+(?![ \t#{_B},\[\]{{}}]|\Z|:(?:{_GAP}|[,\[\]{{}}])))*)
+|(?P<single>'(?:[^']|'')*')|(?P<double>"(?:[^"\\]|\\(?:[0abt\tnvfre "/\\N_LP\n\r]|x[0-9A-Fa-f]{{2}}|u[0-9A-Fa-f]{{4}}|U[0-9A-Fa-f]{{8}}))*")
+|(?P<anchor>&[^ \t{_B},\[\]{{}}]+)|(?P<alias>\*[^ \t{_B},\[\]{{}}]+)|(?P<tag>!(?:<[^ \t{_B}<>]+>|[A-Za-z0-9_\-\#;/?:@&=+$.~*'()%!]*)(?={_GAP}|[,\]}}]))
+|(?P<mark>[?:](?={_GAP}|[,\[\]{{}}]))|(?P<open>[\[{{])|(?P<close>[\]}}])|(?P<comma>,)""",
+    re.X,
+)
+#: The rest of a scalar on a further line: any text up to a colon or comment.
+_MORE = re.compile(rf"(?:[^:# \t{_B}]|:(?!{_GAP})|(?<![ \t])\#|[ \t]+(?![ \t#{_B}]|\Z|:(?:{_GAP})))+")
+_MORE_FLOW = re.compile(rf"(?:[^:#,\[\]{{}} \t{_B}]|:(?![ \t{_B},\[\]{{}}]|\Z)|(?<![ \t])\#|[ \t]+(?![ \t#{_B},\[\]{{}}]|\Z|:(?:{_GAP}|[,\[\]{{}}])))+")
+_KIND = {"anchor": "ANCHOR", "alias": "ALIAS", "tag": "TAG"}
+#: An implicit key has at most so many characters (fixed value of the language).
+KEY = 1024
 
 
 @lru_cache(maxsize=1)
@@ -44,293 +73,243 @@ def grammar() -> Grammar:
     return Grammar(_GRAMMAR, "stream", ("yaml",))
 
 
-class ScanError(ValueError):
+class Malformed(ValueError):
     def __init__(self, what: str, at: int):
         super().__init__(what)
         self.at = at
 
 
-class _Scanner:
-    def __init__(self, text: str):
-        self.text, self.pos, self.line_start, self.line = text, 0, 0, 0
-        self.out: list[tuple[str, int]] = []
-        self.indents, self.indent, self.flow = [], -1, 0
-        self.may_key = True
-        self.keys: dict[int, tuple[int, int, int, int, bool]] = {}  # flow level -> (token, pos, line, column, required)
+def tokens(text: str) -> list[tuple[str, int]]:
+    """(kind, offset) of a stream; Malformed where no token can be read."""
+    out: list[tuple[str, int]] = []
+    columns: list[int] = []
+    pos, n, head = (1 if text.startswith("﻿") else 0), len(text), False
 
-    def column(self) -> int:
-        return self.pos - self.line_start
+    def close(column: int, at: int) -> None:
+        while columns and columns[-1] > column:
+            columns.pop()
+            out.append(("CLOSE", at))
 
-    def peek(self, k: int = 0) -> str:
-        return self.text[self.pos + k : self.pos + k + 1] or "\0"
+    def open_(column: int, at: int) -> None:
+        columns.append(column)
+        out.append(("OPEN", at))
 
-    def run(self) -> list[tuple[str, int]]:
-        text, n = self.text, len(self.text)
-        while True:
-            self._skip()
-            self._stale()
-            if self.pos >= n:
-                self._unwind(-1)
-                self._drop_key()
-                return self.out
-            if not self.flow:
-                self._unwind(self.column())
-            ch, nxt = self.peek(), self.peek(1)
-            if self.column() == 0 and ch == "%":
-                self._unwind(-1)
-                self._drop_key()
-                self.out.append(("DIRECTIVE", self.pos))
-                self._to_eol()
-                self.may_key = False
-            elif self.column() == 0 and _DOC.match(text, self.pos):
-                if self.flow:
-                    raise ScanError("document marker inside a flow collection", self.pos)
-                self._unwind(-1)
-                self._drop_key()
-                self.may_key = False
-                self.out.append(("---" if ch == "-" else "DOCEND", self.pos))
-                self.pos += 3
-            elif ch in "[{":
-                self._save_key()
-                self.flow += 1
-                self.may_key = True
-                self._emit(ch)
-            elif ch in "]}":
-                self._drop_key()
-                if not self.flow:
-                    raise ScanError(f"unexpected {ch!r}", self.pos)
-                self.flow -= 1
-                self.may_key = False
-                self._emit(ch)
-            elif ch == "," and self.flow:
-                self._drop_key()
-                self.may_key = True
-                self._emit(ch)
-            elif ch == "-" and nxt in _BLANK:
-                if self.flow:
-                    raise ScanError("block entry inside a flow collection", self.pos)
-                if not self.may_key:
-                    raise ScanError("sequence entries are not allowed here", self.pos)
-                self._open("SEQ+")
-                self._drop_key()
-                self.may_key = True
-                self._emit("-")
-            elif ch == "?" and nxt in _BLANK:
-                if not self.flow:
-                    if not self.may_key:
-                        raise ScanError("mapping keys are not allowed here", self.pos)
-                    self._open("MAP+")
-                self._drop_key()
-                self.may_key = not self.flow
-                self._emit("?")
-                self.out[-1] = ("KEY", self.out[-1][1])
-            elif ch == ":" and (nxt in _BLANK or self.flow and (nxt in ",[]{}" or self._after_json())):
-                self._value()
-            elif ch == "*" or ch == "&":
-                self._save_key()
-                self.may_key = False
-                m = _NAME.match(text, self.pos)
-                if not m:
-                    raise ScanError("anchor without a name", self.pos)
-                self.out.append(("ALIAS" if ch == "*" else "ANCHOR", self.pos))
-                self.pos = m.end()
-            elif ch == "!":
-                self._save_key()
-                self.may_key = False
-                m = _TAG.match(text, self.pos)
-                if not m:
-                    raise ScanError("malformed tag", self.pos)
-                self.out.append(("TAG", self.pos))
-                self.pos = m.end()
-            elif ch in "|>" and not self.flow:
-                self._drop_key()
-                self.may_key = True
-                self._block_scalar()
-            elif ch in "'\"":
-                self._save_key()
-                self.may_key = False
-                self._quoted(ch)
-            elif ch not in "-?:,[]{}#&*!|>'\"%@`\0 \t\r\n" or ch == "-" and nxt not in _BLANK or ch in "?:" and nxt not in _BLANK and not (self.flow and nxt in ",[]{}"):
-                self._save_key()
-                self.may_key = False
-                self._plain()
-            else:
-                raise ScanError(f"unexpected {ch!r}", self.pos)
+    while pos < n:
+        # the beginning of a line
+        m = _LINE.match(text, pos)
+        if m[3] is not None:
+            pos = m.end()
+            if m.end() == m.start():
+                break
+            continue
+        start, column = pos, len(m[1])
+        if not column and not m[2]:
+            d = _MARK.match(text, pos)
+            if d or text[pos] == "%":
+                close(-1, pos)
+                out.append((("---" if text[pos] == "-" else "DOCEND") if d else "DIRECTIVE", pos))
+                pos = d.end() if d else _end(text, pos)
+                head = False
+                pos = _line(text, pos, start, columns, out, open_, head, True)
+                continue
+        pos += column
+        if m[2]:
+            raise Malformed("tab in indentation", pos)
+        close(column, pos)
+        if columns and columns[-1] == column:
+            out.append(("NEXT", pos))
+            head = len(out) > 2 and out[-2][0] in ("ANCHOR", "TAG") and _alone(out)
+        else:
+            open_(column, pos)
+            head = True
+        pos = _line(text, pos, start, columns, out, open_, head, False)
+    close(-1, n)
+    return out
 
-    def _after_json(self) -> bool:
-        """A colon right after a quoted scalar or a flow collection needs no white space."""
-        return bool(self.out) and self.text[self.pos - 1 : self.pos] in ("'", '"', "]", "}")
 
-    def _emit(self, kind: str) -> None:
-        self.out.append((kind, self.pos))
-        self.pos += 1
+def _alone(out: list[tuple[str, int]]) -> bool:
+    """Before the last NEXT a block has nothing but properties."""
+    k = len(out) - 2
+    while k >= 0 and out[k][0] in ("ANCHOR", "TAG"):
+        k -= 1
+    return k >= 0 and out[k][0] == "OPEN"
 
-    def _newline(self) -> bool:
-        m = _BREAK.match(self.text, self.pos)
-        if not m:
-            return False
-        self.pos = self.line_start = m.end()
-        self.line += 1
-        return True
 
-    def _to_eol(self) -> None:
-        m = _BREAK.search(self.text, self.pos)
-        self.pos = m.start() if m else len(self.text)
+def _end(text: str, pos: int) -> int:
+    m = _BREAK.search(text, pos)
+    return m.start() if m else len(text)
 
-    def _skip(self) -> None:
-        """White space, comments and line ends before a token."""
-        if self.pos == 0 and self.peek() == "\ufeff":
-            self.pos = self.line_start = 1
-        while True:
-            begin = self.pos
-            while self.peek() == " " or self.peek() == "\t" and (self.flow or self.pos > self.line_start and not self.may_key):
-                self.pos += 1
-            if self.peek() == "\t":
-                # a tab before the first token of a block line is no indentation, unless the line has nothing else
-                m = re.compile(r"[ \t]*(?:#[^\r\n]*)?(?=[\r\n]|\Z)").match(self.text, self.pos)
-                if not m:
-                    raise ScanError("tab in indentation", self.pos)
-                self.pos = m.end()
-            if self.peek() == "#" and (self.pos == self.line_start or begin != self.pos or self.text[self.pos - 1] in " \t\n\r'\""):
-                self._to_eol()
-            if not self._newline():
-                return
-            if not self.flow:
-                self.may_key = True
 
-    def _stale(self) -> None:
-        for level, (_, pos, line, _, required) in list(self.keys.items()):
-            if line != self.line or self.pos - pos > 1024:
-                if required:
-                    raise ScanError("could not find ':'", pos)
-                del self.keys[level]
+def _line(text: str, pos: int, start: int, columns: list[int], out: list, open_, head: bool, marked: bool) -> int:
+    """Tokens of a line from ``pos``; where it, or a scalar or flow collection that begins on it, ends.
 
-    def _save_key(self) -> None:
-        required = not self.flow and self.indent == self.column()
-        if self.may_key:
-            self._drop_key()
-            self.keys[self.flow] = (len(self.out), self.pos, self.line, self.column(), required)
+    ``head``: nothing of the block but properties has come. ``marked``: the line begins with a document marker.
+    """
+    n, first = len(text), not marked
+    while True:
+        while pos < n and text[pos] in " \t":
+            pos += 1
+        if pos >= n:
+            return pos
+        b = _BREAK.match(text, pos)
+        if b:
+            return b.end()
+        if text[pos] == "#":
+            pos = _end(text, pos)
+            continue
+        m = _TOKEN.match(text, pos)
+        if not m:
+            raise Malformed("quoted scalar is not closed or has an unknown escape" if text[pos] in "'\"" else f"unexpected {text[pos]!r}", pos)
+        kind, at, pos = m.lastgroup, pos, m.end()
+        parent = -1 if not columns else (columns[-2] if len(columns) > 1 else -1) if head else columns[-1]
+        if kind == "word":
+            pos, many = _continued(text, pos, parent)
+            out.append(("TEXT" if many or pos - at > KEY else "WORD", at))
+            if many:
+                start = max(start, text.rfind("\n", at, pos) + 1)
+        elif kind in ("single", "double"):
+            many = _broken(text, at, pos)
+            out.append(("TEXT" if many or pos - at > KEY else "WORD", at))
+        elif kind == "literal":
+            out.append(("LITERAL", at))
+            return _literal(text, m, parent)
+        elif kind == "open":
+            pos = _flow(text, at, out)
+        elif kind == "mark":
+            x = text[at]
+            out.append((("V" if first else ":") if x == ":" else x, at))
+            if x != ":" or first:
+                k = pos
+                while k < n and text[k] in " \t":
+                    k += 1
+                if k < n and text[k] != "#" and not _BREAK.match(text, k):
+                    open_(k - start, k)
+                    pos, head, first = k, True, True
+                    continue
+        else:
+            out.append((_KIND[kind], at))
+            first = False
+            continue
+        head = first = False
 
-    def _drop_key(self) -> None:
-        k = self.keys.pop(self.flow, None)
-        if k and k[4]:
-            raise ScanError("could not find ':'", k[1])
 
-    def _unwind(self, column: int) -> None:
-        if self.flow and column < 0:
-            raise ScanError("flow collection is not closed", self.pos)
-        while self.indent > column:
-            self.indent = self.indents.pop()
-            self.out.append(("END", self.pos))
+def _broken(text: str, at: int, end: int) -> bool:
+    """Whether a quoted scalar spans lines; a document marker inside is malformed."""
+    many = False
+    for b in _BREAK.finditer(text, at, end):
+        many = True
+        if _MARK.match(text, b.end()):
+            raise Malformed("document marker inside a quoted scalar", b.end())
+    return many
 
-    def _open(self, kind: str, at: int | None = None, column: int | None = None) -> None:
-        column = self.column() if column is None else column
-        if self.indent < column:
-            self.indents.append(self.indent)
-            self.indent = column
-            if at is None:
-                self.out.append((kind, self.pos))
-            else:
-                self.out.insert(at, (kind, self.pos))
 
-    def _value(self) -> None:
-        k = self.keys.pop(self.flow, None)
-        if k:
-            at, pos, _, column, _ = k
-            self.out.insert(at, ("KEY", pos))
-            if not self.flow:
-                self._open("MAP+", at, column)
-            self.may_key = False
-        else:
-            if not self.flow:
-                if not self.may_key:
-                    raise ScanError("mapping values are not allowed here", self.pos)
-                self._open("MAP+")
-            self.may_key = not self.flow
-            self._drop_key()
-        self._emit(":")
-        self.out[-1] = ("VALUE", self.out[-1][1])
+def _continued(text: str, pos: int, parent: int) -> tuple[int, bool]:
+    """The end of a plain scalar of a block, and whether it spans lines: the lines that follow go on if indented beyond ``parent``."""
+    end, many, n = pos, False, len(text)
+    while True:
+        k = end
+        while k < n and text[k] in " \t":
+            k += 1
+        b = _BREAK.match(text, k)
+        if not b:
+            return end, many
+        k = b.end()
+        while True:  # empty lines
+            m = re.compile(rf"[ \t]*(?:\r\n|[{_B}])").match(text, k)
+            if not m:
+                break
+            k = m.end()
+        line = k
+        while k < n and text[k] == " ":
+            k += 1
+        if k - line <= parent or _MARK.match(text, line):
+            return end, many
+        while k < n and text[k] == "\t":
+            k += 1
+        m = _MORE.match(text, k)
+        if not m or text[k] == "#":
+            return end, many
+        end, many = m.end(), True
 
-    def _quoted(self, quote: str) -> None:
-        m = (_SINGLE if quote == "'" else _DOUBLE).match(self.text, self.pos)
-        if not m:
-            raise ScanError("quoted scalar is not closed or has an unknown escape", self.pos)
-        for b in _BREAK.finditer(self.text, self.pos, m.end()):
-            self.line += 1
-            self.line_start = b.end()
-            if _DOC.match(self.text, b.end()):
-                raise ScanError("document marker inside a quoted scalar", b.end())
-        self.out.append(("SCALAR", self.pos))
-        self.pos = m.end()
-        tail = self.peek()
-        if tail not in _BLANK and tail not in ":#" and not (self.flow and tail in ",]}"):
-            raise ScanError("text after a quoted scalar", self.pos)
 
-    def _plain(self) -> None:
-        self.out.append(("SCALAR", self.pos))
-        stop = ",?[]{}" if self.flow else ""
-        text, n = self.text, len(self.text)
-        deep = self.indent + 1
-        while True:
-            start = self.pos
-            while self.pos < n:
-                ch = text[self.pos]
-                if ch in " \t\r\n\x85\u2028\u2029":
-                    break
-                if ch == ":" and (self.peek(1) in _BLANK or self.flow and self.peek(1) in ",[]{}"):
-                    break
-                if stop and ch in stop and ch != "?":
-                    break
-                self.pos += 1
-            if self.pos == start:
-                return
-            self.may_key = False
-            end = self.pos
-            while self.peek() in " \t" and self.pos < n:
-                self.pos += 1
-            broke = False
-            mark = (self.pos, self.line_start, self.line)
-            while self._newline():
-                broke = True
-                self.may_key = True
-                mark = (self.pos, self.line_start, self.line)
-                if _DOC.match(text, self.pos):
-                    return
-                while self.peek() == " ":
-                    self.pos += 1
-                if not _BREAK.match(text, self.pos) and self.peek() == "\t" and not self.flow and self.column() < deep:
-                    break
-            if self.pos >= n or self.peek() == "#" and (broke or self.pos > end):
-                return
-            if broke and not self.flow and self.column() < deep:
-                self.pos, self.line_start, self.line = mark
-                return
+def _literal(text: str, header: re.Match, parent: int) -> int:
+    """Where a block scalar ends: at the first line with text that is indented less than it."""
+    given = re.search(r"[1-9]", header[0].split("#")[0])
+    least = max(parent, 0) + int(given[0]) if given else None
+    pos, n = header.end(), len(text)
+    while pos < n:
+        k = pos
+        while k < n and text[k] == " ":
+            k += 1
+        b = _BREAK.match(text, k)
+        if b or k >= n:
+            pos = b.end() if b else n
+            continue
+        if least is None:
+            least = max(k - pos, parent + 1)
+        if k - pos < least or not least and _MARK.match(text, pos):
+            return pos
+        b = _BREAK.search(text, k)
+        pos = b.end() if b else n
+    return pos
+
 
-    def _block_scalar(self) -> None:
-        m = _HEADER.match(self.text, self.pos)
+def _flow(text: str, pos: int, out: list) -> int:
+    """Tokens of a flow collection; lines do not matter inside, but whether it spans several does."""
+    opened: list[tuple[int, int]] = []
+    n, lines = len(text), 0
+    while pos < n:
+        ch = text[pos]
+        if ch in " \t":
+            pos += 1
+            continue
+        b = _BREAK.match(text, pos)
+        if b:
+            lines, pos = lines + 1, b.end()
+            if _MARK.match(text, pos):
+                raise Malformed("document marker inside a flow collection", pos)
+            continue
+        if ch == "#":
+            pos = _end(text, pos)
+            continue
+        m = _FLOW.match(text, pos)
+        kind = m.lastgroup if m else None
+        if ch == ":" and text[pos - 1] in "'\"]}" and kind in (None, "word"):
+            out.append((":", pos))  # right after a quoted scalar or a collection a colon needs no white space
+            pos += 1
+            continue
         if not m:
-            raise ScanError("malformed header of a block scalar", self.pos)
-        self.out.append(("SCALAR", self.pos))
-        given = re.search(r"[1-9]", m[0].split("#")[0])
-        self.pos = self.line_start = m.end()
-        self.line += 1
-        least = max(self.indent, 0) + int(given[0]) if given else None
-        n = len(self.text)
-        while self.pos < n:
-            k = self.pos
-            while self.text[k : k + 1] == " " and (least is None or k - self.pos < least):
-                k += 1
-            if _BREAK.match(self.text, k):
-                self.pos = k
-                self._newline()
-                continue
-            if least is None:
-                least = max(k - self.pos, self.indent + 1, 0 if self.indent < 0 else 1)
-            if k >= n or k - self.pos < least or (least == 0 and _DOC.match(self.text, self.pos)):
-                return
-            self._to_eol()
-            if not self._newline():
-                return
+            raise Malformed("quoted scalar is not closed or has an unknown escape" if ch in "'\"" else f"unexpected {ch!r}", pos)
+        at, pos = pos, m.end()
+        if kind == "word":
+            many = False
+            while True:
+                k = pos
+                while k < n and (text[k] in " \t" or _BREAK.match(text, k)):
+                    k += 1
+                if k == pos or not _BREAK.search(text, pos, k):
+                    break
+                more = _MORE_FLOW.match(text, k)
+                if not more or text[k] == "#" or _MARK.match(text, k) and _BREAK.match(text, k - 1):
+                    break
+                lines += 1
+                pos, many = more.end(), True
+            out.append(("TEXT" if many or pos - at > KEY else "WORD", at))
+        elif kind in ("single", "double"):
+            many = _broken(text, at, pos)
+            lines += many
+            out.append(("TEXT" if many or pos - at > KEY else "WORD", at))
+        elif kind == "open":
+            opened.append((lines, at))
+            out.append((ch, at))
+        elif kind == "close":
+            was, begin = opened.pop()
+            out.append((ch if was == lines and pos - begin <= KEY else "END" + ch, at))
+            if not opened:
+                return pos
+        else:
+            out.append((_KIND.get(kind, ch), at))
+    raise Malformed("flow collection is not closed", n)
 
 
 def check(content: bytes) -> tuple[int, str | None, int]:
@@ -340,14 +319,14 @@ def check(content: bytes) -> tuple[int, str | None, int]:
     except UnicodeDecodeError as x:
         return 0, "not UTF-8", content.count(b"\n", 0, x.start) + 1
     lines = Lines(text)
-    bad = _BAD.search(text, 1 if text.startswith("\ufeff") else 0)
+    bad = _BAD.search(text, 1 if text.startswith("﻿") else 0)
     if bad:
         return 0, "control character", lines.at(bad.start())[0]
-    try:
-        toks = _Scanner(text).run()
-    except ScanError as x:
-        return 0, str(x), lines.at(x.at)[0]
     g = grammar()
+    try:
+        toks = tokens(text)
+    except Malformed as x:
+        return 0, str(x), lines.at(min(x.at, max(len(text) - 1, 0)))[0]
     ok, far = g.parse([g.terminals[k] for k, _ in toks])
     if ok:
         return ok, None, 0

@@ -25,8 +25,10 @@ from factloom.store import spread
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 DEFAULT_DIR = "/opt/tokenizers"
 REMEMBERED = 200_000
-#: Words longer than this many bytes are merged in Python by a heap; the row-wise query is quadratic in a word's length.
+#: In words longer than this many bytes a round contracts all places of the pair at once where that gives the same.
 LONG = 256
+#: Rounds of one query over long words; the words that are not done then start the next with the tokens they have.
+ROUNDS = 64
 #: Token-position rows of one query; the recursion holds all its rounds, so this bounds its memory.
 ROWS = 100_000
 
@@ -46,7 +48,7 @@ class Encoder:
         self.ranks = load_ranks(path)
         self.split = regex.compile(PATTERN).findall
         self.words: dict[str, list[int]] = {}
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})  # what it holds is bounded, nothing is spilled
         self.single = [self.ranks[bytes([i])] for i in range(256)]
         left, right, merged = [], [], []
         for token, rank in self.ranks.items():
@@ -58,7 +60,9 @@ class Encoder:
                     merged.append(rank)
         merge = pa.table({"a": pa.array(left, pa.int32()), "b": pa.array(right, pa.int32()), "m": pa.array(merged, pa.int32())})
         self.db.register("merge_rows", merge)
-        self.db.execute("CREATE TABLE merge AS SELECT a::BIGINT * 65536 + b AS ab, m FROM merge_rows")
+        # no token made of a safe one has a smaller rank, so after a contraction its other places are still first in order
+        self.db.execute("CREATE TABLE merge AS SELECT a::BIGINT * 4294967296 + b AS ab, m FROM merge_rows")
+        self.db.execute("CREATE TABLE unsafe AS SELECT DISTINCT x AS m FROM (SELECT a AS x, m FROM merge_rows UNION ALL SELECT b, m FROM merge_rows) WHERE m < x")
 
     #: Tokens of a word are rows (w, p, t). In a round every word contracts its leftmost pair of least rank: the pair's
     #: left row takes the merged token, its right row goes. Words without a mergeable pair leave the recursion.
@@ -70,7 +74,7 @@ class Encoder:
         SELECT w, p, t, m, lp, lag(p) OVER (PARTITION BY w ORDER BY p) AS before FROM (
           SELECT s.w, s.p, s.t, first_value(x.m) OVER b AS m, first_value(s.p) OVER b AS lp FROM (
             SELECT w, p, t, lead(t) OVER (PARTITION BY w ORDER BY p) AS u FROM step WHERE NOT done) s
-          LEFT JOIN merge x ON x.ab = s.t::BIGINT * 65536 + s.u
+          LEFT JOIN merge x ON x.ab = s.t::BIGINT * 4294967296 + s.u
           WINDOW b AS (PARTITION BY s.w ORDER BY x.m NULLS LAST, s.p)))
       WHERE m IS NULL OR before IS NULL OR before <> lp)
     SELECT w, list(t ORDER BY p) AS ids FROM step WHERE done GROUP BY w
@@ -85,7 +89,7 @@ class Encoder:
             if whole is not None:
                 self.words[word] = [whole]
             elif len(raw) > LONG:
-                self.words[word] = self._long(raw)
+                self._long(words, [w] * len(raw), list(range(len(raw))), [single[x] for x in raw])
             else:
                 ws += [w] * len(raw)
                 ps += range(len(raw))
@@ -104,37 +108,35 @@ class Encoder:
         for w, ids in got:
             self.words[words[w]] = ids
 
-    def _long(self, raw: bytes) -> list[int]:
-        """The same contraction for one very long word, with a heap of pairs and linked neighbours."""
-        import heapq
-
-        n = len(raw)
-        tok: list[bytes | None] = [raw[i : i + 1] for i in range(n)]
-        nxt, prv = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = []
-
-        def push(i: int) -> None:
-            j = nxt[i]
-            if j < n:
-                r = self.ranks.get(tok[i] + tok[j])
-                if r is not None:
-                    heapq.heappush(heap, (r, i, tok[i], tok[j]))
-
-        for i in range(n):
-            push(i)
-        while heap:
-            _, i, a, b = heapq.heappop(heap)
-            j = nxt[i]
-            if tok[i] != a or j >= n or tok[j] != b:
-                continue
-            tok[i], tok[j] = a + b, None
-            nxt[i] = nxt[j]
-            if nxt[j] < n:
-                prv[nxt[j]] = i
-            push(i)
-            if prv[i] >= 0:
-                push(prv[i])
-        return [self.ranks[t] for t in tok if t is not None]
+    #: As above, for long words: if the pair is safe, all its places are contracted, in a run of equal tokens every second.
+    _FIXPOINT_LONG = """
+    WITH RECURSIVE step(w, p, t, done, r) AS (
+      SELECT w, p, t, false, 0 FROM start
+      UNION ALL
+      SELECT w, p, CASE WHEN hit THEN m ELSE t END, m IS NULL, r + 1 FROM (
+        SELECT *, lag(hit) OVER (PARTITION BY w ORDER BY p) AS gone FROM (
+          SELECT *, here AND CASE WHEN safe THEN (n - coalesce(max(CASE WHEN NOT here THEN n END) OVER (PARTITION BY w ORDER BY p ROWS UNBOUNDED PRECEDING), 0)) % 2 = 1 ELSE p = lp END AS hit FROM (
+            SELECT s.w, s.p, s.t, s.r, s.n, first_value(x.m) OVER b AS m, coalesce(x.m = first_value(x.m) OVER b, false) AS here, first_value(z.m) OVER b IS NULL AS safe, first_value(s.p) OVER b AS lp FROM (
+              SELECT w, p, t, r, lead(t) OVER o AS u, row_number() OVER o AS n FROM step WHERE NOT done AND r < $rounds WINDOW o AS (PARTITION BY w ORDER BY p)) s
+            LEFT JOIN merge x ON x.ab = s.t::BIGINT * 4294967296 + s.u LEFT JOIN unsafe z ON z.m = x.m
+            WINDOW b AS (PARTITION BY s.w ORDER BY x.m NULLS LAST, s.p))))
+      WHERE NOT coalesce(gone, false))
+    SELECT w, list(t ORDER BY p) AS ids, list(p ORDER BY p) AS ps, bool_and(done) AS done FROM step WHERE done OR r = $rounds GROUP BY w
+    """
+
+    def _long(self, words: list[str], ws: list[int], ps: list[int], ts: list[int]) -> None:
+        while ws:
+            self.db.register("start", pa.table({"w": pa.array(ws, pa.int32()), "p": pa.array(ps, pa.int32()), "t": pa.array(ts, pa.int32())}))
+            got = self.db.execute(self._FIXPOINT_LONG, {"rounds": ROUNDS}).fetchall()
+            self.db.unregister("start")
+            ws, ps, ts = [], [], []
+            for w, ids, at, done in got:
+                if done:
+                    self.words[words[w]] = ids
+                else:
+                    ws += [w] * len(ids)
+                    ps += at
+                    ts += ids
 
     def encode(self, texts: list[str | None]) -> list[list[int]]:
         split = [self.split(t) if t else () for t in texts]

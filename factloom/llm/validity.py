@@ -1,7 +1,8 @@
 """Source files that do not parse, flagged per file by a generalised LL parser that runs all dialects of a language together.
 
 A file is a case if no supported dialect of the language of its extension accepts it. A null content or an extension of
-no known language is not judged (valid is null). An empty file is valid but for JSON. Redelivered rows count once.
+no known language is not judged (valid is null). An empty file is valid but for JSON. Redelivered rows count once; rows
+without a file_id each count.
 """
 
 from __future__ import annotations
@@ -57,7 +58,9 @@ def _flags(supported: tuple[str, ...]):
 def flags(files: DataFrame, supported: tuple[str, ...] = SUPPORTED) -> DataFrame:
     """A row per file of ``files(file_id, repo_id, file_path, content)``; contents do not leave the first stage but to fill idle cores."""
     f = spread(files.select(F.col("file_id").cast("bigint"), F.col("repo_id").cast("int"), "file_path", "content"), "file_id")
-    return f.mapInArrow(_flags(supported), _SCHEMA).dropDuplicates(["file_id"])
+    # rows without an id are each a file of their own
+    own = F.when(F.col("file_id").isNull(), F.monotonically_increasing_id()).otherwise(-1)
+    return f.mapInArrow(_flags(supported), _SCHEMA).withColumn("own", own).dropDuplicates(["file_id", "own"]).drop("own")
 
 
 def rates(flagged: DataFrame) -> DataFrame:

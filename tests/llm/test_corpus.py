@@ -26,6 +26,7 @@ def test_ids_against_the_library(vocabulary):
     e = tokenize.Encoder(vocabulary)
     rnd = random.Random(5)
     texts = TEXTS + ["".join(rnd.choice("abc đé'\n 19.,{中") for _ in range(rnd.randrange(60))) for _ in range(300)]
+    texts += ["".join(rnd.choice("etaoinshrdlu") for _ in range(1500)), "ab" * 400 + "a" * 301, "xyzzy" * 90]
     got = e.encode(texts)
     assert got == [ref.encode_ordinary(t) if t else [] for t in texts]
     assert [e.decode(i) for i in got] == [t or "" for t in texts]

@@ -67,6 +67,26 @@ def test_invalid_php(text):
     assert not ok(text) & B["8.1"]
 
 
+@pytest.mark.parametrize(
+    "text",
+    ["foreach ($a as 1) {}", "unset(1);", "($a) = 1;", "$a = &1;", "$a = &new B;", "$a == $b == $c;", "$a < $b < $c;", "$x instanceof 1;", "08;", "f() + 1 = 2;", "$a < $b == $c < $d == $e;", "[1, 2] .= 3;", "array(1) = $a;", "$a <=> $b != $c;", "$a == !$b === $c;"],
+)
+def test_more_invalid_php(text):
+    assert not ok("<?php " + text) & B["8.1"]
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "foreach ($a as &$b) {} foreach (f() as list($k, [$v])) {} foreach ($a as $b->c['d'] => $e) {}", "unset($a, $b[1], $c->d, A::$e);", "$a = &$b->c(); $d = & f($x);", "$a == $b && $c == $d; $a < $b == $c < $d;", "$a == $b = $c == $d;", "!$x instanceof A;", "$x instanceof $y->z && $x instanceof static;",
+        "07_1 + 0.8 + 0e9 + 0x1F8 + 00;", "[$a, $b] = [$b, $a]; ['k' => $c] = $d; list(, $e) = f();", "'a'[0]; [1, 2][1]; ('f')(); array(1)[0];", "$a == print $b == $c; $x ?? throw new E; $f = fn($x) => $x == 1;", "$a = $b = $c ?: $d; $i++ + ++$j; -$a ** 2; @$x[1]--;",
+        "while (($row = next($x)) !== null) {} if (!$a = f()) {} $x = (int) $a == 1;",
+    ],
+)
+def test_more_valid_php(text):
+    assert ok("<?php " + text) & B["8.1"]
+
+
 def test_templates_need_no_tag():
     assert ok("plain { text", True) and ok("", True) and ok("") and not ok("<?php foreach ($a as $b): ?>x", True)
 
@@ -107,7 +127,9 @@ def test_flags(spark):
     rows = [
         (1, 1, "a.php", b"<?php f("), (1, 1, "a.php", b"<?php f("), (2, 1, "b.PHP", b""), (3, 1, "c.json", b""), (4, 1, "d.class.php", b"x"), (5, 1, "e.txt", b"("), (6, None, None, b"("), (7, 1, "f.yml", b"a: [1"), (8, 1, "g.tpl", b"x"), (9, 2, "h.inc", None),
         (10, 2, "i.module", b"<?php " + b"$a = 1; " * 40_000),
-    ]
+    ]
+    odd = spark.createDataFrame([(None, 1, "a.php", bytearray(b"<?php (")), (None, 1, "b.php", bytearray(b"<?php 1;")), (None, 1, "a.php", bytearray(b"<?php ("))], "file_id bigint, repo_id int, file_path string, content binary")
+    assert sorted(r.valid for r in validity.flags(odd).collect()) == [False, False, True]
     f = spark.createDataFrame([(*r[:3], None if r[3] is None else bytearray(r[3]), 1) for r in rows], "file_id bigint, repo_id int, file_path string, content binary, valid int")
     got = {r.file_id: r.valid for r in validity.flags(f).collect()}
     assert got == {1: False, 2: True, 3: False, 4: False, 5: None, 6: None, 7: False, 8: True, 9: None, 10: True}
