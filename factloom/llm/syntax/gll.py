@@ -19,8 +19,9 @@ _LEX = re.compile(r"\s+|#[^\n]*|'([^']+)'|\{([\w. ]+)\}|([A-Za-z_]\w*)|([:|;()*+
 
 
 class Grammar:
-    def __init__(self, text: str, start: str, dialects: tuple[str, ...]):
-        self.dialects = dialects
+    def __init__(self, text: str, start: str, dialects: tuple[str, ...], greedy: tuple[str, ...] = ()):
+        """``greedy``: nonterminals that are not empty where they need not be."""
+        self.dialects, self._greedy = dialects, greedy
         self.all = (1 << len(dialects)) - 1
         self.terminals: dict[str, int] = {"<end>": 0}
         self._names: dict[str, int] = {}
@@ -147,6 +148,10 @@ class Grammar:
                 f, e = of(seq)
                 for t in f | (follow[i] if e else set()):
                     self.pick[i][t] = (*self.pick[i].get(t, ()), (slot, mask))
+        for name in self._greedy:
+            table = self.pick[self._names[name]]
+            for t, choices in table.items():
+                table[t] = tuple(c for c in choices if self.op[c[0]] != END) or choices
         self._n = n
         self._seconds(empty, first, follow)
         del self._items

@@ -23,10 +23,13 @@ def _any(kinds) -> str:
 _GRAMMAR = """
 file : top* halt? ;
 halt : 'HALT' ;
-top : inner | 'namespace' nsname ';' | 'namespace' nsname? '{' inner* '}' | usetop | 'const' constitem (',' constitem)* ';' ;
+top : inner | 'namespace' nsrest | usetop | 'const' constitem (',' constitem)* ';' ;
+nsrest : nsname (';' | nsblock) | nsblock ;
+nsblock : '{' inner* '}' ;
 nsname : NAME | QNAME | {8.0 8.1 8.2} nskw ;
 nskw : 'enum' | 'match' ;
-usetop : 'use' usekind? useitem (',' useitem)* ';' | 'use' usekind? GROUP '{' (groupitem (',' groupitem)* ','?)? '}' ';' ;
+usetop : 'use' usekind? useitem (',' useitem)* ';' | 'use' usekind? GROUP '{' groupitems '}' ';' ;
+groupitems : (groupitem (',' groupitems)?)? ;
 groupitem : usekind? name ('as' NAME)? ;
 usekind : 'function' | 'const' ;
 useitem : name ('as' NAME)? ;
@@ -44,7 +47,7 @@ stmt : block | 'html' | ';'
  | 'echo' e (',' e)* ';'
  | 'global' simplevar (',' simplevar)* ';'
  | 'static' staticvar (',' staticvar)* ';'
- | 'unset' '(' variable (',' variable)* ','? ')' ';'
+ | 'unset' '(' variable vars ')' ';'
  | 'try' block catch* ('finally' block)?
  | 'declare' '(' NAME '=' e (',' NAME '=' e)* ')' (stmt | ':' inner* 'enddeclare' ';')
  | 'goto' ident ';' | NAME ':'
@@ -57,6 +60,7 @@ catch : 'catch' '(' name ('|' name)* catchvar ')' block ;
 catchvar : VAR | {8.0 8.1 8.2} ;
 fv : '&' variable | variable | '[' items ']' | 'list' '(' items ')' ;
 variable : simplevar post* | path post+ | 'static' post+ | '(' e ')' post+ | string post+ | array post+ | '[' items ']' post+ ;
+vars : ',' (variable vars)? | ;
 elist : (e (',' e)*)? ;
 staticvar : VAR ('=' e)? ;
 constitem : ident '=' e ;
@@ -64,14 +68,16 @@ simplevar : VAR | '$' simplevar | '$' '{' e '}' ;
 
 fundecl : attr* 'function' '&'? funname '(' params ')' ret? block ;
 funname : NAME | 'enum' | 'readonly' | {7.4} 'match' ;
-params : (param (',' param)* ','?)? ;
+params : (param moreparams)? ;
+moreparams : ',' params | ;
 param : attr* promo* type? '&'? '...'? VAR ('=' e)? ;
 promo : {8.0 8.1 8.2} ('public' | 'protected' | 'private') | {8.1 8.2} 'readonly' ;
 ret : ':' type ;
 type : '?' atom | atom (('|' atom)* | {8.1 8.2} ('&' atom)+) | {8.2} dnf ('|' (atom | dnf))* | {8.2} atom ('|' atom)* '|' dnf ('|' (atom | dnf))* ;
 dnf : '(' atom ('&' atom)+ ')' ;
 atom : name | 'array' | 'callable' | 'static' ;
-attr : '#[' attritem (',' attritem)* ','? ']' ;
+attr : '#[' attritem moreattrs ']' ;
+moreattrs : ',' (attritem moreattrs)? | ;
 attritem : name args? ;
 
 classdecl : attr* classmod* 'class' classname ('extends' name)? ('implements' names)? body
@@ -128,10 +134,11 @@ kindof : path | 'static' | simplevar newpost* | {8.0 8.1 8.2} '(' e ')' ;
 prefix : '!' | '~' | '+' | '-' | '@' | '++' | '--' | CAST | {7.4} OLDCAST | 'clone' ;
 loose : ('print' | 'include' | 'include_once' | 'require' | 'require_once' | 'yield_from' | 'throw') c0 | 'yield' (c0 ('=>' c0)?)?
  | 'static'? 'fn' '&'? '(' params ')' ret? '=>' c0 | attr+ 'static'? 'fn' '&'? '(' params ')' ret? '=>' c0 ;
-lambda : 'function' '&'? '(' params ')' ('use' '(' (lexvar (',' lexvar)* ','?)? ')')? ret? block ;
+lambda : 'function' '&'? '(' params ')' ('use' '(' lexvars ')')? ret? block ;
+lexvars : (lexvar (',' lexvars)?)? ;
 lexvar : '&'? VAR ;
-plain : NUM | 'new' newrest | 'isset' '(' e (',' e)* ','? ')' | 'empty' '(' e ')' | 'eval' '(' e ')' | 'exit' ('(' e? ')')? | 'static'? lambda | attr+ 'static'? lambda
- | {8.0 8.1 8.2} 'match' '(' e ')' '{' (arm (',' arm)* ','?)? '}' ;
+plain : NUM | 'new' newrest | 'isset' '(' e exprs ')' | 'empty' '(' e ')' | 'eval' '(' e ')' | 'exit' ('(' e? ')')? | 'static'? lambda | attr+ 'static'? lambda
+ | {8.0 8.1 8.2} 'match' '(' e ')' '{' arms '}' ;
 path : NAME | QNAME | 'enum' | 'readonly' | {7.4} 'match' ;
 group : '(' e ')' ;
 string : STR | 'ENC' part* 'ENC_END' ;
@@ -142,13 +149,18 @@ item : e ('=>' (e | '&' variable))? | '&' variable | '...' e ;
 post : '[' e? ']' | {7.4} '{' e '}' | '->' prop_name | {8.0 8.1 8.2} '?->' prop_name | '::' static_name | args ;
 prop_name : NAME | simplevar | '{' e '}' ;
 static_name : NAME | simplevar | '{' e '}' ;
-args : '(' (arg (',' arg)* ','?)? ')' | {8.1 8.2} '(' '...' ')' ;
+args : '(' arglist ')' | {8.1 8.2} '(' '...' ')' ;
+arglist : (arg morearg)? ;
+morearg : ',' arglist | ;
 arg : e | '...' e | {8.0 8.1 8.2} ident ':' e ;
 newrest : newname args? | attr* newmod? 'class' args? ('extends' name)? ('implements' names)? body ;
 newmod : {8.2} 'readonly' ;
 newname : path | 'static' | simplevar newpost* | '(' e ')' ;
 newpost : '[' e? ']' | '->' prop_name | {8.0 8.1 8.2} '?->' prop_name | '::' simplevar ;
-arm : ('default' ','? | e (',' e)* ','?) '=>' e ;
+arms : (arm morearms)? ;
+morearms : ',' arms | ;
+arm : ('default' ','? | e exprs) '=>' e ;
+exprs : ',' (e exprs)? | ;
 """
 
 
@@ -158,7 +170,7 @@ def grammar() -> Grammar:
     order, equal = {"<", "<=", ">", ">="}, {"==", "!=", "<>", "===", "!==", "<=>"}
     free = {"&&", "||", "??", "|", "^", "&", "and", "or", "xor"}
     text += f"order : {_any(order)} ;\nequal : {_any(equal)} ;\nfree : {_any(free)} ;\ntight : {_any((BINARY | {'-'}) - order - equal - free)} ;\nassignop : {_any(ASSIGN)} ;\n"
-    return Grammar(text, "file", DIALECTS)
+    return Grammar(text, "file", DIALECTS, greedy=("elses",))  # an else belongs to the last if
 
 
 _NOT_OCTAL = re.compile(r"0[0-9_]*[89][0-9_]*\Z")
