@@ -20,9 +20,10 @@ KEYWORDS = frozenset(
 CASTS = frozenset("int integer bool boolean float double string array object binary".split())
 _OLD_CASTS = frozenset(("real", "unset"))
 _NAME = r"[A-Za-z_\x80-\xff][\w\x80-\xff]*"
-_CODE = re.compile(
-    rf"""(?P<space>[ \t\r\n\x0b\x0c]+)
-|(?P<comment>/\*.*?\*/|(?://|\#(?!\[))(?:(?!\?>)[^\r\n])*)
+_SPACE = r"[ \t\r\n\x0b\x0c]"
+_COMMENT = r"/\*.*?\*/|(?://|\#(?!\[))(?:(?!\?>)[^\r\n])*+"
+_TOKENS = rf"""(?P<punct>[;,{{}}\[\])]|->|::|=>|\((?!{_SPACE}*+[A-Za-z]+[ \t]*\)))
+|(?P<comment>{_COMMENT})
 |(?P<badcomment>/\*)
 |(?P<close>\?>(?:\r\n|\n|\r)?)
 |(?P<var>\${_NAME})
@@ -33,9 +34,11 @@ _CODE = re.compile(
 |(?P<double>[bB]?["`])
 |(?P<cast>\([ \t]*(?P<castname>[A-Za-z]+)[ \t]*\))
 |(?P<op>\?->|\.\.\.|<=>|\*\*=|\?\?=|<<=|>>=|===|!==|\#\[|->|=>|::|\+\+|--|\*\*|\?\?|<<|>>|==|!=|<>|<=|>=|&&|\|\||\+=|-=|\*=|/=|\.=|%=|&=|\|=|\^=|[-+*/%=<>!.,;:?()\[\]{{}}&|^~@$])
-""",
-    re.S | re.X,
-)
+|(?P<end>\Z)
+"""
+#: White space, and comments that nobody wants, go with the token that follows.
+_CODE = re.compile(rf"(?:{_SPACE}++|{_COMMENT})*+(?:{_TOKENS})", re.S | re.X)
+_CODE_COMMENTS = re.compile(rf"{_SPACE}*+(?:{_TOKENS})", re.S | re.X)
 _OPEN = re.compile(r"<\?(?:php(?:[ \t]|\r\n|\n|\r|\Z)|=)", re.I)
 _VAR_IN_TEXT = re.compile(rf"\${_NAME}(?:\[(?:(?:{_NAME}|-?\d+|\${_NAME})\])?|->{_NAME}|\?->{_NAME})?")
 _HALT = re.compile(r"\s*\(\s*\)\s*(?:;|\?>)", re.S)
@@ -92,37 +95,34 @@ def _html(text: str, pos: int, out: list[Token], comments: bool) -> None:
 
 def _code(text: str, pos: int, out: list[Token], inner: bool, comments: bool) -> int:
     """Tokens up to a closing tag, the end of the text, or (``inner``) the brace that ends a part of a string."""
-    depth, match, n = 0, _CODE.match, len(text)
+    depth, match, n = 0, (_CODE_COMMENTS if comments else _CODE).match, len(text)
+    add = out.append
     while pos < n:
         m = match(text, pos)
         if not m:
-            raise LexError("unexpected character", pos)
-        kind, start, pos = m.lastgroup, pos, m.end()
-        if kind in ("h1", "h2", "h3"):
-            kind = "heredoc"
-        elif kind == "castname":
-            kind = "cast"
-        if kind == "space":
-            continue
-        if kind == "comment":
-            if comments:
-                out.append(Token("comment", start, pos))
-        elif kind == "op":
-            x = m[0]
+            raise LexError("unexpected character", _skipped(text, pos, comments))
+        kind = m.lastgroup
+        start, pos = m.span(kind)
+        if kind == "var":
+            add(Token("VAR", start, pos))
+        elif kind == "punct" or kind == "op":
+            x = m[kind]
             if x == "{":
                 depth += 1
             elif x == "}":
                 if inner and not depth:
-                    out.append(Token("}", start, pos))
+                    add(Token("}", start, pos))
                     return pos
                 depth -= 1
-            out.append(Token(x, start, pos))
+            add(Token(x, start, pos))
         elif kind == "word":
             pos = _word(text, m, out)
             if pos < 0:
                 return n
-        elif kind == "var":
-            out.append(Token("VAR", start, pos))
+        elif kind == "comment":
+            add(Token("comment", start, pos))
+        elif kind == "end":
+            break
         elif kind == "num":
             out.append(Token("NUM", start, pos))
         elif kind == "single":
@@ -150,8 +150,13 @@ def _code(text: str, pos: int, out: list[Token], inner: bool, comments: bool) ->
     return pos
 
 
+def _skipped(text: str, pos: int, comments: bool) -> int:
+    return re.compile(rf"{_SPACE}*+" if comments else rf"(?:{_SPACE}++|{_COMMENT})*+", re.S).match(text, pos).end()
+
+
 def _word(text: str, m: re.Match, out: list[Token]) -> int:
-    word, start, end = m[0], m.start(), m.end()
+    word = m["word"]
+    start, end = m.span("word")
     last = out[-1].kind if out else ""
     if "\\" in word:
         out.append(Token("GROUP" if word.endswith("\\") else "QNAME", start, end))
