@@ -185,17 +185,22 @@ def check(content: bytes, template: bool) -> tuple[int, str | None, int]:
         return grammar().all, None, 0
     if not template and not has_open_tag(text):
         return 0, "no PHP open tag", 1
-    lines = Lines(text)
     try:
         toks = tokens(text)
     except LexError as x:
-        return 0, str(x), lines.at(x.at)[0]
+        return 0, str(x), Lines(text).at(x.at)[0]
     g = grammar()
     term = g.terminals
-    # a number that begins with 0 is octal
-    ok, far = g.parse([-1 if t.kind == "NUM" and text[t.start] == "0" and _NOT_OCTAL.match(text, t.start, t.end) else term.get(t.kind, -1) for t in toks])
+    kinds = [term.get(t[0], -1) for t in toks]
+    num = term["NUM"]
+    for i, k in enumerate(kinds):
+        # a number that begins with 0 is octal
+        if k == num and text[toks[i].start] == "0" and _NOT_OCTAL.match(text, toks[i].start, toks[i].end):
+            kinds[i] = -1
+    ok, far = g.parse(kinds)
     if ok == g.all:
         return ok, None, 0
+    lines = Lines(text)
     if far >= len(toks):
         return ok, "unexpected end of file", lines.at(max(len(text) - 1, 0))[0]
     t = toks[far]
