@@ -240,16 +240,15 @@ class Parser:
         self.want("(")
         over = self.expr()
         self.want("as")
-        key, self.i = None, self.i + (self.kind() == "&")
+        key, ref = None, self.have("&")
         value = self.expr()
         if self.have("=>"):
-            key = value
-            self.have("&")
+            key, ref = value, self.have("&")
             value = self.expr()
         self.want(")")
         body = self.body("endforeach")
         self._close(body, "endforeach")
-        return Node("foreach", start, self.last(), None, [over, key, value, body])
+        return Node("foreach", start, self.last(), "&" if ref else None, [over, key, value, body])
 
     def _switch(self, start: int) -> Node:
         self.i += 1
@@ -334,9 +333,10 @@ class Parser:
         self._close(body, "enddeclare")
         return body
 
-    def _goto(self, start: int) -> None:
+    def _goto(self, start: int) -> Node:
         self.i += 2
         self.semi()
+        return Node("goto", start, self.last())
 
     def _HALT(self, start: int) -> None:  # noqa: N802
         self.i = self.n
@@ -692,9 +692,10 @@ class Parser:
 
     def access(self, left: Node) -> Node:
         k = self.take().kind
-        if k == "[":
+        if k in "[{":
+            # braces right after a variable are an offset in older code
             index = None if self.kind() == "]" else self.expr()
-            self.want("]")
+            self.want("]" if k == "[" else "}")
             return Node("index", left.start, self.last(), None, [left, index])
         if self.have("{"):
             name = self.expr()
@@ -713,7 +714,7 @@ class Parser:
     def postfix(self, left: Node) -> Node:
         while True:
             k = self.kind()
-            if k in ("[", "->", "?->", "::"):
+            if k in ("[", "->", "?->", "::") or k == "{" and left.kind in ("var", "index", "member") and self.here() == left.end:
                 left = self.access(left)
             elif k == "(":
                 args = self.args()

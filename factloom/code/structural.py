@@ -29,7 +29,7 @@ def _expression(text: str) -> Node | None:
 @lru_cache(maxsize=512)
 def compile_pattern(pattern: str) -> Node:
     """Tree of a pattern; ValueError if it is no single expression."""
-    node = _expression(re.sub(r"\.\.\.(?=\s*[,)])", f"${_ELLIPSIS}", pattern))
+    node = _expression(re.sub(r"\.\.\.(?=\s*[,)\]])", f"${_ELLIPSIS}", pattern))
     if node is None:
         raise ValueError(f"pattern is no expression: {pattern!r}")
     return node
@@ -70,6 +70,8 @@ def unify(p: Node | None, n: Node | None, bound: dict[str, tuple]) -> bool:
         if bound.setdefault(p.value, (k, n))[0] != k:
             return False
         return True
+    if p.kind == "var" and p.value == _ELLIPSIS:
+        return True
     if p.kind == "call" and n.kind == "call":
         return p.value == n.value and unify(p.kids[0], n.kids[0], bound) and _arguments(p.kids[1:], n.kids[1:], bound)
     if p.kind != n.kind or _key(Node(p.kind, 0, 0, p.value)) != _key(Node(n.kind, 0, 0, n.value)) or len(p.kids) != len(n.kids):
@@ -94,14 +96,50 @@ def _arguments(ps: list[Node], ns: list[Node], bound: dict) -> bool:
 def match(pattern: str, text: str | None) -> dict[str, str] | None:
     """Bindings ``$NAME`` -> code if the text is an expression that the pattern matches."""
     node = _expression(text) if text else None
+    return None if node is None else match_tree(pattern, node, text)
+
+
+def match_tree(pattern: str, node: Node, text: str) -> dict[str, str] | None:
+    """As ``match``, for the tree of the text."""
     bound: dict[str, tuple] = {}
-    if node is None or not unify(compile_pattern(pattern), node, bound):
+    if not unify(compile_pattern(pattern), node, bound):
         return None
     shift = len("<?php ")
     body = text.strip()
     return {f"${k}": body[n.start - shift : n.end - shift] for k, (_, n) in bound.items() if k != _ELLIPSIS}
 
 
+def rule_callees(rule: dict) -> list[str]:
+    """Function names of the calls that a rule can match; empty if any."""
+    out = [callees(p) for p in rule["patterns"]]
+    return [] if not all(out) else [n for o in out for n in o]
+
+
+def rules_matched(text: Column, inside: Column, rules: list[dict]) -> Column:
+    """array<struct<rule_id, bindings>> of the rules that match a call; the text is parsed once."""
+    known = [(r["id"], rule_callees(r), r["patterns"], r.get("not", ()), frozenset(r.get("inside", ()))) for r in rules]
+
+    def one(t: str | None, fn: str) -> list[dict]:
+        node = _expression(t) if t else None
+        if node is None:
+            return []
+        head = node.kids[0].value.lstrip("\\").lower() if node.kind == "call" and node.kids[0].kind == "name" else None
+        out = []
+        for rid, names, patterns, without, fns in known:
+            if fns and fn not in fns or names and head not in names:
+                continue
+            got = next((b for b in (match_tree(p, node, t) for p in patterns) if b is not None), None)
+            if got is not None and all(match_tree(p, node, t) is None for p in without):
+                out.append({"rule_id": rid, "bindings": got})
+        return out
+
+    @F.pandas_udf("array<struct<rule_id:string,bindings:map<string,string>>>")
+    def run(texts: pd.Series, fns: pd.Series) -> pd.Series:
+        return pd.Series([one(t, f) for t, f in zip(texts, fns)], dtype=object)
+
+    return run(text, inside)
+
+
 def matched(text: Column, pattern: str) -> Column:
     """map of bindings, null where the pattern does not match."""
     compile_pattern(pattern)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 #: Directory names that mark code that is not production code (fixed values).
 TESTS = ("test", "tests", "testing", "phpunit", "spec")
 EXAMPLES = ("example", "examples", "demo", "demos", "sample", "samples")
-EXTENSIONS = (".php", ".inc", ".module", ".phtml", ".tpl")
+EXTENSIONS = (".php", ".php3", ".php4", ".php5", ".php7", ".php8", ".inc", ".phtml", ".module", ".install", ".theme", ".profile", ".engine", ".ctp", ".tpl", ".class.php")
 
 
 def segments(path: Column) -> Column:

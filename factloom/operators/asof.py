@@ -15,9 +15,9 @@ def last_before(df: DataFrame, keys: list[str], order: list[str], is_write: Colu
 
 def may_writes(df: DataFrame, keys: list[str], order: list[str], strong: Column, weak: Column) -> DataFrame:
     """Weak writes that are still visible at the end: those after the last strong write of their key."""
-    w = W.partitionBy(*keys)
     at = F.struct(*order)
-    return df.withColumn("_last", F.max(F.when(strong, at)).over(w)).where(weak & (F.col("_last").isNull() | (at > F.col("_last")))).drop("_last")
+    last = df.where(strong).groupBy(*keys).agg(F.max(at).alias("_last"))
+    return df.where(weak).join(last, keys, "left").where(F.col("_last").isNull() | (at > F.col("_last"))).drop("_last")
 
 
 def interval_owner(points: DataFrame, scopes: DataFrame, keys: list[str], at: str, start: str, scope_id: str) -> DataFrame:
@@ -43,6 +43,6 @@ def suppress(points: DataFrame, spans: DataFrame, keys: list[str], at: str, star
 
 def innermost(spans: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
     """Spans that hold no other span of their key. In order of start, longest first, a span holds another exactly if a
-    later span ends within it, so a running minimum of the ends that follow decides."""
-    w = W.partitionBy(*keys).orderBy(F.col(start), F.col(end).desc()).rowsBetween(1, W.unboundedFollowing)
+    later span ends within it, so a running minimum of the ends that follow decides; the order is reversed, so that it grows."""
+    w = W.partitionBy(*keys).orderBy(F.col(start).desc(), F.col(end)).rowsBetween(W.unboundedPreceding, -1)
     return spans.dropDuplicates([*keys, start, end]).withColumn("_m", F.min(end).over(w)).where(F.col("_m").isNull() | (F.col("_m") > F.col(end))).drop("_m")

@@ -16,8 +16,8 @@ def distances(edges: DataFrame, targets: DataFrame, most: int | None = None) ->
     parts, known = [level], level
     while most is None or len(parts) <= most:
         nxt = e.join(level.select(F.col("node").alias("dst")), "dst", "left_semi").select(F.col("src").alias("node")).distinct().join(known, "node", "left_anti")
-        level = store.cut(nxt.withColumn("distance", F.lit(len(parts))))
-        if level.isEmpty():
+        level, (n,) = store.cut_counting(nxt.withColumn("distance", F.lit(len(parts))), F.lit(True))
+        if not n:
             break
         parts.append(level)
         known = store.union(parts)
@@ -86,10 +86,11 @@ def components(edges: DataFrame) -> DataFrame:
             return label
 
 
-def propagate(facts: DataFrame, edges: DataFrame, keep: list[str]) -> DataFrame:
+def propagate(facts: DataFrame, edges: DataFrame, keep: list[str], stops: DataFrame | None = None) -> DataFrame:
     """Least fixpoint of facts(node, *keep, hops) over edges(src, dst): each fact reaches every node below, with the fewest links.
 
-    Semi-naive: only the facts of the last round are joined, and a fact that a node already has is dropped.
+    Semi-naive: only the facts of the last round are joined, and a fact that a node already has is dropped. A fact goes on
+    from no node that is in ``stops(node, some of keep)`` with it.
     """
     store = Scratch(facts.sparkSession, "fix")
     e = store.cut(edges.where("src IS NOT NULL AND dst IS NOT NULL").select("src", "dst").distinct())
@@ -97,9 +98,10 @@ def propagate(facts: DataFrame, edges: DataFrame, keep: list[str]) -> DataFrame:
     parts, known, k = [fresh], fresh, 0
     while True:
         k += 1
-        nxt = fresh.join(e.withColumnRenamed("src", "node"), "node").select(F.col("dst").alias("node"), *keep).distinct().join(known, ["node", *keep], "left_anti")
-        fresh = store.cut(nxt.withColumn("hops", F.lit(k)))
-        if fresh.isEmpty():
+        on = fresh if stops is None else fresh.join(stops, stops.columns, "left_anti")
+        nxt = on.join(e.withColumnRenamed("src", "node"), "node").select(F.col("dst").alias("node"), *keep).distinct().join(known, ["node", *keep], "left_anti")
+        fresh, (n,) = store.cut_counting(nxt.withColumn("hops", F.lit(k)), F.lit(True))
+        if not n:
             return known
         parts.append(fresh)
         known = store.union(parts)

@@ -186,28 +186,9 @@ def q_psr4(spark, sf_dir):
     return j.select("class_id", "prefix", rest.alias("expected"), (rest == F.col("file_path")).alias("matches"))
 
 
-def q_php_fixtures_taint(spark, sf_dir):
-    """Labelled snippets of ours through the whole pipeline; ``sf_dir`` is not read."""
-    from factloom.code.fixtures import CASES
-
-    files = spark.createDataFrame([(i + 1, i + 1, f"src/{name}.php", bytearray(("<?php " + text).encode())) for i, (name, text, _) in enumerate(CASES)], "file_id bigint, repo_id int, file_path string, content binary")
-    want = spark.createDataFrame([(i + 1, name, expected) for i, (name, _, expected) in enumerate(CASES)], "file_id bigint, case_name string, expected boolean")
-    got = analysis.Code(extract(files)).inventory(category).where("category = 'DESERIALIZATION' AND disposition IN ('proven_route', 'conditional_route')").select("file_id").distinct().withColumn("found", F.lit(True))
-    return want.join(got, "file_id", "left").select("case_name", "expected", F.coalesce("found", F.lit(False)).alias("found"))
-
-
 QUERIES = {k: v for k, v in globals().items() if k.startswith("q_")}
 
 _SRC = "s AS (SELECT DISTINCT file_id, repo_id, file_path, content FROM source_file WHERE lower(file_path) LIKE '%.json'), j AS (SELECT *, CASE WHEN json_valid(decode(content)) THEN decode(content)::JSON END AS v FROM s WHERE NOT contains(content::VARCHAR, '\\x00'))"
-def _golden() -> str:
-    """The labels themselves, so a check of the pipeline against them and not an independent computation."""
-    from factloom.code.fixtures import CASES
-
-    rows = ", ".join(f"('{name}', {str(expected).lower()}, {str(expected).lower()})" for name, _, expected in CASES)
-    return f"SELECT * FROM (VALUES {rows}) t(case_name, expected, found)"
-
-
 ORACLE = {
-    "q_php_fixtures_taint": _golden(),
     "q_manifest": f"WITH {_SRC} SELECT file_id, v->>'name' AS name, v->>'type' AS type, v->>'version' AS version, coalesce(v->>'type' IN ('library', 'composer-plugin'), false) AS library FROM j WHERE json_type(v) = 'OBJECT' AND v->>'name' IS NOT NULL",
 }
