@@ -23,8 +23,15 @@ def options(argv: list[str] | None = None) -> argparse.Namespace:
         s.add_argument("--exclude", action="append", default=[])
         s.add_argument("--min-severity", choices=["CRITICAL", "HIGH", "MEDIUM", "LOW", "INFO"], default="INFO")
         s.add_argument("--max-depth", type=int, default=6)
-        s.add_argument("--php-version", type=_version, default="8.1")
-    sub.add_parser("verify-rules")
+        s.add_argument("--php-version", type=_version, help="branches that this version does not take are not followed")
+        s.add_argument("--library", action="store_true", help="parameters of public functions and methods are sources")
+        s.add_argument("--max-nodes", type=int, help="files with more syntax nodes are reported and not read")
+        s.add_argument("--max-paths", type=int, help="a level of more paths ends the search for chains, which is marked")
+        s.add_argument("--rules-dir", action="append", default=[], help="folder of YAML rules, beside the built-in ones")
+        s.add_argument("--no-builtin-rules", action="store_true")
+        s.add_argument("--rules-output", help="matches of the rules, as lines of JSON")
+    v = sub.add_parser("verify-rules")
+    v.add_argument("folder", nargs="*")
     return p.parse_args(argv)
 
 
@@ -34,12 +41,19 @@ def _version(text: str) -> str:
     return text
 
 
+def _texts(folders: list[str]) -> dict[str, str]:
+    """Texts of all YAML files below the folders, by path."""
+    from pathlib import Path
+
+    return {str(p): p.read_text(encoding="utf-8") for f in folders for p in sorted(Path(f).rglob("*")) if p.suffix in (".yml", ".yaml")}
+
+
 def main(argv: list[str] | None = None) -> int:
     from factloom.code import analysis
 
     o = options(argv)
     if o.command == "verify-rules":
-        good, bad = analysis.check_rules(analysis.RULES)
+        good, bad = analysis.read_rules(_texts(o.folder)) if o.folder else analysis.check_rules(analysis.RULES)
         for rid, why in bad:
             print(f"{rid}: {why}")
         print(f"{len(good)} rules, {len(bad)} not usable")
@@ -52,15 +66,21 @@ def main(argv: list[str] | None = None) -> int:
 
     spark = SparkSession.builder.appName("factloom").getOrCreate()
     files, errors = discover(spark, o.target, excluded=(*EXCLUDED, *o.exclude), most_bytes=o.max_bytes)
-    code = analysis.Code(extract(files))
+    code = analysis.Code(extract(files, o.php_version, o.max_nodes))
     if o.command == "find-gadgets":
-        chains = code.store.cut(code.chains(code.call_graph(category), o.max_depth)).orderBy("length", "chain_id")
+        chains = code.store.cut(code.chains(code.call_graph(category), o.max_depth, o.max_paths)).orderBy("length", "chain_id")
         if o.output:
             writers.write_rows(chains, o.output)
         else:
             chains.show(200, False)
         return 0
-    found = findings_of(code)
+    if o.rules_output:
+        extra, bad = analysis.read_rules(_texts(o.rules_dir))
+        for rid, why in bad:
+            print(f"{rid}: {why}", file=sys.stderr)
+        rules, _ = analysis.check_rules([*([] if o.no_builtin_rules else analysis.RULES), *extra])
+        code.matches(analysis.rules_for(rules, o.php_version) if o.php_version else rules).write.mode("overwrite").json(o.rules_output)
+    found = findings_of(code, o.library, o.php_version)
     keep = [s for s, r in writers.RANK.items() if r >= writers.RANK[o.min_severity]]
     found = code.store.cut(found.where(found.severity.isin(*keep)))
     if o.output:
@@ -68,8 +88,11 @@ def main(argv: list[str] | None = None) -> int:
         getattr(writers, WRITERS[kind])(found, o.output)
     else:
         print(writers.text(found))
-    for e in errors.limit(100).collect():
+    told = errors.limit(101).collect()
+    for e in told[:100]:
         print(f"{e.phase}: {e.file_path}: {e.message}", file=sys.stderr)
+    if len(told) > 100:
+        print("... more errors are in the table", file=sys.stderr)
     return writers.exit_status(found, 0 if errors.where("phase = 'discovery'").isEmpty() else 1)
 
 

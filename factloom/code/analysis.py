@@ -70,18 +70,18 @@ class Code:
         m = self.store.cut(self.functions().where("kind = 'method'").groupBy("repo_id", F.col("class").alias("at"), "low").agg(F.min("id").alias("fn_id")))
         ups = self.store.cut(self.parents())
         live = wanted.select("repo_id", "class", "low").distinct().select("*", F.col("class").alias("at"), F.lit(0).alias("order"))
-        out, k, seen = None, 0, []
+        out, k, asked = None, 0, []
         while True:
-            hit = self.store.cut(live.join(m, ["repo_id", "at", "low"], "left"))
+            hit = self.store.cut(live.join(m, ["repo_id", "at", "low"], "left").select("repo_id", "class", "low", "at", "order", "fn_id"))
             got = hit.where("fn_id IS NOT NULL").groupBy("repo_id", "class", "low").agg(F.min_by("fn_id", F.struct("order", "fn_id")).alias("fn_id")).withColumn("distance", F.lit(k))
             out = got if out is None else out.unionAll(got)
             rest = hit.where("fn_id IS NULL").join(got.select("repo_id", "class", "low"), ["repo_id", "class", "low"], "left_anti")
             live = rest.drop("fn_id", "order").join(ups.withColumnRenamed("class", "at").withColumnRenamed("step", "order"), ["repo_id", "at"]).drop("at").withColumnRenamed("up", "at").select("repo_id", "class", "low", "at", "order")
             # a class that was asked before, as in a cycle, is not asked again
-            seen.append(self.store.cut(hit.select("repo_id", "class", "low", "at").distinct()))
-            live = live.groupBy("repo_id", "class", "low", "at").agg(F.min("order").alias("order")).join(self.store.union(seen), ["repo_id", "class", "low", "at"], "left_anti")
-            live = self.store.cut(live)
-            if live.isEmpty():
+            asked.append(hit)
+            live = live.groupBy("repo_id", "class", "low", "at").agg(F.min("order").alias("order")).join(self.store.union(asked), ["repo_id", "class", "low", "at"], "left_anti")
+            live, (n,) = self.store.cut_counting(live, F.lit(True))
+            if not n:
                 return out
             k += 1
 
@@ -104,6 +104,18 @@ class Code:
         got = m.join(self.owners(m).drop("distance"), ["repo_id", "class", "low"]).select("call_id", "fn_id", "how")
         return self.store.cut(f.unionByName(got))
 
+    def contract_targets(self, contracts: DataFrame) -> DataFrame:
+        """(call_id, fn_id, note): what a call that nothing else resolves may mean by ``contracts(caller_class, caller_method, receiver, callee, target_class, note)``.
+
+        Only methods that are there are meant. The table is a bounded list of a framework's fixed dispatches.
+        """
+        k = contracts.select(*[F.lower(c).alias(c) if c not in ("receiver", "note") else F.col(c) for c in ("caller_class", "caller_method", "receiver", "callee", "target_class", "note")])
+        f = self.functions().select(F.col("id").alias("fn_id"), F.col("class").alias("caller_class"), F.col("low").alias("caller_method"))
+        c = self.calls.where("how = 'method'").select("repo_id", F.col("id").alias("call_id"), "fn_id", "receiver", "callee").join(f, "fn_id").drop("fn_id")
+        c = c.join(self.targets().select("call_id"), "call_id", "left_anti").join(F.broadcast(k), ["caller_class", "caller_method", "receiver", "callee"])
+        c = self.store.cut(c.select("repo_id", "call_id", F.col("target_class").alias("class"), F.col("callee").alias("low"), "note"))
+        return c.join(self.owners(c).drop("distance"), ["repo_id", "class", "low"]).select("call_id", "fn_id", "note").distinct()
+
     # -- values -------------------------------------------------------------------------------------------------------
     def value_edges(self, targets: DataFrame) -> DataFrame:
         """(src, dst, tag) of all values: inside scopes, through calls and through shared storage."""
@@ -300,9 +312,9 @@ class Code:
     def session_dispatch(self, most: int = 24) -> DataFrame:
         """Method calls on a session value that a deserialization filled, with the classes of the repository that have the method."""
         key = r"^\$_SESSION\[['\"](\w+)['\"]\]"
-        cells = self.calls.select("repo_id", "file_id", F.col("id").alias("call_id"), "callee", "receiver", "start_line", "text")
+        cells = self.calls.select("repo_id", "file_id", F.col("id").alias("call_id"), "callee", "receiver", "replaced", "start_line", "text")
         stores = self.rows("sessions").select("repo_id", F.col("file_id").alias("store_file"), "key", F.col("line").alias("store_line"))
-        use = cells.where(F.col("receiver").rlike(key)).withColumn("key", F.regexp_extract("receiver", key, 1))
+        use = cells.where(F.col("receiver").rlike(key) & ~F.col("replaced")).withColumn("key", F.regexp_extract("receiver", key, 1))
         m = self.functions().where("kind = 'method' AND visibility = 'public'").groupBy("repo_id", F.col("low").alias("callee")).agg(F.slice(F.array_sort(F.collect_set("class")), 1, most).alias("classes"), F.count_distinct("class").alias("total"))
         n = stores.groupBy("repo_id", "key").agg(F.count("*").alias("stores"), F.min(F.struct("store_file", "store_line")).alias("first"))
         return use.join(n, ["repo_id", "key"]).join(m, ["repo_id", "callee"], "left").select("repo_id", "file_id", "start_line", "key", "callee", "stores", "first", "classes", F.coalesce("total", F.lit(0)).alias("total"), (F.coalesce("total", F.lit(0)) > most).alias("truncated"))
@@ -363,6 +375,49 @@ class Code:
         out = uses.join(got, ["repo_id", "callee"], "left").join(more, ["repo_id", "callee"], "left")
         return out.withColumn("sinks", F.coalesce("sinks", F.array().cast("array<string>"))).withColumn("deeper", F.coalesce("deeper", F.lit(False)))
 
+    # -- evidence -----------------------------------------------------------------------------------------------------
+    def assessed(self, inventory: DataFrame) -> DataFrame:
+        """Reached sinks with the level of evidence, what limits it, and how far that goes."""
+        kind, sure = F.col("kind"), F.col("certain")
+        level = (
+            F.when(kind.isin("request") & sure, "observed_source_flow").when(kind.isin("framework_request") & sure, "modeled_source_flow").when(kind == "persistent_data", "assumed_persistent_flow")
+            .when((kind == "library_parameter") & sure, "assumed_api_flow").otherwise("unresolved_flow")
+        )
+        limits = F.array_sort(F.array_compact(F.array(
+            F.when(~sure, "unresolved_propagation"), F.when(F.size("guards") > 0, "guard_not_proven"), F.when(F.col("guards_cut"), "guards_cut"), F.when(kind == "library_parameter", "external_caller_assumed"),
+            F.when(kind == "framework_request", "framework_source_modeled"), F.when(kind == "persistent_data", "persistent_write_unverified"),
+        )))
+        direct = (F.col("category") == "DESERIALIZATION") & (F.col("level") == "observed_source_flow") & (F.size("limitations") == 0)
+        i = inventory.where("origins IS NOT NULL AND disposition NOT IN ('restricted_options', 'fixed_path')").withColumn("level", level).withColumn("limitations", limits)
+        return i.withColumn("detection", F.when(direct, "direct_untrusted_deserialization").otherwise("conditional_path")).withColumn("completeness", F.when(F.size("limitations") > 0, "limited").otherwise("within_model"))
+
+    def stored_links(self, most: int = 16) -> DataFrame:
+        """(read_id, write_id, table, column, rank, total): writes of the column that a query reads, in any file of the repository; ``most`` of each read with the uncapped count."""
+        c = self.store.cut(self.stored_columns())
+        r = c.where("access = 'read'").select("repo_id", "table", "column", F.col("call_id").alias("read_id"))
+        w = c.where("access = 'write'").select("repo_id", "table", "column", F.col("call_id").alias("write_id")).distinct()
+        total = w.groupBy("repo_id", "table", "column").agg(F.count("*").alias("total"))
+        best = w.withColumn("rank", F.row_number().over(W.partitionBy("repo_id", "table", "column").orderBy("write_id"))).where(F.col("rank") <= most)
+        return r.join(best, ["repo_id", "table", "column"]).join(total, ["repo_id", "table", "column"]).select("read_id", "write_id", "table", "column", "rank", "total")
+
+    def route_evidence(self, inventory: DataFrame, chains: DataFrame, dispatch: DataFrame) -> DataFrame:
+        """Routes of four kinds with status and missing links: source to sink, stored column, gadget chain, session dispatch."""
+        none = F.array().cast("array<string>")
+        gone = F.array_compact(F.array(F.when(~F.col("certain"), F.lit("unresolved_data_propagation")), F.when(F.col("kind") == "library_parameter", F.lit("external_caller")), F.when(F.col("kind") == "framework_request", F.lit("framework_runtime_binding")), F.when(F.size("guards") > 0, F.lit("guard_feasibility"))))
+        flow = self.assessed(inventory).withColumn("missing", gone)
+        flow = flow.select(paths.identity(F.lit("flow"), F.col("path"), F.col("line"), F.col("col"), F.col("sink_argument")).alias("route_id"), F.lit("source_to_sink").alias("kind"), F.when(~F.col("certain"), "unknown").when(F.size("missing") > 0, "conditional").otherwise("proven").alias("status"), "missing", "path", "line")
+        at = self.calls.select("path", F.col("start_line").alias("line"), F.col("id").alias("read_id"))
+        kept = self.stored_links().join(at, "read_id").select(paths.identity(F.lit("store"), F.col("read_id"), F.col("write_id"), F.col("column")).alias("route_id"), F.lit("candidate_persistent_store").alias("kind"), F.lit("conditional").alias("status"), F.array(F.lit("write_read_identity_and_order"), F.lit("write_authorization")).alias("missing"), "path", "line")
+        held = self.store.cut(chains)
+        s = held.select("chain_id", "level").join(self.chain_sites(held), "chain_id")
+        lost = F.array_compact(F.array(F.when(F.col("compatible") == 0, F.lit("deserialization_site")), F.when(F.col("level") != "HIGH", F.lit("receiver_type"))))
+        gadget = s.select(paths.identity(F.lit("chain"), F.col("chain_id")).alias("route_id"), F.lit("candidate_gadget").alias("kind"), F.when(F.col("compatible") > 0, "conditional").otherwise("unknown").alias("status"), lost.alias("missing"), F.col("first.path").alias("path"), F.col("first.line").alias("line"))
+        file = self.facts.select("file_id", "path")
+        d = dispatch.where("size(sinks) > 0").join(file, "file_id")
+        late = F.array_compact(F.array(F.lit("session_identity_and_request_order"), F.lit("object_class_and_properties"), F.when(F.col("truncated"), F.lit("dispatch_candidates_unexamined")), F.when(F.col("deeper"), F.lit("dispatch_sink_search_truncated"))))
+        session = d.select(paths.identity(F.lit("session"), F.col("file_id"), F.col("start_line"), F.col("key"), F.col("callee")).alias("route_id"), F.lit("candidate_session_dispatch").alias("kind"), F.lit("conditional").alias("status"), late.alias("missing"), "path", F.col("start_line").alias("line"))
+        return flow.unionByName(kept).unionByName(gadget).unionByName(session).withColumn("missing", F.coalesce("missing", none)).dropDuplicates(["route_id"])
+
     # -- class loading ------------------------------------------------------------------------------------------------
     def include_index(self) -> DataFrame:
         """(repo_id, target_id, includers): the files that include each file, and whether one does so without a condition."""
@@ -477,8 +532,10 @@ ARCHIVES = ("phar", "phardata", "pharfileinfo")
 CONTAINERS = ("splobjectstorage", "arrayobject", "arrayiterator", "spldoublylinkedlist", "splqueue", "splstack")
 
 def _rule(name: str, severity: str, patterns: list[str], message: str, without: tuple[str, ...] = (), inside: tuple[str, ...] = ()) -> dict:
+    """Archives are restored without being asked to before 8.0, and wddx ends with 7.4."""
     r = {"id": f"loom.{name}", "severity": severity, "patterns": patterns, "message": message}
-    return {**r, **({"not": list(without)} if without else {}), **({"inside": list(inside)} if inside else {})}
+    below = {"archive": "8.0", "wddx": "7.4"}.get(name.split(".")[0])
+    return {**r, **({"not": list(without)} if without else {}), **({"inside": list(inside)} if inside else {}), **({"metadata": {"below": below}} if below else {})}
 
 
 _SENT = ("_GET", "_POST", "_REQUEST", "_COOKIE")
@@ -506,6 +563,12 @@ RULES = [
 ]
 
 
+def rules_for(rules: list[dict], php_version: str) -> list[dict]:
+    """Rules that mean something for a version of the language: those whose metadata has ``below`` only for earlier ones."""
+    v = tuple(int(x) for x in php_version.split("."))
+    return [r for r in rules if "below" not in r.get("metadata", {}) or v < tuple(int(x) for x in r["metadata"]["below"].split("."))]
+
+
 def check_rules(rules: list[dict]) -> tuple[list[dict], list[tuple[str, str]]]:
     """(rules that can be used, (id, reason) of the others); a rule that is wrong does not stop the others."""
     from factloom.code import structural

@@ -88,6 +88,7 @@ class File:
         self.implicit: dict[tuple, str | None] = {}
         self.namespace, self.first_namespace = "", None
         self.kinds: dict[int, set[str]] = {}
+        self.restored: set[int] = set()
         self.outs: dict[tuple, int] = {}
         self.afters: dict[tuple, int] = {}
         self.entry_guards: dict[str, None] = {}
@@ -829,14 +830,15 @@ class File:
             ids = {d}
             if names := set().union(*(self.kinds.get(i, ()) for i in v)):
                 self.kinds[d] = names
+            if v & self.restored:
+                self.restored.add(d)
         var, path = c
         if env.get(LITERALS):
             env[LITERALS] = {k: x for k, x in env[LITERALS].items() if k[0] != var}
         if env.get(HOLDS):
             env[HOLDS] = tuple(h for h in env[HOLDS] if var not in h[1])
         if var == "_SESSION" and path and path[0]:
-            call = n.kids[1] if n.kind == "assign" else None
-            if call is not None and call.kind == "call" and call.kids[0].kind == "name" and call.kids[0].value.lstrip("\\").lower() in DESERIALIZERS:
+            if v & self.restored:
                 self.sessions[(self.string(path[0]), n.start)] = None
         if var[:1] == "\0":
             for i in ids:
@@ -928,6 +930,11 @@ class File:
             self.value(target, env)
         low = (callee or "").lstrip("\\").lower()
         out = self.call(n, how, callee, receiver, args, env, got, owner)
+        if how == "function" and low in DESERIALIZERS:
+            self.restored.add(out)
+        if how == "method" and (c := self.cell(target.kids[0], env)) and c[0] == "_SESSION":
+            # what this scope has put there itself is not what another request left
+            self.calls[out]["replaced"] = c[1] in env.get("_SESSION", {}) and not self.read(env, *c) & self.restored
         self.written_back(out, how, low, args, env, got)
         if how == "method" and owner and low in REQUEST_METHODS.get(owner.rstrip("?"), ()):
             return {self.source(n, self.src(n), "framework_request")}
@@ -1043,7 +1050,7 @@ class File:
         full = callee.lstrip("\\") if via is not None and callee else self.qualify(callee, "function") if how == "function" and callee else callee
         self.calls[i] = {
             "id": i, "fn_id": self.fn, "class_name": self.cls["name"] if self.cls else None, "how": how, "callee": callee.lstrip("\\").lower() if callee else None, "qualified": full.lower() if full else None, "receiver": receiver, "receiver_class": owner.rstrip("?") if owner else None, "receiver_exact": owner is not None and not owner.endswith("?"), "args": rows,
-            "callback": self._callback_kind(how, low, args) if via is None else None, "via": via, "conditional": self.branches > 0 or self.fn != self.main, "guards": guards[:MOST_GUARDS], "guards_cut": len(guards) > MOST_GUARDS,
+            "replaced": False, "callback": self._callback_kind(how, low, args) if via is None else None, "via": via, "conditional": self.branches > 0 or self.fn != self.main, "guards": guards[:MOST_GUARDS], "guards_cut": len(guards) > MOST_GUARDS,
             "restricted": self.restricted(args, env), "start_line": l1, "start_col": c1, "end_line": l2, "end_col": c2, "text": self.src(n),
         }
         return i
@@ -1082,7 +1089,7 @@ SCHEMA = """file_id bigint, repo_id int, path string, namespace string, errors a
 classes array<struct<id bigint, name string, kind string, parent string, interfaces array<string>, traits array<string>, abstract boolean, adapted boolean, start_line int, end_line int>>,
 properties array<struct<class_id bigint, name string, type string, visibility string, static boolean>>,
 functions array<struct<id bigint, class_id bigint, name string, kind string, visibility string, static boolean, abstract boolean, params array<struct<name string, type string, value_id bigint, at int>>, return_type string, start_line int, end_line int>>,
-calls array<struct<id bigint, fn_id bigint, class_name string, how string, callee string, qualified string, receiver string, receiver_class string, receiver_exact boolean, args array<struct<at int, place int, name string, text string, prefix string, value_id bigint>>, callback string, via bigint, conditional boolean, guards array<string>, guards_cut boolean, restricted boolean, start_line int, start_col int, end_line int, end_col int, text string>>,
+calls array<struct<id bigint, fn_id bigint, class_name string, how string, callee string, qualified string, receiver string, receiver_class string, receiver_exact boolean, args array<struct<at int, place int, name string, text string, prefix string, value_id bigint>>, replaced boolean, callback string, via bigint, conditional boolean, guards array<string>, guards_cut boolean, restricted boolean, start_line int, start_col int, end_line int, end_col int, text string>>,
 edges array<struct<src bigint, dst bigint, tag string>>, sources array<struct<id bigint, fn_id bigint, origin string, kind string, line int>>, returns array<struct<fn_id bigint, value_id bigint>>, implicit array<struct<fn_id bigint, method string, receiver string, type string>>, outs array<struct<fn_id bigint, at int, name string, value_id bigint>>, afters array<struct<call_id bigint, at int, name string, value_id bigint>>, entry_guards array<string>, data_only boolean, blocks array<struct<fn_id bigint, node int, line int, kind string, writes array<string>>>, steps array<struct<fn_id bigint, src int, dst int>>, unsupported array<struct<fn_id bigint, reason string>>, sessions array<struct<key string, line int>>, cells array<struct<kind string, name string, value_id bigint, written boolean>>"""
 
 

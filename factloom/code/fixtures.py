@@ -235,10 +235,39 @@ REVIEWS = [(6, "archive_metadata"), (8, "container_unserialize")]
 
 #: Values that sessions and tables keep.
 KEPT = """<?php
-$_SESSION['cart'] = unserialize($_COOKIE['c']);
+$got = unserialize($_COOKIE['c']); $_SESSION['cart'] = $got;
 class Order { function ship() { $this->pack(); } function pack() { unlink($this->tmp); } }
 class Basket { function ship() { return 1; } }
-function later() { $_SESSION['cart']->ship(); $_SESSION['user']->ship(); }
+function later() { $_SESSION['cart']->ship(); $_SESSION['user']->ship(); $_SESSION['cart'] = new Basket(); $_SESSION['cart']->ship(); }
 $db->query("SELECT id, t.body FROM notes WHERE id = 1");
 $db->exec("INSERT INTO notes (body, made) VALUES (1, 2)");
 """
+#: Routes of all kinds in KEPT.
+ROUTE_KINDS = [
+    ("source_to_sink", "proven", 2, ""), ("candidate_persistent_store", "conditional", 6, "write_read_identity_and_order,write_authorization"), ("candidate_session_dispatch", "conditional", 5, "session_identity_and_request_order,object_class_and_properties"),
+]
+
+#: A dispatch that only its framework knows: program, table, (class, method, note).
+CONTRACTED = (
+    """<?php
+class Gate { private $box; function admit($in) { return $this->box->unseal($in); } function other($in) { return $this->box->unseal($in); } }
+class Seal { function unseal($in) { return unserialize($in); } }
+class Missing { }
+""",
+    [("Gate", "admit", "$this->box", "unseal", "Seal", "the container picks the class"), ("Gate", "admit", "$this->box", "unseal", "Missing", "not there")],
+    [("seal", "unseal", "the container picks the class")],
+)
+
+#: Levels of evidence: program, (line, level, limitations, detection, completeness).
+ASSESSED = ("""<?php
+unserialize($_GET['a']);
+unserialize(wash($_GET['a']));
+if (is_string($_GET['b']) && $ok) { unserialize($ok . $_GET['b']); }
+function api($blob) { unserialize($blob); }
+$rows = $wpdb->get_results('SELECT a FROM b');
+unserialize($rows[0]);
+unserialize($_GET['a'], ['allowed_classes' => false]);
+""", [
+    (2, "observed_source_flow", "", "direct_untrusted_deserialization", "within_model"), (3, "unresolved_flow", "unresolved_propagation", "conditional_path", "limited"), (4, "observed_source_flow", "guard_not_proven", "conditional_path", "limited"),
+    (5, "assumed_api_flow", "external_caller_assumed", "conditional_path", "limited"), (7, "assumed_persistent_flow", "persistent_write_unverified", "conditional_path", "limited"),
+])

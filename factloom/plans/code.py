@@ -55,10 +55,10 @@ def q_php_inventory(spark, sf_dir):
     return i.select("file_id", "path", "line", "col", "sink_name", "category", "restricted", "disposition", "origin", "origin_line", "hops", "scope")
 
 
-def findings_of(c: analysis.Code) -> DataFrame:
-    i = c.inventory(category).where("disposition IN ('proven_route', 'conditional_route')")
+def findings_of(c: analysis.Code, library: bool = False, php_version: str | None = None) -> DataFrame:
+    i = c.inventory(category, library, php_version).where("disposition IN ('proven_route', 'conditional_route', 'modeled_framework_request', 'persistent_data', 'conditional_library_api')")
     severe = F.when(F.col("scope") != "production", "MEDIUM").when(F.col("category") == "DESERIALIZATION", "CRITICAL").when(F.col("category") == "RCE", "HIGH").otherwise("MEDIUM")
-    sure = F.when(F.col("certain"), "HIGH").otherwise("MEDIUM")
+    sure = F.when(F.col("kind").isin("library_parameter", "persistent_data"), "LOW").when(F.col("certain"), "HIGH").otherwise("MEDIUM")
     return i.select(paths.identity(F.col("path"), F.col("line"), F.col("col"), F.col("sink_name"), length=12).alias("finding_id"), "file_id", "path", "line", "col", "sink_name", "category", severe.alias("severity"), sure.alias("confidence"), "origin", "hops", "origins")
 
 
@@ -138,15 +138,30 @@ def q_php_finding_coverage(spark, sf_dir):
 
 
 def q_php_routes(spark, sf_dir):
-    """Route evidence of two kinds (request to sink, chain with a compatible site) with status and what is missing."""
+    """Route evidence of four kinds (request to sink, stored column, chain with a site, session dispatch) with status and what is missing."""
+    c = code(spark, sf_dir)
+    e = c.store.cut(c.call_graph(category))
+    return c.route_evidence(c.inventory(category), c.chains(e), c.dispatch_sinks(c.session_dispatch(), e, category))
+
+
+def q_php_assessed(spark, sf_dir):
+    """Reached sinks with level of evidence, limitations and completeness."""
     c = code(spark, sf_dir)
-    i = c.inventory(category)
-    flow = i.where("origins IS NOT NULL").select(paths.identity(F.lit("flow"), F.col("path"), F.col("line"), F.col("col")).alias("route_id"), F.lit("source_to_sink").alias("kind"), F.when(F.col("restricted"), "conditional").when(F.col("certain"), "proven").otherwise("conditional").alias("status"), F.when(F.col("certain"), F.array().cast("array<string>")).otherwise(F.array(F.lit("call_resolution"))).alias("missing"), "path", "line")
-    chains = c.store.cut(c.chains(c.call_graph(category)))
-    s = chains.select("chain_id", "level").join(c.chain_sites(chains), "chain_id")
-    gone = F.array_compact(F.array(F.when(F.col("compatible") == 0, F.lit("deserialization_site")), F.when(F.col("level") != "HIGH", F.lit("receiver_type"))))
-    gadget = s.select(paths.identity(F.lit("chain"), F.col("chain_id")).alias("route_id"), F.lit("candidate_gadget").alias("kind"), F.when(F.col("compatible") > 0, "conditional").otherwise("unknown").alias("status"), gone.alias("missing"), F.col("first.path").alias("path"), F.col("first.line").alias("line"))
-    return flow.unionByName(gadget).dropDuplicates(["route_id"])
+    return c.assessed(c.inventory(category)).select("file_id", "path", "line", "col", "sink_name", "sink_argument", "level", "limitations", "detection", "completeness")
+
+
+def q_php_flow_metrics(spark, sf_dir):
+    """Scopes, statements, branches and dead statements per file."""
+    return code(spark, sf_dir).flow_metrics()
+
+
+def q_php_bootstraps(spark, sf_dir):
+    """Entry points of each file and how many of them start a session."""
+    return code(spark, sf_dir).bootstraps()
+
+
+def q_php_reviews(spark, sf_dir):
+    return code(spark, sf_dir).typed_reviews()
 
 
 def q_php_rules(spark, sf_dir):

@@ -128,6 +128,27 @@ def q_fx_errors(spark, sf_dir) -> DataFrame:
     return c.facts.select("file_id", "path", "data_only").join(e, "file_id", "left").select("path", "data_only", F.col("line").isNotNull().alias("failed"), F.coalesce("too_large", F.lit(False)).alias("too_large"))
 
 
+def q_fx_contracts(spark, sf_dir) -> DataFrame:
+    """Calls that only a table of fixed dispatches resolves."""
+    c = _one(spark, fx.CONTRACTED[0])
+    k = spark.createDataFrame(fx.CONTRACTED[1], "caller_class string, caller_method string, receiver string, callee string, target_class string, note string")
+    f = c.functions().select(F.col("id").alias("fn_id"), "class", "low")
+    return c.contract_targets(k).join(f, "fn_id").select("class", "low", "note")
+
+
+def q_fx_assessed(spark, sf_dir) -> DataFrame:
+    i = _one(spark, fx.ASSESSED[0]).inventory(category, library=True).where("category = 'DESERIALIZATION'")
+    c = _one(spark, fx.ASSESSED[0])
+    return c.assessed(i).select("line", "level", F.array_join("limitations", ",").alias("limitations"), "detection", "completeness")
+
+
+def q_fx_route_kinds(spark, sf_dir) -> DataFrame:
+    c = _one(spark, fx.KEPT)
+    e = c.store.cut(c.call_graph(category))
+    r = c.route_evidence(c.inventory(category), c.chains(e), c.dispatch_sinks(c.session_dispatch(), e, category))
+    return r.select("kind", "status", "line", F.array_join("missing", ",").alias("missing"))
+
+
 QUERIES = {k: v for k, v in globals().items() if k.startswith("q_")}
 
 
@@ -157,5 +178,8 @@ ORACLE = {
     "q_fx_sessions": _values("key, callee, stores, classes, sinks, deeper", [("cart", "ship", 1, "basket,order", "unlink", False)]),
     "q_fx_stored_columns": _values('"table", "column", access, line', [("notes", "id", "read", 6), ("notes", "body", "read", 6), ("notes", "body", "write", 7), ("notes", "made", "write", 7)]),
     "q_fx_resolution": _values('callee, line, "class", low', [("pack", 3, "order", "pack")]),
+    "q_fx_contracts": _values('"class", low, note', fx.CONTRACTED[2]),
+    "q_fx_assessed": _values("line, level, limitations, detection, completeness", fx.ASSESSED[1]),
+    "q_fx_route_kinds": _values("kind, status, line, missing", fx.ROUTE_KINDS),
     "q_fx_errors": _values("path, data_only, failed, too_large", [("a.php", False, True, False), ("b.php", True, False, False), ("c.php", False, False, False), ("d.php", True, True, True)]),
 }

@@ -132,3 +132,15 @@ def text(findings: DataFrame, most: int = 200) -> str:
     rows, more = _top(findings, most)
     lines = [f"{r['severity']:<8} {r['path']}:{r['line']}:{r['col']} {r['origin']} -> {r['sink_name']}" for r in rows]
     return "\n".join([*lines, *(["..."] if more else []), ", ".join(f"{k}: {v}" for k, v in summary(findings).items())])
+
+
+def recompact(findings: DataFrame, most: int = 32) -> DataFrame:
+    """A saved report with at most ``most`` findings a sink and file, one of each origin first, and how many there were; nothing is scanned again."""
+    from factloom.operators import ranking
+
+    rank = F.lit(0)
+    for k, v in RANK.items():
+        rank = F.when(F.col("severity") == k, v).otherwise(rank)
+    total = findings.groupBy("path", "sink_name").agg(F.count("*").alias("total"))
+    kept = ranking.representatives(findings, ["path", "sink_name"], ["origin"], [rank.desc(), F.col("line"), F.col("finding_id")], most)
+    return kept.join(total, ["path", "sink_name"]).withColumn("truncated", F.col("total") > most)

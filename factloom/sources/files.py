@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from factloom.functions import paths
 
@@ -30,9 +31,15 @@ def discover(spark: SparkSession, root: str, extensions=paths.EXTENSIONS, exclud
     rel = F.regexp_replace(F.regexp_replace("path", r"^\w+:/*", "/"), f"^{base}/?", "")
     own = F.when(rel == "", F.substring_index("path", "/", -1)).otherwise(rel)
     t = raw.withColumn("file_path", own).where(paths.has_extension(F.col("file_path"), extensions) & paths.outside(F.col("file_path"), excluded))
-    small = t.where(F.col("length") <= most_bytes)
-    files = small.select(F.xxhash64("file_path").bitwiseAND(F.lit((1 << 41) - 1)).alias("file_id"), F.lit(1).alias("repo_id"), "file_path", "content", F.col("length").alias("n_bytes"))
-    large = t.where(F.col("length") > most_bytes).select("file_path", F.lit("resource_limit").alias("phase"), F.concat(F.lit("larger than "), F.lit(str(most_bytes)), F.lit(" bytes")).alias("message"))
+    small = t.where(F.col("length") <= most_bytes) if most_bytes else t
+    # paths of one hash, which are few, are told apart by their order; contents take no part in finding them
+    h = F.xxhash64("file_path").bitwiseAND(F.lit((1 << 38) - 1))
+    names = small.select("file_path", h.alias("h"))
+    again = names.groupBy("h").count().where("count > 1").select("h")
+    later = names.join(F.broadcast(again), "h", "left_semi").select("file_path", (F.row_number().over(W.partitionBy("h").orderBy("file_path")) - 1).alias("k")).where("k > 0")
+    small = small.join(F.broadcast(later), "file_path", "left").withColumn("h", h)
+    files = small.select((F.col("h") * 8 + F.coalesce("k", F.lit(0))).alias("file_id"), F.lit(1).alias("repo_id"), "file_path", "content", F.col("length").alias("n_bytes"))
+    large = t.where(F.col("length") > (most_bytes or (1 << 62))).select("file_path", F.lit("resource_limit").alias("phase"), F.concat(F.lit("larger than "), F.lit(str(most_bytes)), F.lit(" bytes")).alias("message"))
     return files, large
 
 
