@@ -271,3 +271,40 @@ unserialize($_GET['a'], ['allowed_classes' => false]);
     (2, "observed_source_flow", "", "direct_untrusted_deserialization", "within_model"), (3, "unresolved_flow", "unresolved_propagation", "conditional_path", "limited"), (4, "observed_source_flow", "guard_not_proven", "conditional_path", "limited"),
     (5, "assumed_api_flow", "external_caller_assumed", "conditional_path", "limited"), (7, "assumed_persistent_flow", "persistent_write_unverified", "conditional_path", "limited"),
 ])
+
+#: Includes of WEB: (path, target, from the file's own folder, whether the target is there).
+INCLUDED = [("index.php", "lib/core.php", True, True), ("cron.php", "lib/core.php", False, True), ("lib/core.php", "lib/tools.php", False, True), ("lib/alone.php", None, False, False)]
+
+#: Declarations: program, (kind, name, detail).
+DECLARED = ("""<?php
+namespace Acme\\Mail;
+use Acme\\Core\\Model as Base;
+use function Acme\\fmt;
+interface Sends {}
+abstract class Letter extends Base implements Sends {
+    use Stamps;
+    protected ?int $weight = 0;
+    public static $count;
+    function __construct(private string $to) {}
+    abstract function send(int $n, ...$rest): bool;
+}
+function post() { return function () { return 1; }; }
+""", [
+    ("interface", "Acme\\Mail\\Sends", ""), ("class", "Acme\\Mail\\Letter", "Acme\\Core\\Model|Acme\\Mail\\Sends|Acme\\Mail\\Stamps"), ("property", "weight", "protected ?int"), ("property", "count", "public "), ("property", "to", "private string"),
+    ("method", "__construct", "public 1"), ("method", "send", "public 2"), ("function", "Acme\\Mail\\post", "public 0"), ("closure", "", "public 0"), ("import", "Acme\\Core\\Model", "class Base"), ("import", "Acme\\fmt", "function fmt"),
+])
+
+#: Calls of the case "callbacks": (line, how, callee, callback, conditional).
+CALLED = [
+    (2, "function", "array_map", "literal", False), (2, "function", "unserialize", None, False), (3, "function", "call_user_func", "literal", False), (3, "function", "unserialize", None, False),
+    (4, "function", "call_user_func", "closure", False), (5, "function", "unserialize", None, True), (6, "function", "call_user_func_array", "literal", False), (6, "static", "read", None, False),
+]
+#: Chains of GADGETS as text, and links from each of its methods to the nearest sink.
+OUTLINES = [
+    "depot\\base::__destruct\n  depot\\door::close\n    depot\\lock::turn\n      depot\\lock::__call\n        unlink", "depot\\base::__destruct\n  depot\\door::close\n    depot\\sprung::turn\n      eval",
+    "depot\\page::__wakeup\n  depot\\note::__tostring\n    file_get_contents",
+]
+DISTANCES = [
+    ("SINK::eval", 0), ("SINK::unlink", 0), ("SINK::file_get_contents", 0), ("SINK::call_user_func", 0), ("depot\\sprung::turn", 1), ("depot\\lock::__call", 1), ("depot\\note::__tostring", 1), ("depot\\page::run", 1),
+    ("depot\\lock::turn", 2), ("depot\\door::close", 2), ("depot\\page::__wakeup", 2), ("depot\\base::__destruct", 3),
+]

@@ -204,6 +204,11 @@ def q_psr4(spark, sf_dir):
 QUERIES = {k: v for k, v in globals().items() if k.startswith("q_")}
 
 _SRC = "s AS (SELECT DISTINCT file_id, repo_id, file_path, content FROM source_file WHERE lower(file_path) LIKE '%.json'), j AS (SELECT *, CASE WHEN json_valid(decode(content)) THEN decode(content)::JSON END AS v FROM s WHERE NOT contains(content::VARCHAR, '\\x00'))"
+_PSR4 = """m AS (SELECT DISTINCT repo_id, e.key AS prefix, e.value->>'$' AS folder FROM j, json_each(j.v, '$.autoload."psr-4"') e WHERE json_type(j.v) = 'OBJECT'),
+c AS (SELECT DISTINCT class_id, repo_id, full_name, file_path FROM class_symbol WHERE full_name IS NOT NULL AND file_path IS NOT NULL)"""
 ORACLE = {
+    "q_psr4": f"""WITH {_SRC}, {_PSR4} SELECT class_id, prefix, regexp_replace(folder, '/+$', '') || '/' || replace(substr(full_name, length(prefix) + 1), '\\', '/') || '.php' AS expected,
+regexp_replace(folder, '/+$', '') || '/' || replace(substr(full_name, length(prefix) + 1), '\\', '/') || '.php' = file_path AS matches FROM c JOIN m USING (repo_id)
+WHERE lower(split_part(full_name, '\\', 1)) = lower(split_part(prefix, '\\', 1)) AND starts_with(lower(full_name), lower(prefix))""",
     "q_manifest": f"WITH {_SRC} SELECT file_id, v->>'name' AS name, v->>'type' AS type, v->>'version' AS version, coalesce(v->>'type' IN ('library', 'composer-plugin'), false) AS library FROM j WHERE json_type(v) = 'OBJECT' AND v->>'name' IS NOT NULL",
 }

@@ -149,6 +149,38 @@ def q_fx_route_kinds(spark, sf_dir) -> DataFrame:
     return r.select("kind", "status", "line", F.array_join("missing", ",").alias("missing"))
 
 
+def q_fx_includes(spark, sf_dir) -> DataFrame:
+    c = _one(spark, fx.WEB)
+    return c.includes().join(c.facts.select("file_id", "path"), "file_id").select("path", "target", "anchored", F.col("target_id").isNotNull().alias("found"))
+
+
+def q_fx_declarations(spark, sf_dir) -> DataFrame:
+    """Classes, members, functions and imports of one program."""
+    c = _one(spark, fx.DECLARED[0])
+    classes = c.rows("classes").select("kind", "name", F.array_join(F.array_compact(F.concat(F.array("parent"), "interfaces", "traits")), "|").alias("detail"))
+    props = c.rows("properties").select(F.lit("property").alias("kind"), "name", F.concat_ws(" ", "visibility", "type").alias("detail"))
+    fns = c.rows("functions").select("kind", "name", F.concat_ws(" ", "visibility", F.size("params").cast("string")).alias("detail"))
+    return classes.unionAll(props).unionAll(fns).unionAll(c.rows("imports").select(F.lit("import").alias("kind"), F.col("full").alias("name"), F.concat_ws(" ", "kind", "alias").alias("detail")))
+
+
+def q_fx_calls(spark, sf_dir) -> DataFrame:
+    """Calls, those that a fixed callback stands for included."""
+    return _one(spark, fx.ROUTES["callbacks"][0]).calls.select(F.col("start_line").alias("line"), "how", "callee", "callback", "conditional")
+
+
+def q_fx_outlines(spark, sf_dir) -> DataFrame:
+    c = _one(spark, fx.GADGETS)
+    return c.outline(c.store.cut(c.chains(c.call_graph(category)))).select("outline")
+
+
+def q_fx_sink_distance(spark, sf_dir) -> DataFrame:
+    from factloom.operators import graph
+
+    c = _one(spark, fx.GADGETS)
+    e = c.store.cut(c.call_graph(category))
+    return graph.distances(e, e.where("edge_type = 'sink'").select(F.col("dst").alias("node")).distinct()).select(_bare(F.col("node")).alias("node"), "distance")
+
+
 QUERIES = {k: v for k, v in globals().items() if k.startswith("q_")}
 
 
@@ -181,5 +213,10 @@ ORACLE = {
     "q_fx_contracts": _values('"class", low, note', fx.CONTRACTED[2]),
     "q_fx_assessed": _values("line, level, limitations, detection, completeness", fx.ASSESSED[1]),
     "q_fx_route_kinds": _values("kind, status, line, missing", fx.ROUTE_KINDS),
+    "q_fx_includes": _values("path, target, anchored, found", fx.INCLUDED),
+    "q_fx_declarations": _values("kind, name, detail", fx.DECLARED[1]),
+    "q_fx_calls": _values("line, how, callee, callback, conditional", fx.CALLED),
+    "q_fx_outlines": _values("outline", [(x,) for x in fx.OUTLINES]),
+    "q_fx_sink_distance": _values("node, distance", fx.DISTANCES),
     "q_fx_errors": _values("path, data_only, failed, too_large", [("a.php", False, True, False), ("b.php", True, False, False), ("c.php", False, False, False), ("d.php", True, True, True)]),
 }
