@@ -53,7 +53,30 @@ def _table(name: str):
     return query
 
 
+def analysis_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Flat tables of the JSON in ``analysis`` with the shape that its documents have, found by one aggregation over all of them."""
+    docs = table(spark, sf_dir, "scan_result").select("scan_id", json.parsed(F.col("analysis")).alias("v")).where(json.is_object(F.col("v")))
+    ddl = json.shape(docs, "v")
+    if ddl is None or not ddl.startswith("struct"):
+        return {}
+    return shred({"analysis": (docs.select("scan_id", F.from_json(F.to_json("v"), ddl).alias("s")).select("scan_id", "s.*"), "scan_id")})
+
+
+def p3_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per analysis document, all objects that occur once inlined (names joined by dots)."""
+    t = analysis_tables(spark, sf_dir)
+    return t["analysis"].dropDuplicates(["owner_id"]) if t else spark.createDataFrame([], "root string, owner_id bigint")
+
+
+def p3_analysis_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The objects of ``object_payload_exclusion.sites``, with all fields that any of them has."""
+    t = analysis_tables(spark, sf_dir).get("analysis.object_payload_exclusion.sites")
+    return t.dropDuplicates(["owner_id", "pos"]) if t is not None else spark.createDataFrame([], "root string, owner_id bigint, pos array<int>")
+
+
 QUERIES = {
+    "p3_analysis": p3_analysis,
+    "p3_analysis_sites": p3_analysis_sites,
     "p3_found": p3_found,
     "p3_chains": _table("scan.gadget_chains"),
     "p3_steps": _table("scan.gadget_chains.steps"),

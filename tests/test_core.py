@@ -17,6 +17,17 @@ def test_json_unwraps_and_rejects(spark):
     assert got[:3] == ['{"a":1}'] * 3 and got[3:] == [None] * 8
 
 
+def test_shape_of_json_documents(spark):
+    from factloom.functions import json as j
+
+    texts = ['{"a": {"b": 1, "c d": [{"x": 1.5}, null, {"y": "t"}]}, "m": 1}', '{"a": {"b": 2}, "m": "s", "e": {}, "n": null}', "[1]", "{", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", j.parsed(F.col("t")).alias("v"))
+    ddl = j.shape(df, "v")
+    rows = {r.i: r.s for r in df.select("i", F.from_json(F.to_json("v"), ddl).alias("s")).collect()}
+    assert rows[0].a.b == 1 and [x and x.x for x in rows[0].a["c d"]] == [1.5, None, None] and rows[0].m == "1" and rows[1].m == "s" and rows[1].n is None
+    assert j.shape(df.where("i > 1"), "v") is None
+
+
 def test_shred_places_and_shared_types(spark):
     loc = "struct<f:string,l:int>"
     schema = f"id bigint, pos int, s struct<n:int,deep struct<m:int>>, steps array<struct<name:string,at:{loc},tags:array<string>>>, here {loc}"
