@@ -142,7 +142,7 @@ class Code:
 
     def parameters(self) -> DataFrame:
         """Parameters of public methods and functions as sources, for code that is a library."""
-        fn = self.functions().where("kind <> 'closure' AND visibility = 'public' AND NOT startswith(low, '__')").select("file_id", F.col("id").alias("fn_id"), "name", "start_line", F.explode("params").alias("p"))
+        fn = self.functions().where("kind <> 'closure' AND visibility = 'public' AND (NOT startswith(low, '__') OR low = '__construct')").select("file_id", F.col("id").alias("fn_id"), "name", "start_line", F.explode("params").alias("p"))
         return fn.select("file_id", F.col("p.value_id").alias("id"), "fn_id", F.concat(F.lit("$"), "p.name", F.lit(" of "), "name").alias("origin"), F.lit("library_parameter").alias("kind"), F.col("start_line").alias("line"))
 
     def origins(self, library: bool = False) -> DataFrame:

@@ -149,8 +149,11 @@ class Shelf {
     public function put($blob) { return unserialize($blob); }
     private function hide($blob) { return unserialize($blob); }
     public function pass($blob) { return $this->hide('c'); }
+    public function __construct($first) { $this->first = $first; }
+    private function late() { return unserialize($this->first); }
+    private function __clone() { return unserialize($this->second); }
 }
-""", [(3, "conditional_library_api"), (4, "no_modeled_source")])
+""", [(3, "conditional_library_api"), (4, "no_modeled_source"), (7, "conditional_library_api"), (8, "no_modeled_source")])
 
 #: Paths that may name an archive: (line, disposition before 8.0, from 8.0 on).
 ARCHIVES = ("""<?php
