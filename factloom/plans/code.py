@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.code import analysis
 from factloom.code.facts import SCALAR, SOURCE_CALLS, TRANSFORMS, extract
-from factloom.functions import paths
+from factloom.functions import jsonread, paths
 from factloom.plans.relational import CATEGORIES, category
 from factloom.store import once, table
 
@@ -184,10 +185,22 @@ def _manifests(spark, sf_dir) -> DataFrame:
     return once(t, "file_id").withColumn("v", F.try_parse_json("text")).where("schema_of_variant(v) LIKE 'OBJECT%'")
 
 
+def _members(batches):
+    names = ["name", "type", "version"]
+    for b in batches:
+        out = []
+        for i, c in zip(b.column(0).to_pylist(), b.column(1)):
+            d = jsonread.document(c.as_py())
+            if d is not None:
+                out.append((i, *(jsonread.shown(jsonread.member(d, k)) for k in names)))
+        cols = list(zip(*out)) or [()] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *(pa.array(c, pa.string()) for c in cols[1:])], ["file_id", *names])
+
+
 def q_manifest(spark, sf_dir):
-    """Package manifests: name, type, version, and whether the package is a library."""
-    get = lambda k: F.try_variant_get("v", f"$.{k}", "string")
-    m = _manifests(spark, sf_dir).select("file_id", get("name").alias("name"), get("type").alias("type"), get("version").alias("version"))
+    """Package manifests: name, type, version, and whether the package is a library. A file that is not UTF-8 or not one JSON object is no manifest."""
+    t = table(spark, sf_dir, "source_file").where("lower(file_path) LIKE '%.json'").select(F.col("file_id").cast("bigint"), "repo_id", "file_path", "content").distinct()
+    m = t.select("file_id", "content").mapInArrow(_members, "file_id bigint, name string, type string, version string")
     return m.where("name IS NOT NULL").withColumn("library", F.coalesce(F.col("type").isin("library", "composer-plugin"), F.lit(False)))
 
 
