@@ -180,37 +180,40 @@ def q_php_sink_distance(spark, sf_dir):
     return graph.distances(e, e.where("edge_type = 'sink'").select(F.col("dst").alias("node")).distinct())
 
 
-def _manifests(spark, sf_dir) -> DataFrame:
-    t = table(spark, sf_dir, "source_file").where("lower(file_path) LIKE '%.json'").select("file_id", "repo_id", F.decode("content", "UTF-8").alias("text"))
-    return once(t, "file_id").withColumn("v", F.try_parse_json("text")).where("schema_of_variant(v) LIKE 'OBJECT%'")
-
-
-def _members(batches):
+def _read(batches):
     names = ["name", "type", "version"]
+    kinds = [pa.int64(), pa.int32(), *[pa.string()] * 3, pa.list_(pa.struct([("prefix", pa.string()), ("folder", pa.string())]))]
     for b in batches:
         out = []
-        for i, c in zip(b.column(0).to_pylist(), b.column(1)):
+        for i, r, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
             d = jsonread.document(c.as_py())
             if d is not None:
-                out.append((i, *(jsonread.shown(jsonread.member(d, k)) for k in names)))
-        cols = list(zip(*out)) or [()] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *(pa.array(c, pa.string()) for c in cols[1:])], ["file_id", *names])
+                psr4 = jsonread.member(jsonread.member(d, "autoload"), "psr-4")
+                folders = [{"prefix": k, "folder": jsonread.shown(v)} for k, v in psr4] if isinstance(psr4, jsonread.Pairs) else []
+                out.append((i, r, *(jsonread.shown(jsonread.member(d, k)) for k in names), folders))
+        cols = list(zip(*out)) or [()] * 6
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["file_id", "repo_id", *names, "folders"])
+
+
+def _manifests(spark, sf_dir) -> DataFrame:
+    """Members of the manifests, one row per file. A file that is not UTF-8 or not one JSON object is no manifest."""
+    t = table(spark, sf_dir, "source_file").where("lower(file_path) LIKE '%.json'").select(F.col("file_id").cast("bigint"), F.col("repo_id").cast("int"), "file_path", "content").distinct()
+    return t.select("file_id", "repo_id", "content").mapInArrow(_read, "file_id bigint, repo_id int, name string, type string, version string, folders array<struct<prefix:string,folder:string>>")
 
 
 def q_manifest(spark, sf_dir):
-    """Package manifests: name, type, version, and whether the package is a library. A file that is not UTF-8 or not one JSON object is no manifest."""
-    t = table(spark, sf_dir, "source_file").where("lower(file_path) LIKE '%.json'").select(F.col("file_id").cast("bigint"), "repo_id", "file_path", "content").distinct()
-    m = t.select("file_id", "content").mapInArrow(_members, "file_id bigint, name string, type string, version string")
-    return m.where("name IS NOT NULL").withColumn("library", F.coalesce(F.col("type").isin("library", "composer-plugin"), F.lit(False)))
+    """Package manifests: name, type, version, and whether the package is a library."""
+    m = _manifests(spark, sf_dir).where("name IS NOT NULL").select("file_id", "name", "type", "version")
+    return m.withColumn("library", F.coalesce(F.col("type").isin("library", "composer-plugin"), F.lit(False)))
 
 
 def q_psr4(spark, sf_dir):
     """Classes at the path that an autoload prefix of a manifest of their repository expects."""
-    m = _manifests(spark, sf_dir).select("repo_id", F.explode(F.try_variant_get("v", '$.autoload["psr-4"]', "map<string,string>")).alias("prefix", "folder")).distinct()
+    m = _manifests(spark, sf_dir).select("repo_id", F.inline("folders")).distinct()
     m = m.withColumn("head", F.lower(F.substring_index("prefix", "\\", 1)))
     c = table(spark, sf_dir, "class_symbol").select("class_id", "repo_id", "full_name", "file_path").where("full_name IS NOT NULL AND file_path IS NOT NULL").distinct().withColumn("head", F.lower(F.substring_index("full_name", "\\", 1)))
     j = c.join(m, ["repo_id", "head"]).where(F.startswith(F.lower("full_name"), F.lower("prefix")))
-    rest = F.concat(F.regexp_replace("folder", "/+$", ""), F.lit("/"), F.replace(F.substring("full_name", F.length("prefix") + 1, F.length("full_name")), F.lit("\\"), F.lit("/")), F.lit(".php"))
+    rest = F.concat(F.regexp_replace("folder", r"/+\z", ""), F.lit("/"), F.replace(F.substring("full_name", F.length("prefix") + 1, F.length("full_name")), F.lit("\\"), F.lit("/")), F.lit(".php"))
     return j.select("class_id", "prefix", rest.alias("expected"), (rest == F.col("file_path")).alias("matches"))
 
 

@@ -37,3 +37,19 @@ def test_json_as_the_sql_engine_shows_it():
         text = '{"name":' + t + "}"
         want = con.execute("SELECT CASE WHEN json_valid(?) THEN ?::JSON->>'name' END", [text, text]).fetchone()[0]
         assert jsonread.shown(jsonread.member(jsonread.document(text.encode()), "name")) == want, t
+
+
+def test_classes_at_their_place_beside_a_file_that_is_no_text(spark, tmp_path):
+    psr4 = b'{"autoload": {"psr-4": '
+    texts = [
+        b"\x89\x00IMG\xff", psr4 + b'{"App\\\\": "src", "App\\\\B\\\\": ["x", "y/"], "App": null, "A": "a/", "": "r/", "aPP\\\\": "w//", "App\\\\X": "z/\\n"}}}',
+        psr4 + b'["App"]}}', psr4 + b'"App"}}', psr4 + b'{"App\\\\": "one/", "App\\\\": 2.0}}, "autoload": {"psr-4": {"App\\\\": "never"}}}', psr4 + b'{"App\\\\": "nul/"}}}\x00', psr4 + b'{"App\\\\": "tail/"}}}]', b'{"autoload": []}',
+    ]
+    rows = [(1, 1, "App\\X", "src/X.php"), (1, 1, "App\\X", "src/X.php"), (2, 1, "app\\B\\Y", "x/Y.php"), (3, 2, "App\\X", "src/X.php"), (4, 1, None, "a"), (5, 1, "App\\Z", None), (6, 1, "Apple", "x"), (7, 1, "\\App\\X", "src/X.php"), (8, 1, "App", "src/App.php")]
+    pq.write_table(pa.table(dict(zip(("class_id", "repo_id", "full_name", "file_path"), zip(*rows)))), f"{tmp_path}/class_symbol.parquet")
+    d = write(tmp_path, texts)
+    same(QUERIES["q_psr4"](spark, d), connect(d), ORACLE["q_psr4"])
+    n = QUERIES["q_psr4"](spark, d).count()
+    # the SQL stops at bytes that are not UTF-8 and have no NUL
+    d = write(tmp_path, [*texts, psr4 + b'{"App\\\\": "\xff"}}}'])
+    assert QUERIES["q_psr4"](spark, d).count() == n > 0
